@@ -125,7 +125,7 @@ headers as (
   from listed group by all),
 kept as (
   select site_no, parameter_code, parameter_name, statistic_id, begin, "end", "primary", page,
-    row_number() over (partition by site_no order by page) - 1 as place
+    cast(row_number() over (partition by site_no order by page) - 1 as integer) as place
   from listed where parameter_code is not null and parameter_name is not null)"""
 
 _EARTH = "6371008.8e0 * 6371008.8e0 / 2e0"
@@ -170,7 +170,7 @@ checked as (
 _FILES = """
 files as (
   select source as dataset,
-    case lang when 'de' then 1 when 'en' then 2 when 'es' then 3 else 4 end as n,
+    cast(case lang when 'de' then 1 when 'en' then 2 when 'es' then 3 else 4 end as bigint) as n,
     cast(doc_id as varchar) as path, sha256(text) as sha256, n_chars as row_count
   from documents)"""
 
@@ -198,7 +198,8 @@ _WINDOWS = """
 
 def _published(n: int, where: str, start: str, end: str) -> str:
     return f"""
-  select {n} as n, count(*) as row_count, count(distinct site_no) as n_sites,
+  select cast({n} as bigint) as n, count(*) as row_count,
+    cast(count(distinct site_no) as integer) as n_sites,
     '00060' as param_cd, '{start}' as start, '{end}' as "end",
     strftime(max(last_modified), '%Y-%m-%dT%H:%M:%S.%fZ') as max_last_modified,
     count(*) filter (approval_status = 'Approved') as n_approved, {n} = 3 as repeated,
@@ -379,7 +380,7 @@ select dataset, {_LINES.format("sha256")} as content_hash from files group by 1"
     + _FILES
     + f""",
 manifests as (
-  select dataset, n, sum(row_count) as row_count, count(*) as n_files,
+  select dataset, n, cast(sum(row_count) as bigint) as row_count, count(*) as n_files,
     {_LINES.format("sha256")} as content_hash
   from files group by 1, 2)
 select *, lag(content_hash) over (partition by dataset order by n) as parent_hash

@@ -77,22 +77,35 @@ def _place() -> Column:
     return F.struct("page", "pos")
 
 
+def _is_listed() -> Column:
+    """A row describes a series only if it names and codes the parameter."""
+    return F.col("parameter_code").isNotNull() & F.col("parameter_name").isNotNull()
+
+
 def site_headers(rows: DataFrame) -> DataFrame:
-    """Site fields from the first row that names the site, and the place of that row."""
-    return rows.groupBy("site_no").agg(
-        F.min_by(F.struct(*_SITE_FIELDS), _place()).alias("site"), F.min(_place()).alias("first_place")
-    ).select("site_no", "site.*", "first_place")
+    """Site fields from the first row that names the site, its place, and ``n_series``."""
+    return (
+        rows.groupBy("site_no")
+        .agg(
+            F.min_by(F.struct(*_SITE_FIELDS), _place()).alias("site"),
+            F.min(_place()).alias("first_place"),
+            F.count_if(_is_listed()).alias("n_series"),
+        )
+        .select("site_no", "site.*", "first_place", "n_series")
+    )
 
 
 def site_series(rows: DataFrame) -> DataFrame:
     """Flat form: each series beside the fields of its site; a site without any keeps a row.
 
-    Nothing is gathered per site, so the number of series of a site does not matter.
+    Nothing is gathered per site. The series are the side of the join that Spark can split
+    when one site has very many.
     """
-    series = rows.filter("parameter_code is not null and parameter_name is not null").select(
-        "site_no", *_SERIES_FIELDS, _place().alias("place")
-    )
-    return site_headers(rows).join(series, "site_no", "left")
+    headers = site_headers(rows)
+    series = rows.filter(_is_listed()).select("site_no", *_SERIES_FIELDS, _place().alias("place"))
+    with_series = series.join(headers, "site_no")
+    without = headers.filter("n_series = 0")
+    return with_series.unionByName(without, allowMissingColumns=True).drop("n_series")
 
 
 def site_metadata(rows: DataFrame) -> DataFrame:
@@ -101,8 +114,7 @@ def site_metadata(rows: DataFrame) -> DataFrame:
     This is the shape of the metadata file, which holds one document per site. Reports use
     ``site_series``.
     """
-    listed = F.col("parameter_code").isNotNull() & F.col("parameter_name").isNotNull()
-    placed = F.when(listed, F.struct(_place().alias("place"), F.struct(*_SERIES_FIELDS).alias("s")))
+    placed = F.when(_is_listed(), F.struct(_place().alias("place"), F.struct(*_SERIES_FIELDS).alias("s")))
     return (
         rows.groupBy("site_no")
         .agg(

@@ -18,6 +18,7 @@ from riverlake.schemas import (
     lake_schema,
     reading_schema,
 )
+from riverlake.session import settings
 from riverlake.sources import fs
 
 # A query for at most this many sites lists their folders only, not the whole lake.
@@ -47,21 +48,23 @@ def append_readings(readings: DataFrame, root: str, service: str) -> int:
     Nothing is merged: a reading that is fetched again is stored again, and queries keep
     the latest copy. Rows are gathered by partition so that a run adds few files, and AQE
     splits a partition that is too big for one task, so a hot site does not stall the run.
-    Files are sorted by time to keep their ``datetime`` statistics tight. A run that fails
-    or has no rows adds nothing.
+    Small partitions are not merged into fewer tasks, because their cost lies in the number
+    of files, not in the bytes. Files are sorted by time to keep their ``datetime``
+    statistics tight. A run that fails or has no rows adds nothing.
     """
+    spark = readings.sparkSession
     written = Observation()
-    (
+    placed = (
         readings.select(*reading_schema(service).fieldNames())
         .withColumn("year", reading_year(F.col("datetime")))
         .hint("rebalance", *PARTITION_COLUMNS)
         .sortWithinPartitions(*PARTITION_COLUMNS, "datetime")
         .observe(written, F.count(F.lit(1)).alias("rows"))
-        .write.mode("append")
-        .option("compression", "zstd")
-        .partitionBy(*PARTITION_COLUMNS)
-        .parquet(service_root(root, service))
     )
+    with settings(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
+        placed.write.mode("append").option("compression", "zstd").partitionBy(
+            *PARTITION_COLUMNS
+        ).parquet(service_root(root, service))
     return written.get["rows"]
 
 
@@ -117,13 +120,18 @@ def stored_partitions(spark: SparkSession, root: str, service: str) -> DataFrame
 
 
 def latest_dates(
-    spark: SparkSession, root: str, service: str, param_cd: str | None = None
+    spark: SparkSession,
+    root: str,
+    service: str,
+    param_cd: str | None = None,
+    max_named: int = MAX_NAMED_FOLDERS,
 ) -> DataFrame:
     """Date of the latest reading of each series: ``site_no, param_cd, max_date``.
 
     The latest reading lies in a series' latest year, and the years are known from folder
     names, so normally only those folders are read, and of them only ``datetime``. With
-    more series than can be named one by one, the whole column is aggregated instead.
+    more series than can be named one by one, the column is read from every year on that is
+    the latest of some series.
     """
     if not fs.exists(spark, service_root(root, service)):
         return spark.createDataFrame([], "site_no string, param_cd string, max_date date")
@@ -134,8 +142,8 @@ def latest_dates(
         F.max(F.col("year").cast("int")).alias("year")
     )
     # One row past the limit shows that there are more.
-    rows = newest.limit(MAX_NAMED_FOLDERS + 1).collect()
-    if len(rows) <= MAX_NAMED_FOLDERS:
+    rows = newest.limit(max_named + 1).collect()
+    if len(rows) <= max_named:
         folders = [
             f"{series_folder(root, service, r.site_no, r.param_cd)}/year={r.year}" for r in rows
         ]
@@ -147,7 +155,8 @@ def latest_dates(
             else _empty(spark, service)
         )
     else:
-        table = read_service(spark, root, service)
+        oldest = newest.agg(F.min("year")).first()[0]
+        table = read_service(spark, root, service).filter(F.col("year").cast("int") >= oldest)
         if param_cd is not None:
             table = table.filter(F.col("param_cd") == param_cd)
     return table.groupBy("site_no", "param_cd").agg(

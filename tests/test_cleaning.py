@@ -1,0 +1,199 @@
+import json
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from riverlake.functions import parsing
+from riverlake.functions.guards import require_rows
+from riverlake.operators.cleaning import clean_readings, page_report
+from riverlake.schemas import reading_schema
+from riverlake.sources.pages import missing_pages, read_reading_pages
+
+ABSENT = object()
+
+
+def feature(**changes):
+    properties = {
+        "monitoring_location_id": "USGS-1",
+        "parameter_code": "00060",
+        "time": "2025-06-01",
+        "value": "1.5",
+        "qualifier": None,
+        "approval_status": "Approved",
+        "last_modified": "2025-07-01T00:00:00.123456Z",
+    }
+    geometry = changes.pop("geometry", {"type": "Point", "coordinates": [-85.5, 41.25]})
+    properties.update(changes)
+    properties = {k: v for k, v in properties.items() if v is not ABSENT}
+    return {"type": "Feature", "properties": properties, "geometry": geometry}
+
+
+def landed(spark, path, *pages, links=()):
+    for i, features in enumerate(pages):
+        (path / f"page-{i}.json").write_text(
+            json.dumps({"type": "FeatureCollection", "features": features, "links": list(links)})
+        )
+    return read_reading_pages(spark, str(path))
+
+
+def clean(spark, path, *features, service="daily"):
+    return clean_readings(landed(spark, path, list(features)), service)
+
+
+def test_daily_reading(spark, tmp_path):
+    df = clean(spark, tmp_path, feature(qualifier="e"))
+    assert [(f.name, f.dataType) for f in df.schema] == [
+        (f.name, f.dataType) for f in reading_schema("daily")
+    ]
+    (row,) = df.collect()
+    assert row[:8] == ("USGS-1", "00060", date(2025, 6, 1), 1.5, "e", 41.25, -85.5, "Approved")
+    text = df.select(F.date_format("last_modified", "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
+    assert text == "2025-07-01 00:00:00.123456"
+
+
+def test_instant_is_moved_to_utc(spark, tmp_path):
+    df = clean(
+        spark, tmp_path, feature(time="2025-06-01T00:15:00-05:00"), service="continuous"
+    )
+    text = df.select(F.date_format("datetime", "yyyy-MM-dd HH:mm:ss")).first()[0]
+    assert text == "2025-06-01 05:15:00"
+
+
+@pytest.mark.parametrize(
+    "time", ["June 1", "2025", "2025-06", "2025-06-01T00:15:00", "2025-13-01", "2025-06-01\n", ""]
+)
+def test_bad_time_fails_whatever_is_selected(spark, tmp_path, time):
+    df = clean(spark, tmp_path, feature(), feature(time=time))
+    for use in (df.select("value"), df.groupBy().count(), df):
+        with pytest.raises(Exception, match="unrecognized time"):
+            use.collect()
+
+
+def test_bad_time_on_a_dropped_reading_is_not_looked_at(spark, tmp_path):
+    df = clean(spark, tmp_path, feature(value=None, time="June 1"), feature(value="Ice", time="x"))
+    assert df.collect() == []
+
+
+@pytest.mark.parametrize("value", [None, "Ice", "", "1.5f", "1.5d", " 1.5 ", ".", "e5", "1_0", "0x1"])
+def test_value_that_is_no_number_is_dropped(spark, tmp_path, value):
+    assert clean(spark, tmp_path, feature(value=value)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "value,expected", [("1e3", 1000.0), (".5", 0.5), ("+5", 5.0), ("5.", 5.0), ("-inf", float("-inf"))]
+)
+def test_value_forms(spark, tmp_path, value, expected):
+    assert clean(spark, tmp_path, feature(value=value)).first().value == expected
+
+
+def test_nan_is_kept(spark, tmp_path):
+    values = clean(spark, tmp_path, feature(value="NaN"), feature(value="-nan"))
+    assert values.filter(F.isnan("value")).count() == 2
+
+
+@pytest.mark.parametrize(
+    "qualifier,expected",
+    [("e", "e"), (["A", "B"], "A,B"), ([], None), (None, None), (ABSENT, None), ("", None),
+     ('["A","B"]', '["A","B"]'), ("[x", "[x")],
+)
+def test_qualifier_forms(spark, tmp_path, qualifier, expected):
+    assert clean(spark, tmp_path, feature(qualifier=qualifier)).first().qualifiers == expected
+
+
+def test_absent_optional_fields(spark, tmp_path):
+    row = clean(
+        spark,
+        tmp_path,
+        feature(approval_status=ABSENT, last_modified=ABSENT, geometry={"coordinates": [5]}),
+    ).first()
+    assert (row.approval_status, row.last_modified) == ("", None)
+    assert (row.latitude, row.longitude) == (0.0, 5.0)
+
+
+@pytest.mark.parametrize(
+    "bad",
+    [
+        {"monitoring_location_id": ABSENT},
+        {"parameter_code": None},
+        {"time": ABSENT},
+        {"time": ABSENT, "value": None},
+        {"geometry": None},
+        {"geometry": {"coordinates": [1.0, None]}},
+        {"value": 1.5},
+        {"qualifier": 7},
+        {"qualifier": ["A", None]},
+        {"qualifier": ["A", 1]},
+    ],
+)
+def test_malformed_page_fails(spark, tmp_path, bad):
+    with pytest.raises(Exception, match="malformed page"):
+        clean(spark, tmp_path, feature(), feature(**bad)).select("param_cd").collect()
+
+
+def test_page_without_features_fails_but_an_empty_one_does_not(spark, tmp_path):
+    pages = landed(spark, tmp_path, [])
+    assert clean_readings(pages, "daily").count() == 0
+    (tmp_path / "other.json").write_text('{"links": []}')
+    with pytest.raises(Exception, match="malformed page"):
+        clean_readings(read_reading_pages(spark, str(tmp_path)), "daily").count()
+
+
+def test_text_that_is_not_json_fails(spark, tmp_path):
+    (tmp_path / "page.json").write_text("<html>")
+    with pytest.raises(Exception):
+        clean_readings(read_reading_pages(spark, str(tmp_path)), "daily").collect()
+
+
+def test_bad_last_modified_fails(spark, tmp_path):
+    with pytest.raises(Exception, match="unrecognized last_modified"):
+        clean(spark, tmp_path, feature(last_modified="yesterday")).collect()
+
+
+@pytest.mark.parametrize(
+    "time,service", [("2025-06-01", "continuous"), ("2025-06-01T00:00:00Z", "daily")]
+)
+def test_wrong_kind_of_time_fails(spark, tmp_path, time, service):
+    with pytest.raises(Exception, match=f"does not suit the {service} service"):
+        clean(spark, tmp_path, feature(time=time), service=service).collect()
+
+
+def test_pages_are_concatenated_and_reported(spark, tmp_path):
+    pages = landed(spark, tmp_path, [feature(), feature(value=None)], [feature(time="x")], [])
+    report = {r.outcome: r.n for r in page_report(pages, "daily").collect()}
+    assert report == {"kept": 1, "dropped: no numeric value": 1, "unrecognized time": 1}
+
+
+def test_empty_result_is_an_error(spark, tmp_path):
+    with pytest.raises(ValueError, match="no data"):
+        require_rows(clean(spark, tmp_path, feature(value=None)), "no data")
+
+
+def test_pages_one_per_line(spark, tmp_path):
+    page = json.dumps({"features": [feature(), feature(value="2")]})
+    (tmp_path / "pages.jsonl").write_text(f"{page}\n{page}\n")
+    pages = read_reading_pages(spark, str(tmp_path), one_per_line=True)
+    assert clean_readings(pages, "daily").count() == 4
+
+
+def test_missing_pages(spark, tmp_path):
+    def page(name, own, following):
+        links = [{"rel": "self", "href": own}]
+        if following:
+            links += [{"rel": "next", "href": following}, {"rel": "next", "href": "ignored"}]
+        (tmp_path / name).write_text(json.dumps({"features": [], "links": links}))
+
+    page("a.json", "u1", "u2")
+    page("b.json", "u2", "u3")
+    page("c.json", "u9", None)
+    missing = missing_pages(read_reading_pages(spark, str(tmp_path))).collect()
+    assert [tuple(r) for r in missing] == [("u2", "u3")]
+
+
+def test_site_ids(spark):
+    texts = ["01646500", " 01646500 ", "USGS-1", "XX-9", "\t5 "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    ids = [r[0] for r in df.select(parsing.site_id(F.col("t"))).collect()]
+    assert ids == ["USGS-01646500", "USGS-01646500", "USGS-1", "XX-9", "USGS-5"]
+    listed = spark.createDataFrame([("1, XX-2,3",)], "t string")
+    assert listed.select(parsing.site_ids(F.col("t"))).first()[0] == ["USGS-1", "XX-2", "USGS-3"]
