@@ -7,6 +7,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,7 +50,8 @@ def _stream_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         hashes = []
         for path in batch["file"]:
-            store, name = arrow_fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+            address = quote(re.sub(r"^file:/+", "file:///", path), safe=":/@")
+            store, name = arrow_fs.FileSystem.from_uri(address)
             digest = hashlib.sha256()
             with store.open_input_stream(name) as stream:
                 while chunk := stream.read(_STREAM_BYTES):
@@ -64,7 +66,8 @@ def file_hashes(
     """``path, sha256`` of every file below a folder, with paths relative to it.
 
     One task hashes one file or several small ones, and holds at most
-    ``whole_file_bytes`` of a file at a time.
+    ``whole_file_bytes`` of a file at a time. Spark lists no empty files; a data file is
+    never empty.
     """
     base = fs.qualified(spark, folder)
     files = (

@@ -179,4 +179,6 @@ def write_export(readings: DataFrame, path: str, service: str) -> None:
 
 
 def read_export(spark: SparkSession, path: str, service: str) -> DataFrame:
-    return spark.read.schema(reading_schema(service)).parquet(path)
+    """Also reads a published version, whose folder holds a manifest beside the data."""
+    reader = spark.read.schema(reading_schema(service)).option("pathGlobFilter", "*.parquet")
+    return reader.parquet(path)

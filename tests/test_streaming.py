@@ -1,0 +1,38 @@
+import json
+
+import pytest
+
+from riverlake.operators.readings import keep_latest
+from riverlake.session import scratch_dir
+from riverlake.sources import lake
+from riverlake.streaming.ingest import start_ingest
+from tests.test_cleaning import feature
+
+
+def run(spark, landing, root, checkpoint, **options):
+    start_ingest(spark, str(landing), root, "daily", checkpoint, **options).awaitTermination()
+
+
+def land(path, *features):
+    path.write_text(json.dumps({"features": list(features), "links": []}))
+
+
+def test_only_new_pages_are_appended(spark, tmp_path):
+    root, checkpoint = scratch_dir(spark, "test-lake"), scratch_dir(spark, "test-checkpoint")
+    land(tmp_path / "1.json", feature(value="1"), feature(value="2", time="2025-06-02"))
+    land(tmp_path / "2.json", feature(value="3", time="2025-06-03"))
+    run(spark, tmp_path, root, checkpoint, max_files=1)
+    assert lake.read_service(spark, root, "daily").count() == 3
+    land(tmp_path / "3.json", feature(value="9", last_modified="2026-01-01T00:00:00Z"))
+    run(spark, tmp_path, root, checkpoint)
+    table = lake.read_service(spark, root, "daily")
+    assert table.count() == 4
+    assert sorted(r.value for r in keep_latest(table, "daily").collect()) == [2.0, 3.0, 9.0]
+
+
+def test_bad_page_stops_the_stream(spark, tmp_path):
+    root, checkpoint = scratch_dir(spark, "test-lake"), scratch_dir(spark, "test-checkpoint")
+    land(tmp_path / "1.json", feature(), feature(time="June 1"))
+    with pytest.raises(Exception, match="unrecognized time"):
+        run(spark, tmp_path, root, checkpoint)
+    assert lake.read_service(spark, root, "daily").count() == 0
