@@ -273,7 +273,7 @@ select case
     when l_linestatus = 'O' and l_linenumber = 1 then 'dropped: no numeric value'
     when l_returnflag = 'A' then 'kept'
     when l_returnflag = 'N' then 'time does not suit the daily service'
-    else 'unrecognized time' end as outcome, count(*) as n
+    else 'cannot read time' end as outcome, count(*) as n
 from lineitem group by 1""",
     "normalize_sites": """
 select l_orderkey, l_linenumber, site_no, site_no || ',USGS-' || l_partkey || ',Y-1' as site_nos

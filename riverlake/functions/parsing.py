@@ -13,7 +13,6 @@ INSTANT_TEXT = (
     r"([Zz]|[+-][0-9]{2}:[0-9]{2})\z"
 )
 NUMBER_TEXT = r"(?i)\A[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)\z"
-NOT_A_NUMBER_TEXT = r"(?i)\A[+-]?nan\z"
 
 
 def site_id(text: Column) -> Column:
@@ -34,10 +33,9 @@ def number(text: Column) -> Column:
 
     ``try_cast`` alone would also take blanks around it and the suffixes d and f.
     """
-    return (
-        F.when(text.rlike(NOT_A_NUMBER_TEXT), F.lit(float("nan")))
-        .when(text.rlike(NUMBER_TEXT), text.try_cast("double"))
-    )
+    # Of the accepted forms the cast knows all but a NaN with a sign.
+    parsed = F.coalesce(text.try_cast("double"), F.lit(float("nan")))
+    return F.when(text.rlike(NUMBER_TEXT), parsed)
 
 
 def local_date(text: Column) -> Column:

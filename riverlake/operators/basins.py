@@ -138,4 +138,4 @@ def run_basins(
     count = missing.count()
     if count:
         some = ", ".join(r.site_no for r in missing.orderBy("site_no").limit(20).collect())
-        raise ValueError(f"no basin for {count} site(s), first of them: {some}")
+        raise ValueError(f"basins of {count} requested sites have not landed, such as {some}")

@@ -56,10 +56,10 @@ def _rules(service: str) -> list[tuple[Column, str | None, Column]]:
     return [
         (_is_malformed(), "malformed page", p["monitoring_location_id"]),
         (F.col("number").isNull(), None, p["time"]),
-        (F.col("date").isNull() & F.col("instant").isNull(), "unrecognized time", p["time"]),
+        (F.col("date").isNull() & F.col("instant").isNull(), "cannot read time", p["time"]),
         (
             p["last_modified"].isNotNull() & F.col("modified").isNull(),
-            "unrecognized last_modified",
+            "cannot read last_modified",
             p["last_modified"],
         ),
         (wrong_kind, f"time does not suit the {service} service", p["time"]),

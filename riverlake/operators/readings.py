@@ -39,7 +39,7 @@ def filter_date(text: str | None, label: str) -> dt.date | None:
     try:
         return dt.datetime.strptime(text, "%Y-%m-%d").date()
     except ValueError as error:
-        raise ValueError(f"invalid {label} date {text!r}") from error
+        raise ValueError(f"{label} date {text!r} is not a YYYY-MM-DD date") from error
 
 
 def at_sites(readings: DataFrame, sites: DataFrame) -> DataFrame:
@@ -90,7 +90,8 @@ def keep_latest(readings: DataFrame, service: str) -> DataFrame:
         F.col("latitude").asc(),
         F.col("longitude").asc(),
     ]
-    window = Window.partitionBy("site_no", "param_cd", key).orderBy(*order)
+    # Time leads the sort: it tells rows apart sooner than site names with a common prefix.
+    window = Window.partitionBy(key, "site_no", "param_cd").orderBy(*order)
     return (
         readings.withColumn("copy", F.row_number().over(window)).filter("copy = 1").drop("copy")
     )
@@ -138,7 +139,7 @@ def from_wire(rows: DataFrame, service: str) -> DataFrame:
     parsed = parsing.local_date(text) if is_daily else parsing.instant(text)
     modified = F.nullif(F.col("last_modified"), F.lit(""))
     times_ok = parsed.isNotNull() & (modified.isNull() | parsing.instant(modified).isNotNull())
-    checked = require(rows, times_ok, F.concat(F.lit("unrecognized time in row: "), text))
+    checked = require(rows, times_ok, F.concat(F.lit("cannot read time in row: "), text))
     return checked.select(
         "site_no",
         "param_cd",

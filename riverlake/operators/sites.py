@@ -157,44 +157,52 @@ def plain_number(value: Column) -> Column:
     return F.coalesce(digits, value.cast("string"))
 
 
-def _or_dropped(text: Column, label: str) -> Column:
-    """A labelled part, or null so that ``concat_ws`` skips it."""
-    return F.when(text.isNotNull(), F.concat(F.lit(label), text))
+# The wording of the report.
+REPORT_HEADING = "%s -- %s"
+REPORT_AREA = "drainage area: %s sq mi"
+REPORT_UNIT = "HUC %s"
+REPORT_SERIES = "%s (%s)  stat %s  %s .. %s  [%s]"
+REPORT_NO_SERIES = "(no matching parameter/statistic series)"
+REPORT_STATUS = ("Primary", "Provisional")
+NO_STATISTIC = "-"
+UNKNOWN_DATE = "?"
 
 
-def site_report(series: DataFrame, unknown_date: str = "?") -> DataFrame:
+def _text_unless_null(pattern: str, value: Column) -> Column:
+    """A formatted value, or null so that ``concat_ws`` leaves it out."""
+    return F.when(value.isNotNull(), F.format_string(pattern, value))
+
+
+def site_report(series: DataFrame, unknown_date: str = UNKNOWN_DATE) -> DataFrame:
     """Flat series to report parts: ``site_no, heading, details, place, line``.
 
-    Dates are cut to the day. A list on the console shows ``?`` for an unknown one, a
-    panel leaves it empty.
+    Dates are cut to the day. A panel passes an empty ``unknown_date``.
     """
-    location = F.nullif(F.concat_ws(", ", "county_name", "state_name"), F.lit(""))
-    area = F.concat(plain_number(F.col("drainage_area")), F.lit(" sq mi"))
 
     def day(name: str) -> Column:
         return F.substring(F.coalesce(F.col(name), F.lit(unknown_date)), 1, 10)
 
-    line = F.concat(
+    primary, provisional = REPORT_STATUS
+    details = F.concat_ws(
+        " | ",
+        F.nullif(F.concat_ws(", ", "county_name", "state_name"), F.lit("")),
+        _text_unless_null(REPORT_AREA, plain_number(F.col("drainage_area"))),
+        _text_unless_null(REPORT_UNIT, F.col("hydrologic_unit_code")),
+    )
+    line = F.format_string(
+        REPORT_SERIES,
         "parameter_name",
-        F.lit(" ("),
         "parameter_code",
-        F.lit(")  stat "),
-        F.coalesce("statistic_id", F.lit("-")),
-        F.lit("  "),
+        F.coalesce("statistic_id", F.lit(NO_STATISTIC)),
         day("begin"),
-        F.lit(" .. "),
         day("end"),
-        F.when(F.col("primary").isNotNull(), "  [Primary]").otherwise("  [Provisional]"),
+        F.when(F.col("primary").isNotNull(), primary).otherwise(provisional),
     )
+    has_series = F.col("parameter_code").isNotNull()
     return series.select(
         "site_no",
-        F.concat("site_no", F.lit(" -- "), "name").alias("heading"),
-        F.concat_ws(
-            " | ",
-            location,
-            _or_dropped(area, "drainage area: "),
-            _or_dropped(F.col("hydrologic_unit_code"), "HUC "),
-        ).alias("details"),
+        F.format_string(REPORT_HEADING, "site_no", "name").alias("heading"),
+        details.alias("details"),
         "place",
-        F.coalesce(line, F.lit("(no matching parameter/statistic series)")).alias("line"),
+        F.when(has_series, line).otherwise(REPORT_NO_SERIES).alias("line"),
     )

@@ -304,7 +304,7 @@ def publish(
     """
     name = name.strip()
     if not name:
-        raise ValueError("dataset name is required")
+        raise ValueError("a dataset needs a name")
     dataset = f"{publish_root.rstrip('/')}/{name}"
     known = _version_names(spark, dataset)
     n = known[-1][0] + 1 if known else 1
@@ -318,7 +318,7 @@ def publish(
     staged = lake.read_export(spark, staged_at, wanted.service)
     held = provenance(staged).first()
     if not held.row_count:
-        raise ValueError("no rows matched this filter; nothing to publish")
+        raise ValueError("no reading passes the filter, so there is no version to publish")
 
     pending = f"{dataset}/v{n}-{_PENDING}"
     _write_files(staged, pending, held.row_count, rows_per_file)

@@ -125,7 +125,7 @@ def test_files_and_summary(spark, tmp_path):
     out = scratch_dir(spark, "test-basins")
     meta = spark.createDataFrame([("USGS-1", 4800.0)], "site_no string, drainage_area double")
     requested = spark.createDataFrame([("USGS-1",), ("USGS-2",), ("USGS-3",)], "site_no string")
-    with pytest.raises(ValueError, match="no basin for 1 site.*USGS-3"):
+    with pytest.raises(ValueError, match="1 requested sites.*USGS-3"):
         basins.run_basins(requested, landed, meta, out)
     again = basins.read_basins(spark, f"{out}/basins")
     assert sorted(again.collect()) == sorted(landed.collect())

@@ -169,9 +169,9 @@ def test_published_bytes_depend_on_the_readings_alone(spark, root):
 
 def test_publish_refuses_blank_names_and_empty_results(spark, root):
     target = scratch_dir(spark, "test-published")
-    with pytest.raises(ValueError, match="name is required"):
+    with pytest.raises(ValueError, match="needs a name"):
         v.publish(spark, root, target, ReadingFilter(), "  ")
-    with pytest.raises(ValueError, match="nothing to publish"):
+    with pytest.raises(ValueError, match="no version to publish"):
         v.publish(spark, root, target, ReadingFilter(param_cd="99999"), "d")
     assert fs.subfolders(spark, f"{target}/d") == []
     assert v.versions(spark, target, "d").collect() == []
