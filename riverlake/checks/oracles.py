@@ -68,6 +68,9 @@ select site_no, param_cd, {time} as datetime, value, qualifiers, {_PLACE}, {_MOD
 from {source}"""
 
 
+_STORED = """
+select site_no, param_cd, 'continuous' as service, cast(year(datetime) as varchar) as year,
+  """
 _BY_SECOND = "date_trunc('second', datetime)"
 _DAILY_LATEST = "with" + _DAILY + "," + _latest("daily", "datetime")
 _DAILY_60 = "with" + _DAILY + "," + _latest("daily", "datetime", "param_cd = '00060'")
@@ -238,6 +241,7 @@ select site_no, param_cd,
   qualifiers, {_PLACE}, strftime(last_modified, '%Y-%m-%d %H:%M:%S.%f') as last_modified
 from latest""",
     "site_list": _SITES + "\nselect * from sites order by site_no",
+    "lake_site_list": _SITES + "\nselect * from sites",
     "distinct_sites": "with" + _DAILY + "\nselect distinct site_no from daily",
     "sites_geojson": _SITES
     + """
@@ -260,13 +264,15 @@ order by site_no, latest.datetime limit 100""",
     "chart_series": _DAILY_60
     + "\nselect site_no, strftime(datetime, '%Y-%m-%d 00:00:00') as x, value from latest",
     "parse_readings": "with" + _LANDED + _readings("landed", _SECOND),
+    "landed_load": "with"
+    + _LANDED
+    + _STORED
+    + _readings("landed", _SECOND).split("param_cd, ", 1)[1],
     "stream_ingest": "with"
     + _LANDED
     + ","
     + _latest("landed", _BY_SECOND)
-    + """
-select site_no, param_cd, 'continuous' as service, cast(year(datetime) as varchar) as year,
-  """
+    + _STORED
     + _readings("latest", _SECOND).split("param_cd, ", 1)[1],
     "kind_mismatch": """
 select case
@@ -375,7 +381,8 @@ where o_orderkey not in (select vec_id from embeddings)""",
     "content_hash": "with"
     + _FILES
     + f"""
-select dataset, {_LINES.format("sha256")} as content_hash from files group by 1""",
+select dataset, {_LINES.format("sha256")} as content_hash, count(*) as n_files
+from files group by 1""",
     "manifest_build": "with"
     + _FILES
     + f""",

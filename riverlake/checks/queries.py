@@ -12,6 +12,7 @@ from riverlake.functions import parsing, sphere
 from riverlake.operators import basins, cleaning, readings, sites, versions
 from riverlake.operators.readings import ReadingFilter
 from riverlake.plans import requests
+from riverlake.plans.loading import load_landed
 from riverlake.schemas import CONTINUOUS, DAILY, PARTITION_COLUMNS
 from riverlake.session import configure, scratch_dir
 from riverlake.sources import lake, pages
@@ -58,8 +59,7 @@ def continuous_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lake_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first query again, from the written lake."""
-    latest = readings.filtered_readings(spark, lake_of(spark, sf_dir), DAILY_FILTER)
-    return readings.to_wire(readings.in_order(latest, DAILY), DAILY)
+    return readings.query_readings(spark, lake_of(spark, sf_dir), DAILY_FILTER)
 
 
 def daily_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +104,10 @@ def site_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.site_list(adapters.daily(spark, sf_dir), adapters.continuous(spark, sf_dir))
 
 
+def lake_site_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sites.list_sites(spark, lake_of(spark, sf_dir))
+
+
 def distinct_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings.distinct_values(adapters.daily(spark, sf_dir), "site_no")
 
@@ -171,13 +175,25 @@ def missing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.missing_pages(adapters.linked_pages(spark, sf_dir))
 
 
+def _landing(spark: SparkSession, sf_dir: str) -> str:
+    landing = scratch_dir(spark, "landing")
+    adapters.landed_pages(spark, sf_dir).select("text").write.text(landing)
+    return landing
+
+
+def landed_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed files into a lake in one job, and all that is stored there."""
+    root = scratch_dir(spark, "loaded")
+    load_landed(spark, _landing(spark, sf_dir), root, CONTINUOUS, one_per_line=True)
+    return _text_times(lake.read_service(spark, root, CONTINUOUS), CONTINUOUS)
+
+
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed files through the stream into a lake, and read from there."""
-    landing, root = scratch_dir(spark, "landing"), scratch_dir(spark, "streamed")
-    adapters.landed_pages(spark, sf_dir).select("text").write.text(landing)
+    root = scratch_dir(spark, "streamed")
     stream = start_ingest(
         spark,
-        landing,
+        _landing(spark, sf_dir),
         root,
         CONTINUOUS,
         checkpoint=scratch_dir(spark, "stream-checkpoint"),
@@ -335,7 +351,8 @@ def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions.content_hashes(adapters.documents_as_files(spark, sf_dir), "dataset")
+    files = adapters.documents_as_files(spark, sf_dir)
+    return versions.content_hashes(files, "dataset")
 
 
 def manifest_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,6 +434,7 @@ _QUERIES: list[Query] = [
     wire_rows,
     wire_roundtrip,
     site_list,
+    lake_site_list,
     distinct_sites,
     sites_geojson,
     readings_page,
@@ -427,6 +445,7 @@ _QUERIES: list[Query] = [
     kind_mismatch,
     normalize_sites,
     missing_pages,
+    landed_load,
     stream_ingest,
     request_windows,
     lake_max_date,

@@ -115,6 +115,12 @@ def filtered_readings(spark: SparkSession, root: str, wanted: ReadingFilter) ->
     return latest_matching(table, wanted)
 
 
+def query_readings(spark: SparkSession, root: str, wanted: ReadingFilter) -> DataFrame:
+    """A filter's readings from a lake, in order and in export form."""
+    rows = in_order(filtered_readings(spark, root, wanted), wanted.service)
+    return to_wire(rows, wanted.service)
+
+
 def to_wire(readings: DataFrame, service: str) -> DataFrame:
     """Export form: the service is named and times are text."""
     return readings.select(

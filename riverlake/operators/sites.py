@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverlake.functions.guards import require
-from riverlake.schemas import SITE_METADATA
-from riverlake.sources import fs
+from riverlake.schemas import SERVICES, SITE_METADATA
+from riverlake.sources import fs, lake
 
 _SITE_FIELDS = [
     "name",
@@ -39,6 +39,11 @@ def site_list(daily: DataFrame, continuous: DataFrame) -> DataFrame:
     )
 
 
+def list_sites(spark: SparkSession, root: str) -> DataFrame:
+    """The site list of a lake. Of the files only the two coordinates are read."""
+    return site_list(*(lake.read_service(spark, root, service) for service in SERVICES))
+
+
 def sites_geojson(sites: DataFrame) -> DataFrame:
     """Each site as a GeoJSON point feature: ``site_no, feature``. Works row by row."""
     geometry = F.struct(
@@ -59,9 +64,13 @@ def write_features(features: DataFrame, path: str) -> None:
 
 def metadata_rows(pages: DataFrame, param: str | None = None) -> DataFrame:
     """One row per listed series, with ``page`` and ``pos`` as its place in the source."""
-    rows = pages.select("page", F.posexplode_outer("features").alias("pos", "feature"))
+    rows = pages.select(
+        "page",
+        F.col("features").isNull().alias("no_features"),
+        F.posexplode_outer("features").alias("pos", "feature"),
+    ).filter("no_features or pos is not null")
     p = "feature.properties"
-    flat = rows.filter("pos is not null").select(
+    flat = rows.select(
         "page",
         "pos",
         F.col(f"{p}.monitoring_location_id").alias("site_no"),
@@ -69,7 +78,7 @@ def metadata_rows(pages: DataFrame, param: str | None = None) -> DataFrame:
         *[F.col(f"{p}.{name}") for name in _SITE_FIELDS if name != "name"],
         *[F.col(f"{p}.{name}") for name in _SERIES_FIELDS],
     )
-    flat = require(flat, F.col("site_no").isNotNull(), "metadata without monitoring_location_id")
+    flat = require(flat, F.col("site_no").isNotNull(), "metadata page or feature without a site")
     return flat if param is None else flat.filter(F.col("parameter_code") == param)
 
 
@@ -98,14 +107,18 @@ def site_headers(rows: DataFrame) -> DataFrame:
 def site_series(rows: DataFrame) -> DataFrame:
     """Flat form: each series beside the fields of its site; a site without any keeps a row.
 
-    Nothing is gathered per site. The series are the side of the join that Spark can split
+    Nothing is gathered per site. The rows are the side of the join that Spark can split
     when one site has very many.
     """
-    headers = site_headers(rows)
-    series = rows.filter(_is_listed()).select("site_no", *_SERIES_FIELDS, _place().alias("place"))
-    with_series = series.join(headers, "site_no")
-    without = headers.filter("n_series = 0")
-    return with_series.unionByName(without, allowMissingColumns=True).drop("n_series")
+    placed = rows.select("site_no", *_SERIES_FIELDS, _place().alias("place"))
+    stands_in = (F.col("n_series") == 0) & (F.col("place") == F.col("first_place"))
+    series = {name: F.when(_is_listed(), F.col(name)) for name in [*_SERIES_FIELDS, "place"]}
+    return (
+        placed.join(site_headers(rows), "site_no")
+        .filter(_is_listed() | stands_in)
+        .withColumns(series)
+        .drop("n_series")
+    )
 
 
 def site_metadata(rows: DataFrame) -> DataFrame:

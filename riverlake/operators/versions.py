@@ -7,6 +7,8 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 from urllib.parse import quote
 
 import pandas as pd
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riverlake.functions import wire
+from riverlake.functions.guards import require
 from riverlake.operators import readings as queries
 from riverlake.operators.readings import ReadingFilter
 from riverlake.schemas import MANIFEST
@@ -86,38 +89,42 @@ def file_hashes(
     )
 
 
-def content_hashes(files: DataFrame, *by: str) -> DataFrame:
-    """One hash over the files of each version: ``*by, content_hash``.
+def content_hashes(files: DataFrame, *by: str, totals: tuple[str, ...] = ()) -> DataFrame:
+    """One row per version: ``*by, content_hash, n_files`` and the sum of each of ``totals``.
 
     The hash runs over the lines ``path:sha256`` in byte order of the paths, so it can only
     be taken in sequence. A version's lines are sorted by Spark, which spills, and then
-    hashed as they stream past; they are never held together.
+    hashed and counted as they stream past; they are never held together.
     """
-    keys = list(by)
+    keys, sums = list(by), list(totals)
     line = F.concat("path", F.lit(":"), "sha256", F.lit("\n"))
     ordered = (
-        files.select(*by, "path", line.alias("line"))
+        files.select(*by, "path", line.alias("line"), *totals)
         .repartition(*by)
         .sortWithinPartitions(*by, "path")
-        .select(*by, "line")
+        .select(*by, "line", *totals)
     )
+    columns = [*keys, "content_hash", "n_files", *sums]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, digest = None, None
+        current, digest, counts = None, None, None
         for batch in batches:
             done = []
             for key, run in batch.groupby(keys, sort=False, dropna=False):
                 if key != current:
                     if digest is not None:
-                        done.append((*current, digest.hexdigest()))
-                    current, digest = key, hashlib.sha256()
+                        done.append((*current, digest.hexdigest(), *counts))
+                    current, digest, counts = key, hashlib.sha256(), [0] * (1 + len(sums))
                 digest.update("".join(run["line"]).encode("utf-8"))
+                counts = [c + int(n) for c, n in zip(counts, (len(run), *run[sums].sum()))]
             if done:
-                yield pd.DataFrame(done, columns=[*keys, "content_hash"])
+                yield pd.DataFrame(done, columns=columns)
         if digest is not None:
-            yield pd.DataFrame([(*current, digest.hexdigest())], columns=[*keys, "content_hash"])
+            yield pd.DataFrame([(*current, digest.hexdigest(), *counts)], columns=columns)
 
-    return ordered.mapInPandas(fold, ordered.withColumnRenamed("line", "content_hash").schema)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*by).schema)
+    counted = ", ".join(f"`{name}` bigint" for name in ["n_files", *sums])
+    return ordered.mapInPandas(fold, f"{kept}, content_hash string, {counted}")
 
 
 # -- manifests ------------------------------------------------------------------------
@@ -155,11 +162,8 @@ def provenance(readings: DataFrame) -> DataFrame:
 
 
 def manifest_totals(files: DataFrame, *by: str) -> DataFrame:
-    """Row count, file count and content hash of each version."""
-    totals = files.groupBy(*by).agg(
-        F.sum("row_count").alias("row_count"), F.count(F.lit(1)).alias("n_files")
-    )
-    return totals.join(content_hashes(files, *by), list(by))
+    """Content hash, file count and row count of each version, in one pass over its files."""
+    return content_hashes(files, *by, totals=("row_count",))
 
 
 def with_previous(versions: DataFrame, by: str, value: str, name: str) -> DataFrame:
@@ -212,13 +216,16 @@ def read_manifests(spark: SparkSession, folders: list[str]) -> DataFrame:
     if not folders:
         return spark.createDataFrame([], MANIFEST).withColumn("dir_name", F.lit(""))
     name = F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)/{MANIFEST_FILE}$", 1)
-    return (
+    manifests = (
         spark.read.schema(MANIFEST)
         .option("multiLine", True)
         .option("mode", "FAILFAST")
         .json([f"{folder}/{MANIFEST_FILE}" for folder in folders])
         .select("*", name.alias("dir_name"))
     )
+    required = [f for f in manifests.columns if f != "parent_hash"]
+    complete = reduce(and_, (F.col(f).isNotNull() for f in required))
+    return require(manifests, complete, F.concat(F.lit("incomplete manifest in "), "dir_name"))
 
 
 def versions(spark: SparkSession, publish_root: str, name: str) -> DataFrame:
@@ -370,14 +377,17 @@ def compare_files(declared: DataFrame, actual: DataFrame, *by: str) -> DataFrame
 
 def verify_totals(compared: DataFrame, *by: str) -> DataFrame:
     """Per version: ``ok``, file counts, and the content hash that the files give now."""
-    totals = compared.groupBy(*by).agg(
-        F.bool_and("same").alias("ok"),
-        F.count(F.lit(1)).alias("n_files"),
-        F.count_if(~F.col("same")).alias("n_mismatched"),
+    now = compared.select(
+        *by,
+        "path",
+        F.col("actual_sha256").alias("sha256"),
+        (~F.col("same")).cast("int").alias("n_mismatched"),
+    )
+    return (
+        content_hashes(now, *by, totals=("n_mismatched",))
+        .withColumnRenamed("content_hash", "actual_hash")
+        .withColumn("ok", F.col("n_mismatched") == 0)
     )
-    now = compared.select(*by, "path", F.col("actual_sha256").alias("sha256"))
-    hashes = content_hashes(now, *by).withColumnRenamed("content_hash", "actual_hash")
-    return totals.join(hashes, list(by))
 
 
 def verify_version(spark: SparkSession, folder: str) -> DataFrame:

@@ -164,18 +164,21 @@ def latest_dates(
     )
 
 
-def write_export(readings: DataFrame, path: str, service: str) -> None:
-    """All nine columns as Parquet in one folder, without partitions.
+def write_export(readings: DataFrame, path: str, service: str) -> int:
+    """All nine columns as Parquet in one folder, without partitions; returns the row count.
 
     A small export ends up in one file and a large one in as many as it needs.
     """
+    written = Observation()
     (
         readings.select(*reading_schema(service).fieldNames())
         .hint("rebalance")
+        .observe(written, F.count(F.lit(1)).alias("rows"))
         .write.mode("overwrite")
         .option("compression", "zstd")
         .parquet(path)
     )
+    return written.get["rows"]
 
 
 def read_export(spark: SparkSession, path: str, service: str) -> DataFrame:

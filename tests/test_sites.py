@@ -78,7 +78,11 @@ def test_no_metadata_is_an_error(spark, pages):
 
 def test_row_without_site_fails(spark, tmp_path):
     pages = landed(spark, tmp_path, [series(None)])
-    with pytest.raises(Exception, match="monitoring_location_id"):
+    (tmp_path / "other").mkdir()
+    other = landed(spark, tmp_path / "other", None)
+    with pytest.raises(Exception, match="without a site"):
+        sites.metadata_rows(other).collect()
+    with pytest.raises(Exception, match="without a site"):
         sites.metadata_rows(pages).collect()
 
 
