@@ -15,7 +15,7 @@ from riverlake.plans import requests
 from riverlake.plans.loading import load_landed
 from riverlake.schemas import CONTINUOUS, DAILY, PARTITION_COLUMNS
 from riverlake.session import configure, scratch_dir
-from riverlake.sources import lake, pages
+from riverlake.sources import lake, metadata, pages
 from riverlake.streaming.ingest import start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -289,8 +289,8 @@ def site_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metadata_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "metadata")
-    sites.write_metadata(sites.site_metadata(_metadata_rows(spark, sf_dir)), path)
-    return sites.flatten_metadata(sites.read_metadata(spark, path))
+    metadata.write_metadata(sites.site_metadata(_metadata_rows(spark, sf_dir)), path)
+    return sites.flatten_metadata(metadata.read_metadata(spark, path))
 
 
 def site_report(spark: SparkSession, sf_dir: str) -> DataFrame:

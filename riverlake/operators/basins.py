@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riverlake.functions import sphere
 from riverlake.functions.guards import require
 from riverlake.schemas import BASIN_DOCUMENT
+from riverlake.sources.basins import write_basins
 
 # Square miles to square kilometres, and how far a ratio may be from 1.
 SQ_MI_TO_KM2 = 2.589_988
@@ -17,28 +18,6 @@ _POLYGON = "array<array<array<double>>>"
 _MULTIPOLYGON = "array<array<array<array<double>>>>"
 
 
-def read_basins(spark: SparkSession, path: str) -> DataFrame:
-    """Basin files ``<site>.geojson``, or ``site_no=<site>`` folders: ``site_no, document``."""
-    name = F.coalesce(
-        F.nullif(F.regexp_extract("file", r"/site_no=([^/]+)/", 1), F.lit("")),
-        F.regexp_extract("file", r"([^/]+)\.geojson$", 1),
-    )
-    return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .text(path)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("document"))
-        .select(F.url_decode(name).alias("site_no"), "document")
-    )
-
-
-def write_basins(basins: DataFrame, path: str) -> None:
-    """Each document into the folder of its site."""
-    basins.select("site_no", F.col("document").alias("value")).write.mode("overwrite").partitionBy(
-        "site_no"
-    ).text(path)
-
-
 def _polygons(feature: Column) -> Column:
     """A feature's geometry as a list of polygons; null for any other type."""
     kind, text = feature["geometry"]["type"], feature["geometry"]["coordinates"]

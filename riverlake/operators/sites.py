@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverlake.functions.guards import require
-from riverlake.schemas import SERVICES, SITE_METADATA
-from riverlake.sources import fs, lake
+from riverlake.schemas import SERVICES
+from riverlake.sources import lake
 
 _SITE_FIELDS = [
     "name",
@@ -140,23 +140,6 @@ def site_metadata(rows: DataFrame) -> DataFrame:
     )
 
 
-def write_metadata(metadata: DataFrame, path: str) -> None:
-    """JSON documents, one line per site; absent fields are written as null."""
-    metadata.write.mode("overwrite").option("ignoreNullFields", False).json(path)
-
-
-def read_metadata(spark: SparkSession, path: str, one_array: bool = False) -> DataFrame:
-    """Read JSON lines, or with ``one_array`` a single array. A missing path reads as empty."""
-    if not fs.exists(spark, path):
-        return spark.createDataFrame([], SITE_METADATA)
-    return (
-        spark.read.schema(SITE_METADATA)
-        .option("multiLine", one_array)
-        .option("mode", "FAILFAST")
-        .json(path)
-    )
-
-
 def flatten_metadata(metadata: DataFrame) -> DataFrame:
     """Document form to flat form, with ``place`` as the position within the site."""
     return metadata.select(

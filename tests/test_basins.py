@@ -6,6 +6,7 @@ import pytest
 
 from riverlake.operators import basins
 from riverlake.session import scratch_dir
+from riverlake.sources.basins import read_basins
 
 CELL_KM2 = 12_364.0
 
@@ -121,13 +122,13 @@ def test_without_metadata_nothing_is_compared(spark):
 def test_files_and_summary(spark, tmp_path):
     for name in ("USGS-1", "USGS-2"):
         (tmp_path / f"{name}.geojson").write_text(document(polygon(square(0, 0, 1))))
-    landed = basins.read_basins(spark, str(tmp_path))
+    landed = read_basins(spark, str(tmp_path))
     out = scratch_dir(spark, "test-basins")
     meta = spark.createDataFrame([("USGS-1", 4800.0)], "site_no string, drainage_area double")
     requested = spark.createDataFrame([("USGS-1",), ("USGS-2",), ("USGS-3",)], "site_no string")
     with pytest.raises(ValueError, match="1 requested sites.*USGS-3"):
         basins.run_basins(requested, landed, meta, out)
-    again = basins.read_basins(spark, f"{out}/basins")
+    again = read_basins(spark, f"{out}/basins")
     assert sorted(again.collect()) == sorted(landed.collect())
     lines = {r.value for r in spark.read.text(f"{out}/basins.csv").collect()}
     assert lines == {

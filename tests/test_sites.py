@@ -5,6 +5,7 @@ import pytest
 from riverlake.functions.guards import require_rows
 from riverlake.operators import sites
 from riverlake.session import scratch_dir
+from riverlake.sources.metadata import read_metadata, write_metadata
 from riverlake.sources.pages import read_metadata_pages
 from tests.helpers import readings
 
@@ -89,13 +90,13 @@ def test_row_without_site_fails(spark, tmp_path):
 def test_metadata_file(spark, pages, tmp_path_factory):
     path = scratch_dir(spark, "test-metadata")
     metadata = sites.site_metadata(sites.metadata_rows(pages))
-    sites.write_metadata(metadata, path)
-    back = sites.read_metadata(spark, path)
+    write_metadata(metadata, path)
+    back = read_metadata(spark, path)
     assert sorted(back.collect(), key=str) == sorted(metadata.collect(), key=str)
     array = tmp_path_factory.mktemp("array") / "sites.json"
     array.write_text(json.dumps([r.asDict(recursive=True) for r in back.collect()], indent=2))
-    assert sites.read_metadata(spark, str(array), one_array=True).count() == 3
-    assert sites.read_metadata(spark, path + "-missing").collect() == []
+    assert read_metadata(spark, str(array), one_array=True).count() == 3
+    assert read_metadata(spark, path + "-missing").collect() == []
     flat = sites.flatten_metadata(back).collect()
     assert sorted((r.site_no, r.place) for r in flat if r.place is not None) == [
         ("A", 0),
