@@ -320,16 +320,18 @@ def publish(
 
     # Keeping the latest copies is the costly step: do it once, and go on from the result.
     staged_at = scratch_dir(spark, "publish")
-    selected = queries.filtered_readings(spark, lake_root, wanted)
-    lake.write_export(queries.as_exported(selected, wanted.service), staged_at, wanted.service)
-    staged = lake.read_export(spark, staged_at, wanted.service)
-    held = provenance(staged).first()
-    if not held.row_count:
-        raise ValueError("no reading passes the filter, so there is no version to publish")
-
     pending = f"{dataset}/v{n}-{_PENDING}"
-    _write_files(staged, pending, held.row_count, rows_per_file)
-    fs.delete(spark, staged_at)
+    try:
+        selected = queries.filtered_readings(spark, lake_root, wanted)
+        exported = queries.as_exported(selected, wanted.service)
+        exported.write.mode("overwrite").option("compression", "zstd").parquet(staged_at)
+        staged = lake.read_export(spark, staged_at, wanted.service)
+        held = provenance(staged).first()
+        if not held.row_count:
+            raise ValueError("no reading passes the filter, so there is no version to publish")
+        _write_files(staged, pending, held.row_count, rows_per_file)
+    finally:
+        fs.delete(spark, staged_at)
     files = sorted(_file_entries(spark, pending, wanted.service).collect(), key=lambda f: f.path)
     listed = spark.createDataFrame(
         [(n, f.path, f.sha256) for f in files], "n bigint, path string, sha256 string"

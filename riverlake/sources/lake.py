@@ -58,8 +58,8 @@ def append_readings(readings: DataFrame, root: str, service: str) -> int:
         readings.select(*reading_schema(service).fieldNames())
         .withColumn("year", reading_year(F.col("datetime")))
         .hint("rebalance", *PARTITION_COLUMNS)
-        .sortWithinPartitions(*PARTITION_COLUMNS, "datetime")
         .observe(written, F.count(F.lit(1)).alias("rows"))
+        .sortWithinPartitions(*PARTITION_COLUMNS, "datetime")
     )
     with settings(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
         placed.write.mode("append").option("compression", "zstd").partitionBy(
@@ -72,6 +72,26 @@ def _empty(spark: SparkSession, service: str) -> DataFrame:
     return spark.createDataFrame([], lake_schema(service))
 
 
+def _series_folders(
+    spark: SparkSession, root: str, service: str, sites: list[str] | None, param_cd: str | None
+) -> list[str] | None:
+    """Existing folders of one parameter at a short list of sites; otherwise None.
+
+    Names that a path would spell differently are left to the filter.
+    """
+    if not sites or not param_cd or len(sites) > MAX_NARROWED_SITES:
+        return None
+    if not all(_PLAIN_NAME.fullmatch(name) for name in [*sites, param_cd]):
+        return None
+    folders = [series_folder(root, service, site, param_cd) for site in dict.fromkeys(sites)]
+    return [folder for folder in folders if fs.exists(spark, folder)]
+
+
+def _read(spark: SparkSession, root: str, service: str, folders: list[str]) -> DataFrame:
+    reader = spark.read.schema(lake_schema(service)).option("basePath", service_root(root, service))
+    return reader.parquet(*folders) if folders else _empty(spark, service)
+
+
 def read_service(
     spark: SparkSession,
     root: str,
@@ -88,13 +108,8 @@ def read_service(
     base = service_root(root, service)
     if not fs.exists(spark, base):
         return _empty(spark, service)
-    reader = spark.read.schema(lake_schema(service)).option("basePath", base)
-    names = [*(sites or []), param_cd or ""]
-    if sites and len(sites) <= MAX_NARROWED_SITES and all(map(_PLAIN_NAME.fullmatch, names)):
-        folders = [series_folder(root, service, s, param_cd) for s in dict.fromkeys(sites)]
-        folders = [f for f in folders if fs.exists(spark, f)]
-        return reader.parquet(*folders) if folders else _empty(spark, service)
-    return reader.parquet(base)
+    folders = _series_folders(spark, root, service, sites, param_cd)
+    return _read(spark, root, service, [base] if folders is None else folders)
 
 
 def register_lake(spark: SparkSession, root: str) -> None:
@@ -103,9 +118,8 @@ def register_lake(spark: SparkSession, root: str) -> None:
         read_service(spark, root, service).createOrReplaceTempView(service)
 
 
-def stored_partitions(spark: SparkSession, root: str, service: str) -> DataFrame:
+def stored_partitions(spark: SparkSession, folders: list[str]) -> DataFrame:
     """Distinct ``site_no, param_cd, year`` from file names alone; opens no file."""
-    base = service_root(root, service)
     columns = [
         F.regexp_extract("path", rf"/{name}=([^/]*)/", 1).alias(name) for name in PARTITION_COLUMNS
     ]
@@ -113,7 +127,7 @@ def stored_partitions(spark: SparkSession, root: str, service: str) -> DataFrame
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
         .option("recursiveFileLookup", "true")
-        .load(base)
+        .load(folders)
         .select(*columns)
         .distinct()
     )
@@ -124,6 +138,7 @@ def latest_dates(
     root: str,
     service: str,
     param_cd: str | None = None,
+    sites: list[str] | None = None,
     max_named: int = MAX_NAMED_FOLDERS,
 ) -> DataFrame:
     """Date of the latest reading of each series: ``site_no, param_cd, max_date``.
@@ -133,35 +148,43 @@ def latest_dates(
     more series than can be named one by one, the column is read from every year on that is
     the latest of some series.
     """
-    if not fs.exists(spark, service_root(root, service)):
+    base = service_root(root, service)
+    folders = [base] if fs.exists(spark, base) else []
+    if folders:
+        narrowed = _series_folders(spark, root, service, sites, param_cd)
+        folders = folders if narrowed is None else narrowed
+    if not folders:
         return spark.createDataFrame([], "site_no string, param_cd string, max_date date")
-    known = stored_partitions(spark, root, service)
-    if param_cd is not None:
-        known = known.filter(F.col("param_cd") == param_cd)
-    newest = known.groupBy("site_no", "param_cd").agg(
-        F.max(F.col("year").cast("int")).alias("year")
+
+    def wanted(table: DataFrame) -> DataFrame:
+        if param_cd is not None:
+            table = table.filter(F.col("param_cd") == param_cd)
+        if sites is not None:
+            table = table.join(
+                spark.createDataFrame([(s,) for s in sites], "site_no string"),
+                "site_no",
+                "left_semi",
+            )
+        return table
+
+    newest = (
+        wanted(stored_partitions(spark, folders))
+        .groupBy("site_no", "param_cd")
+        .agg(F.max(F.col("year").cast("int")).alias("year"))
     )
     # One row past the limit shows that there are more.
     rows = newest.limit(max_named + 1).collect()
     if len(rows) <= max_named:
-        folders = [
+        named = [
             f"{series_folder(root, service, r.site_no, r.param_cd)}/year={r.year}" for r in rows
         ]
-        table = (
-            spark.read.schema(lake_schema(service))
-            .option("basePath", service_root(root, service))
-            .parquet(*folders)
-            if folders
-            else _empty(spark, service)
-        )
+        table = _read(spark, root, service, named)
     else:
         oldest = newest.agg(F.min("year")).first()[0]
-        table = read_service(spark, root, service).filter(F.col("year").cast("int") >= oldest)
-        if param_cd is not None:
-            table = table.filter(F.col("param_cd") == param_cd)
-    return table.groupBy("site_no", "param_cd").agg(
-        F.max(F.to_date("datetime")).alias("max_date")
-    )
+        table = wanted(_read(spark, root, service, folders)).filter(
+            F.col("year").cast("int") >= oldest
+        )
+    return table.groupBy("site_no", "param_cd").agg(F.max(F.to_date("datetime")).alias("max_date"))
 
 
 def write_export(readings: DataFrame, path: str, service: str) -> int:

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,12 @@ def test_latest_dates(spark, root, max_named):
     }
     only = lake.latest_dates(spark, root, "daily", "00065", max_named=max_named).collect()
     assert [x.site_no for x in only] == ["USGS-1"]
+    for param in (None, "00060"):
+        some = lake.latest_dates(
+            spark, root, "daily", param, sites=["USGS-2", "USGS-404"], max_named=max_named
+        )
+        assert [tuple(x) for x in some.collect()] == [("USGS-2", "00060", dt.date(2024, 5, 1))]
+    assert lake.latest_dates(spark, root, "daily", "00060", sites=["USGS-404"]).count() == 0
 
 
 def test_failed_append_adds_nothing(spark, root):
@@ -147,11 +154,12 @@ def test_hot_partition_is_split_over_tasks(spark):
     table = lake.read_service(spark, root, "continuous")
     assert table.count() == 400_000
     assert len(table.inputFiles()) > 1
+    for path in table.inputFiles():
+        times = pq.ParquetFile(path.removeprefix("file://")).read(["datetime"]).column(0)
+        assert times.to_pylist() == sorted(times.to_pylist())
 
 
 def test_stored_timestamps_have_statistics(spark, root):
-    import pyarrow.parquet as pq
-
     lake.append_readings(
         readings(spark, [("s", "p", "2024-01-01 00:00:00.25", 1.0)], "continuous"), root, "continuous"
     )
