@@ -1,4 +1,4 @@
-"""Fixed text forms of dates and instants."""
+"""Fixed text forms of dates, instants and numbers."""
 
 from __future__ import annotations
 
@@ -28,3 +28,16 @@ def shown_datetime(datetime: Column, service: str) -> Column:
     if check_service(service) == DAILY:
         return datetime
     return F.date_trunc("second", datetime)
+
+
+def fixed_decimals(value: Column, places: int) -> Column:
+    """A double with so many decimals, rounded by its exact binary value, ties to even.
+
+    ``format_string`` would round the shortest decimal text of the double, half up.
+    """
+    pattern = "0." + "0" * places if places else "0"
+    return (
+        F.when(value == float("inf"), "inf")
+        .when(value == float("-inf"), "-inf")
+        .otherwise(F.call_function("format_number", value, F.lit(pattern)))
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riverlake.functions import sphere
 from riverlake.functions.guards import require
+from riverlake.functions.wire import fixed_decimals
 from riverlake.schemas import BASIN_DOCUMENT
 from riverlake.sources.basins import write_basins
 
@@ -84,19 +85,12 @@ def missing_basins(requested: DataFrame, basins: DataFrame) -> DataFrame:
 
 def summary_rows(checked: DataFrame) -> DataFrame:
     """The check as text with fixed decimals, empty where unknown."""
-
-    def decimals(name: str, places: int) -> Column:
-        return F.coalesce(F.format_string(f"%.{places}f", name), F.lit(""))
-
-    def blank_if_null(name: str, places: int) -> Column:
-        return F.when(F.col(name).isNull(), "").otherwise(decimals(name, places))
-
-    return checked.select(
-        "site_no",
-        blank_if_null("nldi_area_km2", 3).alias("nldi_area_km2"),
-        blank_if_null("nwis_drainage_area_km2", 3).alias("nwis_drainage_area_km2"),
-        blank_if_null("area_ratio", 4).alias("area_ratio"),
-    )
+    places = {"nldi_area_km2": 3, "nwis_drainage_area_km2": 3, "area_ratio": 4}
+    texts = [
+        F.coalesce(fixed_decimals(F.col(name), n), F.lit("")).alias(name)
+        for name, n in places.items()
+    ]
+    return checked.select("site_no", *texts)
 
 
 def write_summary(checked: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from riverlake.functions import parsing
+from riverlake.functions.wire import fixed_decimals
 from riverlake.plans.requests import with_windows
 
 FEW = settings(
@@ -102,6 +103,17 @@ def test_instants_that_are_refused(spark):
     assert parsed(spark, texts, parsing.instant) == [None] * len(texts)
 
 
+def test_fixed_decimals(spark):
+    dice = random.Random(6)
+    values = [2.0005, 2.5, 0.125, -2.0005, 1e20, 123456789.0005, math.inf, -math.inf]
+    values += [round(dice.uniform(-1e4, 1e4), 4) for _ in range(2000)]
+    values += [dice.randrange(-(10**7), 10**7) / 16 for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    for places in (0, 3, 4):
+        rows = df.select("i", fixed_decimals(F.col("v"), places).alias("t")).orderBy("i").collect()
+        assert [r.t for r in rows] == [f"{v:.{places}f}" for v in values]
+
+
 def test_windows(spark):
     dice = random.Random(4)
     ranges, expected = [], set()
