@@ -15,7 +15,7 @@ from riverlake.plans import requests
 from riverlake.plans.loading import load_landed
 from riverlake.schemas import CONTINUOUS, DAILY, PARTITION_COLUMNS
 from riverlake.session import configure, scratch_dir
-from riverlake.sources import lake, metadata, pages
+from riverlake.sources import fs, lake, metadata, pages
 from riverlake.streaming.ingest import start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,7 +29,7 @@ _lakes: dict[tuple[str, str], str] = {}
 def lake_of(spark: SparkSession, sf_dir: str) -> str:
     """A lake holding both adapters' readings, written once per application."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _lakes:
+    if key not in _lakes or not fs.exists(spark, _lakes[key]):
         root = scratch_dir(spark, "lake")
         lake.append_readings(adapters.daily(spark, sf_dir), root, DAILY)
         lake.append_readings(adapters.continuous(spark, sf_dir), root, CONTINUOUS)

@@ -19,7 +19,7 @@ from riverlake.functions import wire
 from riverlake.functions.guards import require
 from riverlake.operators import readings as queries
 from riverlake.operators.readings import ReadingFilter
-from riverlake.schemas import MANIFEST
+from riverlake.schemas import MANIFEST, STRICT_JSON
 from riverlake.session import scratch_dir
 from riverlake.sources import fs, lake
 
@@ -218,8 +218,8 @@ def read_manifests(spark: SparkSession, folders: list[str]) -> DataFrame:
     name = F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)/{MANIFEST_FILE}$", 1)
     manifests = (
         spark.read.schema(MANIFEST)
+        .options(**STRICT_JSON)
         .option("multiLine", True)
-        .option("mode", "FAILFAST")
         .json([f"{folder}/{MANIFEST_FILE}" for folder in folders])
         .select("*", name.alias("dir_name"))
     )

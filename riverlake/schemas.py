@@ -54,6 +54,13 @@ def lake_schema(service: str) -> T.StructType:
     return table
 
 
+# Landed documents must be plain JSON; a reader that meets anything else fails.
+STRICT_JSON = {
+    "mode": "FAILFAST",
+    "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
+}
+
 # Value and qualifier stay variants, so that the JSON type they arrived with is still known.
 READING_PAGE = """
     features array<struct<

@@ -119,16 +119,22 @@ def register_lake(spark: SparkSession, root: str) -> None:
 
 
 def stored_partitions(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """Distinct ``site_no, param_cd, year`` from file names alone; opens no file."""
-    columns = [
-        F.regexp_extract("path", rf"/{name}=([^/]*)/", 1).alias(name) for name in PARTITION_COLUMNS
-    ]
+    """Distinct ``site_no, param_cd, year`` from file names alone; opens no file.
+
+    ``folder`` is the folder of the series, where special characters are written as ``%XX``.
+    """
+
+    def from_path(name: str) -> Column:
+        spelled = F.regexp_extract("path", rf"/{name}=([^/]*)/", 1)
+        return F.url_decode(F.replace(spelled, F.lit("+"), F.lit("%2B"))).alias(name)
+
+    folder = F.regexp_extract("path", r"^(.*/param_cd=[^/]*)/", 1).alias("folder")
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
         .option("recursiveFileLookup", "true")
         .load(folders)
-        .select(*columns)
+        .select(*map(from_path, PARTITION_COLUMNS), folder)
         .distinct()
     )
 
@@ -169,16 +175,13 @@ def latest_dates(
 
     newest = (
         wanted(stored_partitions(spark, folders))
-        .groupBy("site_no", "param_cd")
+        .groupBy("folder")
         .agg(F.max(F.col("year").cast("int")).alias("year"))
     )
     # One row past the limit shows that there are more.
     rows = newest.limit(max_named + 1).collect()
     if len(rows) <= max_named:
-        named = [
-            f"{series_folder(root, service, r.site_no, r.param_cd)}/year={r.year}" for r in rows
-        ]
-        table = _read(spark, root, service, named)
+        table = _read(spark, root, service, [f"{r.folder}/year={r.year}" for r in rows])
     else:
         oldest = newest.agg(F.min("year")).first()[0]
         table = wanted(_read(spark, root, service, folders)).filter(

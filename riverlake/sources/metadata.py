@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riverlake.schemas import SITE_METADATA
+from riverlake.schemas import SITE_METADATA, STRICT_JSON
 from riverlake.sources import fs
 
 
@@ -19,7 +19,7 @@ def read_metadata(spark: SparkSession, path: str, one_array: bool = False) -> Da
         return spark.createDataFrame([], SITE_METADATA)
     return (
         spark.read.schema(SITE_METADATA)
+        .options(**STRICT_JSON)
         .option("multiLine", one_array)
-        .option("mode", "FAILFAST")
         .json(path)
     )

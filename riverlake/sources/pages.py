@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverlake.schemas import METADATA_PAGE, READING_PAGE
+from riverlake.schemas import METADATA_PAGE, READING_PAGE, STRICT_JSON
 
 
 def _read(spark: SparkSession, path: str, schema: str, one_per_line: bool) -> DataFrame:
     return (
         spark.read.schema(schema)
+        .options(**STRICT_JSON)
         .option("multiLine", not one_per_line)
-        .option("mode", "FAILFAST")
         .json(path)
         .select(F.col("_metadata.file_path").alias("page"), "features", "links")
     )
@@ -29,7 +29,7 @@ def read_metadata_pages(spark: SparkSession, path: str, one_per_line: bool = Fal
 
 
 def _parse(texts: DataFrame, page: Column, text: Column, schema: str) -> DataFrame:
-    parsed = F.from_json(text, schema, {"mode": "FAILFAST"})
+    parsed = F.from_json(text, schema, STRICT_JSON)
     return texts.select(page.alias("page"), parsed.alias("doc")).select(
         "page", "doc.features", "doc.links"
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from riverlake.operators.cleaning import clean_readings
-from riverlake.schemas import READING_PAGE, check_service
+from riverlake.schemas import READING_PAGE, STRICT_JSON, check_service
 from riverlake.sources import lake
 
 
@@ -27,8 +27,8 @@ def start_ingest(
     check_service(service)
     reader = (
         spark.readStream.schema(READING_PAGE)
+        .options(**STRICT_JSON)
         .option("multiLine", not one_per_line)
-        .option("mode", "FAILFAST")
     )
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)

@@ -139,8 +139,16 @@ def test_page_without_features_fails_but_an_empty_one_does_not(spark, tmp_path):
         clean_readings(read_reading_pages(spark, str(tmp_path)), "daily").count()
 
 
-def test_text_that_is_not_json_fails(spark, tmp_path):
-    (tmp_path / "page.json").write_text("<html>")
+@pytest.mark.parametrize("text", ["<html>", "{'features': []}", '{"features": [}'])
+def test_text_that_is_not_json_fails(spark, tmp_path, text):
+    (tmp_path / "page.json").write_text(text)
+    with pytest.raises(Exception):
+        clean_readings(read_reading_pages(spark, str(tmp_path)), "daily").collect()
+
+
+def test_coordinate_that_is_no_json_number_fails(spark, tmp_path):
+    page = json.dumps({"features": [feature(geometry={"coordinates": [0.5, float("nan")]})]})
+    (tmp_path / "page.json").write_text(page)
     with pytest.raises(Exception):
         clean_readings(read_reading_pages(spark, str(tmp_path)), "daily").collect()
 

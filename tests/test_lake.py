@@ -97,6 +97,16 @@ def test_narrowed_read_gives_the_same(spark, root):
         assert sorted(narrow.collect()) == sorted(whole.collect())
 
 
+def test_names_that_a_path_spells_differently(spark):
+    root, odd = scratch_dir(spark, "test-lake"), "a:b=c/d [e]{f}*é%20"
+    lake.append_readings(readings(spark, [(odd, "00060", "2024-01-01", 1.0)]), root, "daily")
+    found = r.filtered_readings(spark, root, ReadingFilter(sites=(odd,))).collect()
+    assert [(x.site_no, x.value) for x in found] == [(odd, 1.0)]
+    for options in ({}, {"max_named": 0}, {"sites": [odd]}):
+        dates = lake.latest_dates(spark, root, "daily", "00060", **options).collect()
+        assert [(x.site_no, str(x.max_date)) for x in dates] == [(odd, "2024-01-01")]
+
+
 def test_filters_prune_folders_and_reach_the_files(spark, root):
     wanted = ReadingFilter(start="2024-01-01", end="2024-12-31")
     plan = r.filtered_readings(spark, root, wanted)._jdf.queryExecution().executedPlan().toString()
