@@ -48,6 +48,11 @@ def instant(text: Column) -> Column:
     return F.when(text.rlike(INSTANT_TEXT), F.upper(text).try_cast("timestamp"))
 
 
+def unescaped(path: Column) -> Column:
+    """Part of a path with each ``%XX`` turned back into its character."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def joined_text(value: Column) -> Column:
     """A variant holding a string or a list of strings, as one comma-joined string."""
     kind = F.schema_of_variant(value)

@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riverlake.functions.parsing import unescaped
+
 
 def read_basins(spark: SparkSession, path: str) -> DataFrame:
     """Basin files ``<site>.geojson``, or ``site_no=<site>`` folders: ``site_no, document``."""
-    name = F.coalesce(
-        F.nullif(F.regexp_extract("file", r"/site_no=([^/]+)/", 1), F.lit("")),
-        F.regexp_extract("file", r"([^/]+)\.geojson$", 1),
-    )
+    # The file address is escaped, and a partition folder's name is so once more.
+    address = unescaped(F.col("_metadata.file_path"))
+    folder = F.nullif(F.regexp_extract("file", r"/site_no=([^/]+)/", 1), F.lit(""))
+    name = F.regexp_extract("file", r"([^/]+)\.geojson$", 1)
     return (
         spark.read.option("wholetext", True)
         .option("recursiveFileLookup", True)
         .text(path)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("document"))
-        .select(F.url_decode(name).alias("site_no"), "document")
+        .select(address.alias("file"), F.col("value").alias("document"))
+        .select(F.coalesce(unescaped(folder), name).alias("site_no"), "document")
     )
 
 

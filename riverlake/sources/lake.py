@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from riverlake.functions.parsing import unescaped
 from riverlake.schemas import (
     PARTITION_COLUMNS,
     SERVICES,
@@ -125,8 +126,7 @@ def stored_partitions(spark: SparkSession, folders: list[str]) -> DataFrame:
     """
 
     def from_path(name: str) -> Column:
-        spelled = F.regexp_extract("path", rf"/{name}=([^/]*)/", 1)
-        return F.url_decode(F.replace(spelled, F.lit("+"), F.lit("%2B"))).alias(name)
+        return unescaped(F.regexp_extract("path", rf"/{name}=([^/]*)/", 1)).alias(name)
 
     folder = F.regexp_extract("path", r"^(.*/param_cd=[^/]*)/", 1).alias("folder")
     return (

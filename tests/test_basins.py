@@ -6,7 +6,7 @@ import pytest
 
 from riverlake.operators import basins
 from riverlake.session import scratch_dir
-from riverlake.sources.basins import read_basins
+from riverlake.sources.basins import read_basins, write_basins
 
 CELL_KM2 = 12_364.0
 
@@ -119,6 +119,17 @@ def test_without_metadata_nothing_is_compared(spark):
     assert tuple(row) == ("a", 5.0, None, None, None)
 
 
+def test_names_that_a_path_spells_differently(spark, tmp_path):
+    names = ["b=c", "d+e f", "%41", "é"]
+    for name in names:
+        (tmp_path / f"{name}.geojson").write_text(document(polygon(square(0, 0, 1))))
+    landed = read_basins(spark, str(tmp_path))
+    out = scratch_dir(spark, "test-basins")
+    write_basins(landed, out)
+    for table in (landed, read_basins(spark, out)):
+        assert sorted(r.site_no for r in table.collect()) == sorted(names)
+
+
 def test_files_and_summary(spark, tmp_path):
     for name in ("USGS-1", "USGS-2"):
         (tmp_path / f"{name}.geojson").write_text(document(polygon(square(0, 0, 1))))
