@@ -47,14 +47,19 @@ def sha256_of(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
+def _arrow_address(path: str) -> str:
+    """A Hadoop path as the address by which Arrow knows the same file."""
+    path = re.sub(r"^file:/+", "file:///", path)
+    return quote(re.sub(r"^s3[an]://", "s3://", path), safe=":/@")
+
+
 def _stream_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs as arrow_fs
 
     for batch in batches:
         hashes = []
         for path in batch["file"]:
-            address = quote(re.sub(r"^file:/+", "file:///", path), safe=":/@")
-            store, name = arrow_fs.FileSystem.from_uri(address)
+            store, name = arrow_fs.FileSystem.from_uri(_arrow_address(path))
             digest = hashlib.sha256()
             with store.open_input_stream(name) as stream:
                 while chunk := stream.read(_STREAM_BYTES):
