@@ -2,7 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from riverlake.checks.oracles import ORACLES
+from riverlake.checks.queries import all_queries
 from tests.compare import connect, difference
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -14,12 +16,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(all_queries()) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_matches_sql(spark, con, name):
-    assert difference(queries()[name](spark, SF_DIR), con, oracle_sql()[name]) == ""
+    assert difference(all_queries()[name](spark, SF_DIR), con, ORACLES[name]) == ""
 
 
 def test_entry(spark):
