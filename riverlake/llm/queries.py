@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverlake.llm import byte_bpe, ngram_join, token_count
+from riverlake.llm import byte_bpe, ngram_join, quality, token_count
 from riverlake.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document, with cutoffs certified on the labels."""
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return token_count.count_tokens(table(spark, sf_dir, "documents"), path)
@@ -44,6 +49,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES: list[Query] = [
     op1_ngram_join,
     op5_byte_bpe,
+    op6_quality_rules,
     op10_token_counts,
 ]
 
