@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverlake.llm import byte_bpe, ngram_join, quality, token_count
+from riverlake.llm import byte_bpe, ngram_join, quality, token_count, toxicity
 from riverlake.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated toxicity of every document."""
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return token_count.count_tokens(table(spark, sf_dir, "documents"), path)
@@ -50,6 +55,7 @@ _QUERIES: list[Query] = [
     op1_ngram_join,
     op5_byte_bpe,
     op6_quality_rules,
+    op9_toxicity,
     op10_token_counts,
 ]
 
