@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverlake.llm import byte_bpe, ngram_join, quality, token_count, toxicity
+from riverlake.llm import byte_bpe, chat_format, ngram_join, quality, token_count, toxicity, url_filter
 from riverlake.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,17 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted and read back, and one that says control strings."""
+    said = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)],
+        "conv_id long, turn long, role string, text string",
+    )
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.read_back(chat_format.format_turns(given.union(added)))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every document, as digests."""
     encoded = byte_bpe.encode_texts(
@@ -41,6 +52,20 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated toxicity of every document."""
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -53,8 +78,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES: list[Query] = [
     op1_ngram_join,
+    op3_chat_format,
     op5_byte_bpe,
     op6_quality_rules,
+    op7_url_filter,
     op9_toxicity,
     op10_token_counts,
 ]
