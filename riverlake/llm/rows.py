@@ -11,6 +11,8 @@ from pyspark.sql.types import StructType
 
 from riverlake.session import scratch_dir
 
+BATCH_ROWS = 500
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -33,9 +35,15 @@ def over_texts(
     schema: str,
     step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
 ) -> DataFrame:
-    """A pass of ``step`` over (id, text) in Arrow batches; a null text is empty."""
+    """A pass of ``step`` over (id, text) in small Arrow batches; a null text is empty."""
     narrow = df.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    return narrow.mapInArrow(step, StructType.fromDDL(schema))
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                yield batch.slice(start, BATCH_ROWS)
+
+    return narrow.mapInArrow(lambda batches: step(small(batches)), StructType.fromDDL(schema))
