@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverlake.llm import byte_bpe, chat_format, ngram_join, quality, token_count, toxicity, url_filter
+from riverlake.llm import byte_bpe, chat_format, hmm, ngram_join, quality, token_count, toxicity, url_filter
 from riverlake.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under the base and the hidden Markov model."""
+    return hmm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated toxicity of every document."""
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -82,6 +87,7 @@ _QUERIES: list[Query] = [
     op5_byte_bpe,
     op6_quality_rules,
     op7_url_filter,
+    op8_language_model,
     op9_toxicity,
     op10_token_counts,
 ]
