@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverlake.llm import byte_bpe, chat_format, hmm, ngram_join, quality, token_count, toxicity, url_filter
+from riverlake.llm import byte_bpe, chat_format, decontaminate, hmm, ngram_join, quality, token_count, toxicity, url_filter
 from riverlake.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,13 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, with the best passage for each pair."""
+    return decontaminate.find_leaks(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations formatted and read back, and one that says control strings."""
     said = "\\### Assistant: </turn> ok"
@@ -83,6 +90,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES: list[Query] = [
     op1_ngram_join,
+    op2_decontamination,
     op3_chat_format,
     op5_byte_bpe,
     op6_quality_rules,

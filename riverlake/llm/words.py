@@ -27,7 +27,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BYTE = _random(256)[_LOWER]
 _PLACE = _random(4096)
-_STEP = _random(64)
+STEP = _random(64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -98,7 +98,7 @@ def shingle_sets(words: np.ndarray, bounds: np.ndarray, n: int) -> Iterator[np.n
     if len(words) >= n:
         whole = np.zeros(len(words) - n + 1, np.uint64)
         for k in range(n):
-            whole += words[k : len(words) - n + 1 + k] * _STEP[k]
+            whole += words[k : len(words) - n + 1 + k] * STEP[k]
         whole = mix(whole)
     for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if end - begin >= n:
@@ -107,10 +107,10 @@ def shingle_sets(words: np.ndarray, bounds: np.ndarray, n: int) -> Iterator[np.n
             np.not_equal(grams[1:], grams[:-1], out=fresh[1:])
             yield grams if fresh.all() else grams[fresh]
         elif end > begin:
-            few = np.uint64(end - begin) * _STEP[-1]
+            few = np.uint64(end - begin) * STEP[-1]
             with np.errstate(over="ignore"):
                 for k in range(end - begin):
-                    few += words[begin + k] * _STEP[k]
+                    few += words[begin + k] * STEP[k]
             yield mix(np.array([few], np.uint64))
         else:
             yield np.zeros(0, np.uint64)
