@@ -22,7 +22,7 @@ How it runs:
 
 Defined results: one row per distinct id; a null text is empty; a document without words has
 no n-grams and links with nothing; one with fewer words than ``n`` has their sequence as its
-only n-gram. Rows that repeat an id count as one document, that of the smallest set. Rows
+only n-gram. Rows that repeat an id count as one document, that of the least text. Rows
 without an id are left out. Other columns are not read. N-grams are compared as 64-bit hashes.
 """
 
@@ -32,15 +32,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riverlake.llm.components import components
-from riverlake.llm.rows import over_texts, stored
+from riverlake.llm.rows import over_texts, spare, stored
 from riverlake.llm.words import mix, shingle_sets, word_hashes
 
 HEAVY = 1 << 16  # n-grams that make up more than this share of all are handled apart
-BUCKET = 500_000  # n-grams of a range, which one task counts in memory
+BUCKET = 1_500_000  # n-grams of a range, which one task counts in memory
 FLUSH = 1 << 20  # n-grams that a task packs at a time
 BINS = 16  # ranges of hashes for the suffix filter
 STAR_ROUNDS = 2
@@ -48,8 +48,8 @@ LEAST_HEAVY = 64
 
 _SIGNED = "id long, spread long, n long, k1 long, k2 long, gram long, times long"
 _SIGNED_NAMES = ["id", "spread", "n", "k1", "k2", "gram", "times"]
-_PACKED = "bucket int, ids array<long>, keys array<long>, counts array<int>, grams array<long>"
-_SHARED = _PACKED + ", freqs array<long>"
+_PACKED = "bucket int, ids array<long>, counts array<int>, grams array<long>"
+_SHARED = _PACKED + ", freqs array<int>"
 _SKETCH = (
     "id long, n long, prefix array<long>, places array<long>, shared array<long>, bins array<int>"
 )
@@ -105,8 +105,8 @@ def _lists(values: np.ndarray, owner: np.ndarray, owners: np.ndarray, kind) -> p
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def _pack(bucket, run, ids, keys, grams, freqs=None) -> pa.RecordBatch:
-    """Rows by bucket: n-grams by document, with each document's id and key once."""
+def _pack(bucket, run, ids, grams, freqs=None) -> pa.RecordBatch:
+    """Rows by bucket: n-grams by document, with each document's id once."""
     order = np.lexsort((run, bucket))
     bucket, run, grams = bucket[order], run[order], grams[order]
     fresh = np.ones(len(run), bool)
@@ -117,13 +117,12 @@ def _pack(bucket, run, ids, keys, grams, freqs=None) -> pa.RecordBatch:
     columns = [
         pa.array(owners.astype(np.int32)),
         _lists(ids[run[heads]], bucket[heads], owners, pa.int64()),
-        _lists(keys[run[heads]], bucket[heads], owners, pa.int64()),
         _lists(counts, bucket[heads], owners, pa.int32()),
         _lists(grams.view(np.int64), bucket, owners, pa.int64()),
     ]
-    names = ["bucket", "ids", "keys", "counts", "grams"]
+    names = ["bucket", "ids", "counts", "grams"]
     if freqs is not None:
-        columns.append(_lists(freqs[order], bucket, owners, pa.int64()))
+        columns.append(_lists(freqs[order].astype(np.int32), bucket, owners, pa.int32()))
         names.append("freqs")
     return pa.RecordBatch.from_arrays(columns, names)
 
@@ -135,8 +134,8 @@ def _flat(table: pa.Table, name: str) -> np.ndarray:
 
 
 def _unpack(table: pa.Table):
-    ids, keys, counts = _flat(table, "ids"), _flat(table, "keys"), _flat(table, "counts")
-    return ids, keys, np.repeat(np.arange(len(ids)), counts), _flat(table, "grams").view(np.uint64)
+    ids, counts = _flat(table, "ids"), _flat(table, "counts")
+    return ids, np.repeat(np.arange(len(ids)), counts), _flat(table, "grams").view(np.uint64)
 
 
 def _range_of(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -160,11 +159,10 @@ def _postings(docs: DataFrame, id_col, text_col, n, parts, heavy, times) -> Data
         sets = [s for _, s in held]
         grams = np.concatenate(sets)
         ids = np.array([i for i, _ in held], np.int64)
-        keys = np.array([s.sum() for s in sets], np.uint64).view(np.int64)
         run = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         hot = _frequency(grams, heavy, times) > 0
         bucket = np.where(hot, _id_range(ids, parts)[run], _range_of(grams, parts))
-        return _pack(bucket, run, ids, keys, grams)
+        return _pack(bucket, run, ids, grams)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -186,16 +184,16 @@ def _shared(postings: DataFrame, parts: int, heavy: np.ndarray, times: np.ndarra
     """N-grams of more than one document, with their frequency, by ranges of documents."""
 
     def count(table: pa.Table) -> pa.Table:
-        ids, keys, run, grams = _unpack(table)
+        ids, run, grams = _unpack(table)
         order = np.argsort(grams, kind="stable")
         grams, run = grams[order], run[order]
         heads = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
         counts = np.diff(np.append(heads, len(grams)))
         freqs = np.repeat(counts, counts)
-        freqs = np.maximum(freqs, _frequency(grams, heavy, times))
+        freqs = np.minimum(np.maximum(freqs, _frequency(grams, heavy, times)), 2**31 - 1)
         many = freqs > 1
         run, bucket = run[many], _id_range(ids, parts)[run[many]]
-        packed = _pack(bucket, run, ids, keys, grams[many], freqs[many])
+        packed = _pack(bucket, run, ids, grams[many], freqs[many])
         return pa.Table.from_batches([packed])
 
     return postings.groupBy("bucket").applyInArrow(count, _SHARED)
@@ -207,14 +205,13 @@ def _sketches(shared: DataFrame, classes: DataFrame, num: int, den: int) -> Data
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         by_id = right.sort_by("rep")
         reps, sizes = by_id["rep"].to_numpy(), by_id["n"].to_numpy()
-        ids, keys, run, grams = _unpack(left)
+        ids, run, grams = _unpack(left)
         freqs = _flat(left, "freqs")
         empty = pa.Table.from_batches([], schema=_sketch_schema())
         if not len(reps) or not len(ids):
             return empty
         at = np.minimum(np.searchsorted(reps, ids), len(reps) - 1)
-        own = (reps[at] == ids) & (by_id["k1"].to_numpy()[at] == keys)
-        keep = own[run]
+        keep = (reps[at] == ids)[run]
         doc, grams, freqs = at[run[keep]], grams[keep], freqs[keep]
         if not len(doc):
             return empty
@@ -320,15 +317,16 @@ def jaccard_components(
 
     Two documents link when ``den * |A & B| >= num * |A | B|``.
     """
-    with_id = docs.where(F.col(id_col).isNotNull())
+    with_id = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col)
     signed = stored(_signatures(with_id, id_col, text_col, n), "ngram-sets")
+    sets = signed.where("gram is null").select("id", "spread", "n", "k1", "k2").distinct()
+    if not sets.groupBy("id").count().where("count > 1").isEmpty():
+        with_id = with_id.groupBy(id_col).agg(
+            F.min(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias(text_col)
+        )
+        signed = stored(_signatures(with_id, id_col, text_col, n), "ngram-sets")
     frequent = signed.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times"))
-    chosen = (
-        signed.where("gram is null")
-        .groupBy("id")
-        .agg(F.min(F.struct("n", "k1", "k2", "spread")).alias("s"))
-        .select("id", "s.*")
-    )
+    chosen = signed.where("gram is null").select("id", "spread", "n", "k1", "k2").distinct()
     total = signed.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // BUCKET))
     # At most HEAVY n-grams can be that frequent, so the table sent out has a bound.
@@ -347,7 +345,7 @@ def jaccard_components(
     sketches = stored(
         _sketches(
             _shared(postings, parts, heavy, times),
-            classes.select(in_range, "rep", "k1", "n"),
+            classes.select(in_range, "rep", "n"),
             num,
             den,
         ),
@@ -410,3 +408,16 @@ def jaccard_components(
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "rep").alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **join: int) -> DataFrame:
+    """The rows of ``docs`` with the least id of each component; of rows with that id, one.
+
+    Rows without an id are all kept.
+    """
+    linked = jaccard_components(docs, id_col=id_col, text_col=text_col, **join)
+    least = linked.where(F.col(id_col) == F.col("component_id")).select(id_col)
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
+    place = spare(docs, "rank_of_row")
+    one = docs.join(least, id_col, "left_semi").withColumn(place, rank).where(F.col(place) == 1)
+    return one.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
