@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
+from riverlake.llm.rows import spare
+
 LEAF_BYTES = 48  # encoded directly; a longer piece is halved
 CACHE_ENTRIES = 500_000  # the cache of pieces is emptied at this size
 CACHED_CHARS = 64
@@ -170,7 +172,7 @@ def encode_texts(
     ``ranks_path`` is a file of base64 tokens and ranks that every executor has.
     """
     names = [c for c in (df.columns if keep is None else keep) if c.lower() != out_col.lower()]
-    given = df.select(*[F.col(c) for c in names], F.col(text_col).alias("__text"))
+    given = df.select(*[F.col(c) for c in names], F.col(text_col).alias(spare(df, "text_to_encode")))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks_path, pattern).encode
@@ -204,7 +206,7 @@ def decode_tokens(
 ) -> DataFrame:
     """``df`` with the bytes of each array of ids; null ids give null."""
     names = [c for c in df.columns if c.lower() != out_col.lower()]
-    given = df.select(*[F.col(c) for c in names], F.col(ids_col).alias("__ids"))
+    given = df.select(*[F.col(c) for c in names], F.col(ids_col).alias(spare(df, "ids_to_decode")))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {rank: token for token, rank in load_ranks(ranks_path).items()}.__getitem__

@@ -23,13 +23,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverlake.llm.rows import over_texts
+from riverlake.llm.rows import BATCH_ROWS, over_texts, spare
 from riverlake.llm.words import STEP, mix, word_hashes
 
 SHINGLE = 5
@@ -211,6 +212,19 @@ def _pass(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFram
     return over_texts(docs, id_col, text_col, _SCHEMA, step)
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[Items]:
+    """The distinct items, at most ITEM_BLOCK at a time."""
+    listed = (
+        benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
+        .dropna()
+        .distinct()
+        .orderBy("item", "text")
+    )
+    rows = listed.toLocalIterator()
+    while block := list(islice(rows, ITEM_BLOCK)):
+        yield Items([row.item for row in block], [row.text for row in block])
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -220,29 +234,9 @@ def find_leaks(
     item_text_col: str = "text",
 ) -> DataFrame:
     """(document, item_id, similarity, start_word, n_words) of items found in documents."""
-    listed = (
-        benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
-        .dropna()
-        .distinct()
-        .orderBy("item", "text")
-    )
     hits = docs.sparkSession.createDataFrame([], _SCHEMA)
-    ids: list[int] = []
-    texts: list[str] = []
-
-    def search() -> None:
-        nonlocal hits
-        hits = hits.union(_pass(docs, Items(list(ids), list(texts)), id_col, text_col))
-        ids.clear()
-        texts.clear()
-
-    for row in listed.toLocalIterator():
-        ids.append(row.item)
-        texts.append(row.text)
-        if len(ids) == ITEM_BLOCK:
-            search()
-    if ids:
-        search()
+    for items in _blocks(benchmark, item_col, item_text_col):
+        hits = hits.union(_pass(docs, items, id_col, text_col))
     best = F.max(F.struct("similarity", (-F.col("start_word")).alias("s"), "n_words")).alias("b")
     return hits.groupBy("id", "item_id").agg(best).select(
         F.col("id").alias(id_col),
@@ -251,3 +245,32 @@ def find_leaks(
         (-F.col("b.s")).alias("start_word"),
         "b.n_words",
     )
+
+
+def drop_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` in which no item is found."""
+
+    def clean(rows: DataFrame, items: Items) -> DataFrame:
+        given = rows.select("*", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(spare(rows, "text_to_search")))
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, BATCH_ROWS):
+                    part = batch.slice(start, BATCH_ROWS)
+                    keep = np.ones(part.num_rows, bool)
+                    found = items.search(*word_hashes(part.column(part.num_columns - 1)))
+                    keep[[text for text, _ in found]] = False
+                    kept = part.filter(pa.array(keep))
+                    yield pa.RecordBatch.from_arrays(kept.columns[:-1], kept.schema.names[:-1])
+
+        return given.mapInArrow(step, rows.schema)
+
+    for items in _blocks(benchmark, item_col, item_text_col):
+        docs = clean(docs, items)
+    return docs

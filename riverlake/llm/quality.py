@@ -216,8 +216,7 @@ def certified_cutoffs(
     tail = binomial_tail(F.col("good"), F.col("n"), max_false_rejection / len(GRIDS))
     tested = (
         counts.join(totals, "stratum")
-        .withColumn("chains", F.lit(totals.count() * len(GRIDS)))
-        .where(tail <= F.lit(error) / F.col("chains"))
+        .where(tail * totals.count() * len(GRIDS) <= error)
         .where(F.col("bad") > F.col("good") * GOOD_WEIGHT)
     )
     cutoffs = F.create_map(
@@ -231,15 +230,14 @@ def certified_cutoffs(
     )
 
 
-def judge(
+def _judged(
     docs: DataFrame,
     labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    stratum_col: str = "lang",
-    quality_col: str = "quality",
+    id_col: str,
+    text_col: str,
+    stratum_col: str,
+    quality_col: str,
 ) -> DataFrame:
-    """Per row: id, counts, whether the base rules fail, and whether the document is kept."""
     features = stored(base_features(docs, id_col, text_col, stratum_col), "quality")
     chosen = certified_cutoffs(features, labels, id_col, quality_col)
     by_stratum = chosen.groupBy("stratum").agg(
@@ -248,7 +246,20 @@ def judge(
     failed = F.lit(False)
     for rule in GRIDS:
         failed = failed | F.coalesce(F.col(rule) >= F.col("cutoffs")[rule], F.lit(False))
-    return features.join(by_stratum, "stratum", "left").select(
+    kept = (~(F.col("base_failed") | failed)).alias("kept")
+    return features.join(by_stratum, "stratum", "left").select("*", kept)
+
+
+def judge(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    stratum_col: str = "lang",
+    quality_col: str = "quality",
+) -> DataFrame:
+    """Per row: id, counts, whether the base rules fail, and whether the document is kept."""
+    return _judged(docs, labels, id_col, text_col, stratum_col, quality_col).select(
         F.col("doc_id").alias(id_col),
         "n_words",
         "word_chars",
@@ -256,5 +267,28 @@ def judge(
         "n_dup_lines",
         "n_repeat_words",
         "base_failed",
-        (~(F.col("base_failed") | failed)).alias("kept"),
+        "kept",
+    )
+
+
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    stratum_col: str = "lang",
+    quality_col: str = "quality",
+) -> DataFrame:
+    """The rows of ``docs`` that are kept; equal rows share their fate."""
+    kept = (
+        _judged(docs, labels, id_col, text_col, stratum_col, quality_col)
+        .where("kept")
+        .select("doc_id", "stratum", "digest")
+        .distinct()
+    )
+    same = (
+        docs[id_col].eqNullSafe(kept["doc_id"])
+        & (F.coalesce(docs[stratum_col].cast("string"), F.lit("")) == kept["stratum"])
+        & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == kept["digest"])
     )
+    return docs.join(kept, same, "left_semi")

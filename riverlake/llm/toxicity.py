@@ -17,6 +17,7 @@ highest holds. Without labels the score is 0, and with labels of one value it is
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,6 +29,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from riverlake.llm.rows import over_texts, stored
 
@@ -35,7 +37,8 @@ TRAIN_ROWS = 12_000
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 LEXICON_SIZE = 512
 LEAST_TEXTS = 4  # toxic texts that a lexicon entry must be in
-LEAST_Z = 4.0
+MARGIN = 1.5
+LEAST_ODDS = 2.0  # logarithm of how much more often it is in toxic texts
 PREFIXES = (4, 5, 6)
 NEAR = 5  # words around one of the second person
 SEED = 7
@@ -49,7 +52,7 @@ STAND_INS = str.maketrans("013457@$!|", "oieastasil")
 
 _WORD = re.compile("[^ \t-\r]+")
 _HIDING = re.compile(r"[^\W\d_][\d@$!*|._-]+[^\W\d_]|^[\d@$][^\W\d_]")
-FEATURES = 11
+TEXT, FEATURES, SCORE = "__toxicity_text", "__toxicity_features", "__toxicity_score"
 
 
 def plain(word: str) -> str:
@@ -102,15 +105,26 @@ def _lexicon_counts(train: DataFrame) -> DataFrame:
 
 
 def learn_lexicon(train: DataFrame, toxic: int, clean: int) -> dict[str, float]:
-    """Keys of the largest log-odds, at most ``LEXICON_SIZE``."""
+    """Keys that are too often in toxic texts to be so by chance, at most ``LEXICON_SIZE``.
+
+    ``n`` texts have a key; if a text were toxic at the usual rate each time, the chance of as
+    many toxic ones would be at most ``exp(-surprise)``. For the keys taken that is below
+    ``exp(-MARGIN)`` in the number of keys, so hardly one is there by chance.
+    """
+    counts = stored(_lexicon_counts(train), "toxicity-keys")
+    rate = toxic / (toxic + clean)
+    n, share = F.col("t") + F.col("c"), F.col("t") / (F.col("t") + F.col("c"))
+    surprise = n * (
+        share * F.log(share / rate)
+        + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
+    )
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
-    z = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     ranked = (
-        _lexicon_counts(train)
-        .where(F.col("t") >= LEAST_TEXTS)
-        .select("key", odds.alias("odds"), z.alias("z"))
-        .where((F.col("z") >= LEAST_Z) & (F.col("odds") >= 2.0))
-        .orderBy(F.desc("z"), "key")
+        counts.where(F.col("t") >= LEAST_TEXTS)
+        .select("key", odds.alias("odds"), surprise.alias("surprise"))
+        .where(F.col("surprise") >= math.log(max(2, counts.count())) + MARGIN)
+        .where(F.col("odds") >= LEAST_ODDS)
+        .orderBy(F.desc("surprise"), "key")
         .limit(LEXICON_SIZE)
     )
     return {row.key: row.odds for row in ranked.collect()}
@@ -167,18 +181,23 @@ class Reader:
         ]
 
 
-def with_features(docs: DataFrame, id_col: str, text_col: str, lexicon: dict[str, float]) -> DataFrame:
+def with_features(docs: DataFrame, text_col: str, lexicon: dict[str, float]) -> DataFrame:
+    """``docs`` with the features of each text in ``FEATURES``."""
+    given = docs.select("*", F.col(text_col).cast("string").alias(TEXT))
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lexicon)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                rows = [reader.features(text) for text in part.column(1).to_pylist()]
+                texts = part.column(part.num_columns - 1).to_pylist()
+                rows = pa.array([reader.features(t or "") for t in texts], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(rows, pa.list_(pa.float64()))], ["id", "features"]
+                    [*part.columns[:-1], rows], [*part.schema.names[:-1], FEATURES]
                 )
 
-    return over_texts(docs, id_col, text_col, "id long, features array<double>", step)
+    schema = StructType([*docs.schema.fields, StructField(FEATURES, ArrayType(DoubleType()))])
+    return given.mapInArrow(step, schema)
 
 
 def fold_of(id_col: str, folds: int) -> Column:
@@ -186,59 +205,77 @@ def fold_of(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
-def score_toxicity(
+def with_score(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
 ) -> DataFrame:
-    """Per row: id, whether it is held out, a score in [0, 1], and the predicted label."""
+    """The rows of ``docs`` with a score in [0, 1] in the column ``SCORE``."""
     marks = (
         labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic"))
         .dropna()
         .groupBy("id")
-        .agg(F.max(F.col("toxic")).alias("toxic"))
+        .agg(F.max("toxic").alias("toxic"))
         .withColumn("fold", fold_of("id", FOLDS))
         .where(F.col("fold") != HELD_OUT)
         .orderBy(F.xxhash64("id"), "id")
         .limit(TRAIN_ROWS)
     )
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # Bounded by TRAIN_ROWS rows of three numbers.
-    train = stored(
-        texts.join(F.broadcast(marks), "id").dropDuplicates(["id"]), "toxicity-train"
+    texts = docs.select(
+        F.col(id_col).cast("long").alias("id"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
+    # The marks sent out are bounded: TRAIN_ROWS rows of three numbers.
+    train = stored(texts.join(F.broadcast(marks), "id").dropDuplicates(["id"]), "toxicity-train")
     seen = {row.toxic: row["count"] for row in train.groupBy("toxic").count().collect()}
-    held_out = F.coalesce(fold_of(id_col, FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")
     if len(seen) < 2:
-        rate = float(next(iter(seen), 0))
-        scored = docs.select(F.col(id_col).cast("long").alias(id_col), F.lit(rate).alias("score"))
-    else:
-        lexicon = learn_lexicon(train, seen.get(1, 0), seen.get(0, 0))
-        vectors = stored(with_features(train, "id", "text", lexicon), "toxicity-features")
-        known = (
-            vectors.join(train.select("id", "toxic", "fold"), "id")
-            .select(
-                array_to_vector("features").alias("vector"),
-                F.col("toxic").cast("double").alias("label"),
-                "fold",
-            )
-        )
-        fitting, checking = known.where(F.col("fold") != CALIBRATION), known.where(F.col("fold") == CALIBRATION)
-        if fitting.select("label").distinct().count() < 2 or checking.isEmpty():
-            fitting = checking = known
-        trees = GBTClassifier(
-            featuresCol="vector", labelCol="label", maxIter=12, maxDepth=3, stepSize=0.3, seed=SEED
-        ).fit(fitting)
-        raw = vector_to_array("probability")[1].alias("raw")
-        calibration = IsotonicRegression(
-            featuresCol="raw", labelCol="label", predictionCol="score"
-        ).fit(trees.transform(checking).select("label", raw))
-        rows = with_features(docs, id_col, text_col, lexicon)
-        vector = rows.select(F.col("id").alias(id_col), array_to_vector("features").alias("vector"))
-        scored = calibration.transform(trees.transform(vector).select(id_col, raw)).select(id_col, "score")
-    score = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
-    return scored.select(
-        id_col, held_out, score.alias("score"), (score >= 0.5).cast("int").alias("predicted")
+        return docs.withColumn(SCORE, F.lit(float(next(iter(seen), 0))))
+    lexicon = learn_lexicon(train, seen[1], seen[0])
+    known = stored(with_features(train, "text", lexicon).drop("text"), "toxicity-features").select(
+        array_to_vector(FEATURES).alias("vector"), F.col("toxic").cast("double").alias("label"), "fold"
+    )
+    fitting = known.where(F.col("fold") != CALIBRATION)
+    checking = known.where(F.col("fold") == CALIBRATION)
+    if fitting.select("label").distinct().count() < 2 or checking.isEmpty():
+        fitting = checking = known
+    trees = GBTClassifier(
+        featuresCol="vector", labelCol="label", maxIter=12, maxDepth=3, stepSize=0.3, seed=SEED, minInstancesPerNode=8
+    ).fit(fitting)
+    trees.setPredictionCol("__toxicity_label").setProbabilityCol("__toxicity_shares")
+    trees.setRawPredictionCol("__toxicity_margins")
+    raw = vector_to_array("__toxicity_shares")[1]
+    calibration = IsotonicRegression(
+        featuresCol="__toxicity_raw", labelCol="label", predictionCol=SCORE
+    ).fit(trees.transform(checking).select("label", raw.alias("__toxicity_raw")))
+    trees.setFeaturesCol("__toxicity_vector")
+    rows = with_features(docs, text_col, lexicon).withColumn(
+        "__toxicity_vector", array_to_vector(FEATURES)
+    )
+    scored = calibration.transform(trees.transform(rows).withColumn("__toxicity_raw", raw))
+    score = F.least(F.greatest(F.col(SCORE), F.lit(0.0)), F.lit(1.0))
+    return scored.select(*[scored[f"`{c}`"] for c in docs.columns], score.alias(SCORE))
+
+
+def score_toxicity(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+) -> DataFrame:
+    """Per row: id, whether it is held out, its score, and the predicted label."""
+    narrow = docs.select(id_col, text_col)
+    held_out = F.coalesce(fold_of(id_col, FOLDS) == HELD_OUT, F.lit(False))
+    return with_score(narrow, labels, id_col, text_col, label_col).select(
+        id_col,
+        held_out.alias("held_out"),
+        F.col(SCORE).alias("score"),
+        (F.col(SCORE) >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
+    """The rows of ``docs`` that score below one half."""
+    return with_score(docs, labels, **columns).where(F.col(SCORE) < 0.5).drop(SCORE)
