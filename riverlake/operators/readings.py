@@ -14,8 +14,6 @@ from riverlake.schemas import DAILY, DEFAULT_PARAM, check_service, reading_schem
 from riverlake.sources import lake
 
 PAGE_ROWS = 100
-# A longer list of sites is joined instead of being written into the predicate.
-MAX_LISTED_SITES = 1000
 
 
 @dataclass(frozen=True)
@@ -34,12 +32,7 @@ class ReadingFilter:
 
 
 def filter_date(text: str | None, label: str) -> dt.date | None:
-    if not text:
-        return None
-    try:
-        return dt.datetime.strptime(text, "%Y-%m-%d").date()
-    except ValueError as error:
-        raise ValueError(f"{label} date {text!r} is not a YYYY-MM-DD date") from error
+    return parsing.strict_date(text, label) if text else None
 
 
 def at_sites(readings: DataFrame, sites: DataFrame) -> DataFrame:
@@ -56,11 +49,8 @@ def matching(readings: DataFrame, wanted: ReadingFilter) -> DataFrame:
     start = filter_date(wanted.start, "start")
     end = filter_date(wanted.end, "end")
     rows = readings.filter(F.col("param_cd") == wanted.param_cd)
-    if wanted.sites and len(wanted.sites) <= MAX_LISTED_SITES:
+    if wanted.sites:
         rows = rows.filter(F.col("site_no").isin(list(wanted.sites)))
-    elif wanted.sites:
-        spark = readings.sparkSession
-        rows = at_sites(rows, spark.createDataFrame([(s,) for s in wanted.sites], "site_no string"))
     kind = reading_schema(wanted.service)["datetime"].dataType
     year = F.col("year").cast("int")
     if start:
@@ -109,9 +99,7 @@ def in_order(readings: DataFrame, service: str) -> DataFrame:
 
 def filtered_readings(spark: SparkSession, root: str, wanted: ReadingFilter) -> DataFrame:
     """The latest copies of the readings a filter asks for, from a lake. Not sorted."""
-    table = lake.read_service(
-        spark, root, wanted.service, sites=list(wanted.sites), param_cd=wanted.param_cd
-    )
+    table = lake.read_service(spark, root, wanted.service, list(wanted.sites))
     return latest_matching(table, wanted)
 
 

@@ -7,6 +7,7 @@ are separate tables because their ``datetime`` columns differ in type.
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -19,25 +20,15 @@ from riverlake.schemas import (
     lake_schema,
     reading_schema,
 )
-from riverlake.session import settings
 from riverlake.sources import fs
 
-# A query for at most this many sites lists their folders only, not the whole lake.
-MAX_NARROWED_SITES = 1000
-# Latest-year folders of at most this many series are read by name.
-MAX_NAMED_FOLDERS = 100_000
-
-_PLAIN_NAME = re.compile(r"[A-Za-z0-9_-]+")
+_PARTITION_FOLDER = re.compile(r"site_no=(.*)")
 
 
 def service_root(root: str, service: str) -> str:
     return f"{root.rstrip('/')}/service={check_service(service)}"
 
 
-def series_folder(root: str, service: str, site_no: str, param_cd: str) -> str:
-    return f"{service_root(root, service)}/site_no={site_no}/param_cd={param_cd}"
-
-
 def reading_year(datetime: Column) -> Column:
     """The year of a date, or the UTC year of an instant, as the path spells it."""
     return F.year(datetime).cast("string")
@@ -47,25 +38,26 @@ def append_readings(readings: DataFrame, root: str, service: str) -> int:
     """Append readings to the lake and return how many were written.
 
     Nothing is merged: a reading that is fetched again is stored again, and queries keep
-    the latest copy. Rows are gathered by partition so that a run adds few files, and AQE
-    splits a partition that is too big for one task, so a hot site does not stall the run.
-    Small partitions are not merged into fewer tasks, because their cost lies in the number
-    of files, not in the bytes. Files are sorted by time to keep their ``datetime``
-    statistics tight. A run that fails or has no rows adds nothing.
+    the latest copy. Rows are dealt out by ranges of site, parameter, year and time: a series
+    is one file a run, and one that is too big for a task spans several, cut by time. So the
+    number of files is that of series and tasks together, whatever the sizes. Files are
+    sorted by time to keep their ``datetime`` statistics tight. A run that fails or has no
+    rows adds nothing.
     """
     spark = readings.sparkSession
     written = Observation()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [*PARTITION_COLUMNS, "datetime"]
     placed = (
         readings.select(*reading_schema(service).fieldNames())
         .withColumn("year", reading_year(F.col("datetime")))
-        .hint("rebalance", *PARTITION_COLUMNS)
+        .repartitionByRange(tasks, *order, "last_modified")
         .observe(written, F.count(F.lit(1)).alias("rows"))
-        .sortWithinPartitions(*PARTITION_COLUMNS, "datetime")
+        .sortWithinPartitions(*order)
     )
-    with settings(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
-        placed.write.mode("append").option("compression", "zstd").partitionBy(
-            *PARTITION_COLUMNS
-        ).parquet(service_root(root, service))
+    placed.write.mode("append").option("compression", "zstd").partitionBy(
+        *PARTITION_COLUMNS
+    ).parquet(service_root(root, service))
     return written.get["rows"]
 
 
@@ -73,19 +65,18 @@ def _empty(spark: SparkSession, service: str) -> DataFrame:
     return spark.createDataFrame([], lake_schema(service))
 
 
-def _series_folders(
-    spark: SparkSession, root: str, service: str, sites: list[str] | None, param_cd: str | None
-) -> list[str] | None:
-    """Existing folders of one parameter at a short list of sites; otherwise None.
-
-    Names that a path would spell differently are left to the filter.
-    """
-    if not sites or not param_cd or len(sites) > MAX_NARROWED_SITES:
-        return None
-    if not all(_PLAIN_NAME.fullmatch(name) for name in [*sites, param_cd]):
-        return None
-    folders = [series_folder(root, service, site, param_cd) for site in dict.fromkeys(sites)]
-    return [folder for folder in folders if fs.exists(spark, folder)]
+def _site_folders(
+    spark: SparkSession, root: str, service: str, sites: list[str] | None
+) -> list[str]:
+    """The folders of some sites, or of the whole service: one listing of names."""
+    base = service_root(root, service)
+    if not fs.exists(spark, base):
+        return []
+    if not sites:
+        return [base]
+    wanted = set(sites)
+    named = ((name, _PARTITION_FOLDER.fullmatch(name)) for name in fs.subfolders(spark, base))
+    return [f"{base}/{name}" for name, site in named if site and unquote(site[1]) in wanted]
 
 
 def _read(spark: SparkSession, root: str, service: str, folders: list[str]) -> DataFrame:
@@ -98,19 +89,14 @@ def read_service(
     root: str,
     service: str,
     sites: list[str] | None = None,
-    param_cd: str | None = None,
 ) -> DataFrame:
     """One service's table. A lake without that service reads as an empty table.
 
-    With a short list of ``sites`` and a ``param_cd`` only those folders are listed; the
-    caller still filters, so this never changes a result, it only saves listing a lake of
-    millions of folders.
+    With ``sites`` only their folders are listed below the first level; the caller still
+    filters, so this never changes a result, it only saves listing a lake of millions of
+    folders.
     """
-    base = service_root(root, service)
-    if not fs.exists(spark, base):
-        return _empty(spark, service)
-    folders = _series_folders(spark, root, service, sites, param_cd)
-    return _read(spark, root, service, [base] if folders is None else folders)
+    return _read(spark, root, service, _site_folders(spark, root, service, sites))
 
 
 def register_lake(spark: SparkSession, root: str) -> None:
@@ -120,21 +106,17 @@ def register_lake(spark: SparkSession, root: str) -> None:
 
 
 def stored_partitions(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """Distinct ``site_no, param_cd, year`` from file names alone; opens no file.
-
-    ``folder`` is the folder of the series, where special characters are written as ``%XX``.
-    """
+    """Distinct ``site_no, param_cd, year`` from file names alone; opens no file."""
 
     def from_path(name: str) -> Column:
         return unescaped(F.regexp_extract("path", rf"/{name}=([^/]*)/", 1)).alias(name)
 
-    folder = F.regexp_extract("path", r"^(.*/param_cd=[^/]*)/", 1).alias("folder")
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
         .option("recursiveFileLookup", "true")
         .load(folders)
-        .select(*map(from_path, PARTITION_COLUMNS), folder)
+        .select(*map(from_path, PARTITION_COLUMNS))
         .distinct()
     )
 
@@ -145,49 +127,35 @@ def latest_dates(
     service: str,
     param_cd: str | None = None,
     sites: list[str] | None = None,
-    max_named: int = MAX_NAMED_FOLDERS,
 ) -> DataFrame:
     """Date of the latest reading of each series: ``site_no, param_cd, max_date``.
 
     The latest reading lies in a series' latest year, and the years are known from folder
-    names, so normally only those folders are read, and of them only ``datetime``. With
-    more series than can be named one by one, the column is read from every year on that is
-    the latest of some series.
+    names. Only folders of years that are the latest of some series are opened, of them only
+    ``datetime``, and only rows of a series' own latest year are aggregated. The years that
+    meet in the driver are bounded by the calendar.
     """
-    base = service_root(root, service)
-    folders = [base] if fs.exists(spark, base) else []
-    if folders:
-        narrowed = _series_folders(spark, root, service, sites, param_cd)
-        folders = folders if narrowed is None else narrowed
+    folders = _site_folders(spark, root, service, sites)
     if not folders:
         return spark.createDataFrame([], "site_no string, param_cd string, max_date date")
 
     def wanted(table: DataFrame) -> DataFrame:
         if param_cd is not None:
             table = table.filter(F.col("param_cd") == param_cd)
-        if sites is not None:
-            table = table.join(
-                spark.createDataFrame([(s,) for s in sites], "site_no string"),
-                "site_no",
-                "left_semi",
-            )
-        return table
+        return table.filter(F.col("site_no").isin(list(sites))) if sites else table
 
     newest = (
         wanted(stored_partitions(spark, folders))
-        .groupBy("folder")
-        .agg(F.max(F.col("year").cast("int")).alias("year"))
+        .groupBy("site_no", "param_cd")
+        .agg(F.max(F.col("year").cast("int")).cast("string").alias("year"))
+    )
+    years = [row.year for row in newest.select("year").distinct().collect()]
+    table = wanted(_read(spark, root, service, folders)).filter(F.col("year").isin(years))
+    return (
+        table.join(newest, PARTITION_COLUMNS, "left_semi")
+        .groupBy("site_no", "param_cd")
+        .agg(F.max(F.to_date("datetime")).alias("max_date"))
     )
-    # One row past the limit shows that there are more.
-    rows = newest.limit(max_named + 1).collect()
-    if len(rows) <= max_named:
-        table = _read(spark, root, service, [f"{r.folder}/year={r.year}" for r in rows])
-    else:
-        oldest = newest.agg(F.min("year")).first()[0]
-        table = wanted(_read(spark, root, service, folders)).filter(
-            F.col("year").cast("int") >= oldest
-        )
-    return table.groupBy("site_no", "param_cd").agg(F.max(F.to_date("datetime")).alias("max_date"))
 
 
 def write_export(readings: DataFrame, path: str, service: str) -> int:

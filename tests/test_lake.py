@@ -40,10 +40,7 @@ def test_stored_schema_leaves_out_what_the_path_gives():
 
 
 def test_layout():
-    assert (
-        lake.series_folder("lake", "continuous", "USGS-1", "00060")
-        == "lake/service=continuous/site_no=USGS-1/param_cd=00060"
-    )
+    assert lake.service_root("lake/", "continuous") == "lake/service=continuous"
     with pytest.raises(ValueError, match="unknown service"):
         lake.service_root("lake", "hourly")
 
@@ -64,7 +61,7 @@ def test_path_columns_stay_text(spark, root):
 
 def test_path_wins_over_a_column_in_the_file(spark):
     root = scratch_dir(spark, "test-lake")
-    folder = lake.series_folder(root, "daily", "USGS-7", "00060") + "/year=2024"
+    folder = f"{root}/service=daily/site_no=USGS-7/param_cd=00060/year=2024"
     stored = readings(spark, [("other", "99999", "2024-01-01", 1.0)]).drop("year")
     stored.write.parquet(folder)
     row = lake.read_service(spark, root, "daily").first()
@@ -102,7 +99,7 @@ def test_names_that_a_path_spells_differently(spark):
     lake.append_readings(readings(spark, [(odd, "00060", "2024-01-01", 1.0)]), root, "daily")
     found = r.filtered_readings(spark, root, ReadingFilter(sites=(odd,))).collect()
     assert [(x.site_no, x.value) for x in found] == [(odd, 1.0)]
-    for options in ({}, {"max_named": 0}, {"sites": [odd]}):
+    for options in ({}, {"sites": [odd]}):
         dates = lake.latest_dates(spark, root, "daily", "00060", **options).collect()
         assert [(x.site_no, str(x.max_date)) for x in dates] == [(odd, "2024-01-01")]
 
@@ -116,24 +113,63 @@ def test_filters_prune_folders_and_reach_the_files(spark, root):
     assert "WindowGroupLimit" in plan
 
 
-@pytest.mark.parametrize("max_named", [100, 1])
-def test_latest_dates(spark, root, max_named):
-    rows = lake.latest_dates(spark, root, "daily", max_named=max_named).collect()
+def test_latest_dates(spark, root):
+    rows = lake.latest_dates(spark, root, "daily").collect()
     assert {(x.site_no, x.param_cd): x.max_date for x in rows} == {
         ("USGS-1", "00060"): dt.date(2024, 1, 1),
         ("USGS-1", "00065"): dt.date(2024, 1, 1),
         ("USGS-2", "00060"): dt.date(2024, 5, 1),
     }
-    only = lake.latest_dates(spark, root, "daily", "00065", max_named=max_named).collect()
+    only = lake.latest_dates(spark, root, "daily", "00065").collect()
     assert [x.site_no for x in only] == ["USGS-1"]
     for param in (None, "00060"):
         some = lake.latest_dates(
-            spark, root, "daily", param, sites=["USGS-2", "USGS-404"], max_named=max_named
+            spark, root, "daily", param, sites=["USGS-2", "USGS-404"]
         )
         assert [tuple(x) for x in some.collect()] == [("USGS-2", "00060", dt.date(2024, 5, 1))]
     assert lake.latest_dates(spark, root, "daily", "00060", sites=["USGS-404"]).count() == 0
 
 
+def test_latest_dates_of_series_that_ended_at_different_times(spark):
+    root = scratch_dir(spark, "test-lake")
+    rows = [(s, "00060", f"{y}-0{m}-01", 1.0) for s, y in (("a", 1950), ("b", 2024)) for m in (1, 3)]
+    rows += [("b", "00060", "1950-09-01", 1.0), ("b", "00060", "2001-09-01", 1.0)]
+    lake.append_readings(readings(spark, rows), root, "daily")
+    dates = {x.site_no: str(x.max_date) for x in lake.latest_dates(spark, root, "daily").collect()}
+    assert dates == {"a": "1950-03-01", "b": "2024-03-01"}
+
+
+def test_many_sites_keep_the_partition_filter(spark, root):
+    wanted = ReadingFilter(sites=tuple(f"USGS-{i}" for i in range(5000)))
+    plan = r.filtered_readings(spark, root, wanted)._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1]
+    assert "site_no" in filters.split("PushedFilters")[0]
+    assert r.filtered_readings(spark, root, wanted).count() == 3
+
+
+def test_append_leaves_about_one_file_a_series_and_splits_a_big_one(spark):
+    root = scratch_dir(spark, "test-lake")
+    many = spark.range(40_000).select(
+        F.concat(F.lit("s"), F.when(F.col("id") < 20_000, 0).otherwise(F.col("id") % 20).cast("string")).alias("site_no"),
+        F.lit("00060").alias("param_cd"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("datetime"),
+        F.lit(1.0).alias("value"),
+    )
+    full = readings(spark, [], "continuous")
+    many = full.drop("year").unionByName(many, allowMissingColumns=True).fillna(
+        {"latitude": 1.0, "longitude": 1.0, "approval_status": "Approved"}
+    )
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    try:
+        assert lake.append_readings(many, root, "continuous") == 40_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    files = lake.read_service(spark, root, "continuous").inputFiles()
+    hot = [f for f in files if "site_no=s0/" in f]
+    assert len(files) <= 20 + 8 and len(hot) > 1
+
+
 def test_failed_append_adds_nothing(spark, root):
     bad = readings(spark, DAILY).withColumn("value", F.raise_error(F.lit("broken")).cast("double"))
     with pytest.raises(Exception, match="broken"):

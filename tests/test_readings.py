@@ -94,8 +94,7 @@ def test_filter_combines(spark):
     assert values(r.matching(df, ReadingFilter().only("c"))) == [5.0]
 
 
-def test_long_site_list_is_joined(spark, monkeypatch):
-    monkeypatch.setattr(r, "MAX_LISTED_SITES", 1)
+def test_unknown_sites_are_passed_over(spark):
     df = readings(spark, [(s, "00060", "2024-01-01", float(i)) for i, s in enumerate("abc")])
     assert values(r.matching(df, ReadingFilter(sites=("a", "c", "zz")))) == [0.0, 2.0]
 
