@@ -6,13 +6,16 @@ import datetime as dt
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import groupby
 from operator import and_
 from urllib.parse import quote
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as arrow_fs
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riverlake.functions import wire
@@ -28,8 +31,8 @@ MANIFEST_FILE = "manifest.json"
 # Fixed value: how much of a hash names a version folder.
 HASH_PREFIX = 8
 
-# Files up to this size are hashed as one value in the JVM, larger ones as a stream.
-WHOLE_FILE_BYTES = 256 * 1024 * 1024
+Store = Callable[[str], tuple[arrow_fs.FileSystem, str]]
+
 _STREAM_BYTES = 8 * 1024 * 1024
 ROWS_PER_FILE = 5_000_000
 # How many consecutive version numbers one task compares.
@@ -53,45 +56,62 @@ def _arrow_address(path: str) -> str:
     return quote(re.sub(r"^s3[an]://", "s3://", path), safe=":/@")
 
 
-def _stream_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs as arrow_fs
+def _open_by_address(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    return arrow_fs.FileSystem.from_uri(_arrow_address(path))
+
 
-    for batch in batches:
-        hashes = []
-        for path in batch["file"]:
-            store, name = arrow_fs.FileSystem.from_uri(_arrow_address(path))
-            digest = hashlib.sha256()
-            with store.open_input_stream(name) as stream:
-                while chunk := stream.read(_STREAM_BYTES):
-                    digest.update(chunk)
-            hashes.append(digest.hexdigest())
-        yield pd.DataFrame({"file": batch["file"], "sha256": hashes})
+def _row_count(store: arrow_fs.FileSystem, name: str) -> int | None:
+    """The row count in a Parquet file's footer; null for any other file."""
+    try:
+        with store.open_input_file(name) as file:
+            return pq.read_metadata(file).num_rows
+    except (OSError, pa.ArrowInvalid):
+        return None
 
 
-def file_hashes(
-    spark: SparkSession, folder: str, whole_file_bytes: int = WHOLE_FILE_BYTES
-) -> DataFrame:
-    """``path, sha256`` of every file below a folder, with paths relative to it.
+def file_facts(paths: DataFrame, folder: str, open_store: Store = _open_by_address) -> DataFrame:
+    """``paths`` with ``sha256`` and ``row_count`` of each ``path`` below a folder.
 
-    One task hashes one file or several small ones, and holds at most
-    ``whole_file_bytes`` of a file at a time. Spark lists no empty files; a data file is
-    never empty.
+    Files of any size are read as a stream, a few megabytes at a time, wherever a task is;
+    empty and hidden ones as well. A missing file has no hash, one that is not Parquet no
+    row count. ``open_store`` turns a full path into a store and a name in it, for stores
+    that need credentials or options.
     """
-    base = fs.qualified(spark, folder)
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .withColumnRenamed("path", "file")
-    )
-    small = files.filter(F.col("length") <= whole_file_bytes).select(
-        "file", sha256_of(F.col("content")).alias("sha256")
-    )
-    large = files.filter(F.col("length") > whole_file_bytes).select("file")
-    hashed = small.unionByName(large.mapInPandas(_stream_hashes, "file string, sha256 string"))
-    return hashed.select(
-        F.substring(F.col("file"), len(base) + 2, 2**31 - 1).alias("path"), "sha256"
-    )
+    base = fs.qualified(paths.sparkSession, folder)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, counts = [], []
+            for path in batch.column("path").to_pylist():
+                store, name = open_store(f"{base}/{path}")
+                digest = hashlib.sha256()
+                try:
+                    with store.open_input_stream(name, compression=None) as stream:
+                        while chunk := stream.read(_STREAM_BYTES):
+                            digest.update(chunk)
+                except FileNotFoundError:
+                    hashes.append(None)
+                    counts.append(None)
+                    continue
+                hashes.append(digest.hexdigest())
+                counts.append(_row_count(store, name))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("path"), pa.array(hashes, pa.string()), pa.array(counts, pa.int64())],
+                ["path", "sha256", "row_count"],
+            )
+
+    names = paths.select("path").distinct().repartition("path")
+    return names.mapInArrow(step, "path string, sha256 string, row_count bigint")
+
+
+def _paths(spark: SparkSession, names: list[str]) -> DataFrame:
+    return spark.createDataFrame([(name,) for name in names], "path string")
+
+
+def file_hashes(spark: SparkSession, folder: str, open_store: Store = _open_by_address) -> DataFrame:
+    """``path, sha256`` of every file below a folder, with paths relative to it."""
+    listed = _paths(spark, fs.all_files(spark, folder))
+    return file_facts(listed, folder, open_store).select("path", "sha256")
 
 
 def content_hashes(files: DataFrame, *by: str, totals: tuple[str, ...] = ()) -> DataFrame:
@@ -111,25 +131,40 @@ def content_hashes(files: DataFrame, *by: str, totals: tuple[str, ...] = ()) ->
     )
     columns = [*keys, "content_hash", "n_files", *sums]
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, digest, counts = None, None, None
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, digest, counts, kinds = None, None, None, None
+
+        def plain(key: tuple) -> tuple:
+            """Null equals null, and NaN equals NaN."""
+            return tuple("NaN" if x != x else x for x in key)
+
+        def done(rows: list[tuple]) -> pa.RecordBatch:
+            types = [*kinds, pa.string(), *[pa.int64()] * (1 + len(sums))]
+            arrays = [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]
+            return pa.RecordBatch.from_arrays(arrays, columns)
+
         for batch in batches:
-            done = []
-            for key, run in batch.groupby(keys, sort=False, dropna=False):
-                if key != current:
+            kinds = [batch.column(k).type for k in keys]
+            held = [batch.column(c).to_pylist() for c in [*keys, "line", *sums]]
+            rows, ended = zip(*held), []
+            for _, run in groupby(rows, key=lambda row: plain(row[: len(keys)])):
+                run = list(run)
+                key = run[0][: len(keys)]
+                if digest is None or plain(key) != plain(current):
                     if digest is not None:
-                        done.append((*current, digest.hexdigest(), *counts))
+                        ended.append((*current, digest.hexdigest(), *counts))
                     current, digest, counts = key, hashlib.sha256(), [0] * (1 + len(sums))
-                digest.update("".join(run["line"]).encode("utf-8"))
-                counts = [c + int(n) for c, n in zip(counts, (len(run), *run[sums].sum()))]
-            if done:
-                yield pd.DataFrame(done, columns=columns)
+                digest.update("".join(row[len(keys)] for row in run).encode("utf-8"))
+                added = [sum(row[len(keys) + 1 + i] or 0 for row in run) for i in range(len(sums))]
+                counts = [c + n for c, n in zip(counts, [len(run), *added])]
+            if ended:
+                yield done(ended)
         if digest is not None:
-            yield pd.DataFrame([(*current, digest.hexdigest(), *counts)], columns=columns)
+            yield done([(*current, digest.hexdigest(), *counts)])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*by).schema)
     counted = ", ".join(f"`{name}` bigint" for name in ["n_files", *sums])
-    return ordered.mapInPandas(fold, f"{kept}, content_hash string, {counted}")
+    return ordered.mapInArrow(fold, f"{kept}, content_hash string, {counted}")
 
 
 # -- manifests ------------------------------------------------------------------------
@@ -284,20 +319,47 @@ def _write_files(readings: DataFrame, folder: str, rows: int, rows_per_file: int
     for name in fs.file_names(spark, folder):
         part = re.match(r"part-(\d+)-", name)
         if part:
-            fixed = "data" if count == 1 else f"data-{int(part.group(1)):05d}"
-            fs.rename(spark, f"{folder}/{name}", f"{folder}/{fixed}.parquet")
+            fixed = f"data-{int(part.group(1)):05d}.parquet"
+            fs.rename(spark, f"{folder}/{name}", f"{folder}/{fixed}")
         else:
             fs.delete(spark, f"{folder}/{name}")
 
 
-def _file_entries(spark: SparkSession, folder: str, service: str) -> DataFrame:
-    """``path, sha256, row_count`` of the data files; the counts come from their footers."""
-    counts = (
-        lake.read_export(spark, folder, service)
-        .groupBy(F.col("_metadata.file_name").alias("path"))
-        .agg(F.count(F.lit(1)).alias("row_count"))
-    )
-    return file_hashes(spark, folder).join(counts, "path")
+def build_manifest(
+    files: DataFrame,
+    held: Row,
+    wanted: ReadingFilter,
+    parent_hash: str | None,
+    generator: str = GENERATOR,
+    created_at: str | None = None,
+) -> dict:
+    """The manifest of a version: a document that lists all its files and sites.
+
+    ``files`` has ``path, sha256, row_count``, and ``held`` is a row of ``provenance``. The
+    lists are part of the document, and nothing else meets in the driver.
+    """
+    listed = sorted((f.asDict() for f in files.collect()), key=lambda f: f["path"])
+    content_hash = manifest_totals(files.withColumn("n", F.lit(1)), "n").first()
+    now = dt.datetime.now(dt.timezone.utc).isoformat().replace("+00:00", "Z")
+    return {
+        "content_hash": content_hash.content_hash,
+        "parent_hash": parent_hash,
+        "created_at": created_at or now,
+        "generator": generator,
+        "source": {
+            "collection": wanted.service,
+            "sites": held.sites,
+            "param_cd": wanted.param_cd,
+            "start": wanted.start or "",
+            "end": wanted.end or "",
+        },
+        "upstream_state": {
+            "max_last_modified": held.max_last_modified,
+            "approval_status_counts": held.approval_status_counts,
+        },
+        "row_count": content_hash.row_count,
+        "files": listed,
+    }
 
 
 def publish(
@@ -337,37 +399,21 @@ def publish(
         _write_files(staged, pending, held.row_count, rows_per_file)
     finally:
         fs.delete(spark, staged_at)
-    files = sorted(_file_entries(spark, pending, wanted.service).collect(), key=lambda f: f.path)
-    listed = spark.createDataFrame(
-        [(n, f.path, f.sha256) for f in files], "n bigint, path string, sha256 string"
-    )
-    content_hash = content_hashes(listed, "n").first().content_hash
-
-    manifest = {
-        "content_hash": content_hash,
-        "parent_hash": parent_hash,
-        "created_at": dt.datetime.now(dt.timezone.utc).isoformat().replace("+00:00", "Z"),
-        "generator": generator,
-        "source": {
-            "collection": wanted.service,
-            "sites": held.sites,
-            "param_cd": wanted.param_cd,
-            "start": wanted.start or "",
-            "end": wanted.end or "",
-        },
-        "upstream_state": {
-            "max_last_modified": held.max_last_modified,
-            "approval_status_counts": held.approval_status_counts,
-        },
-        "row_count": sum(f.row_count for f in files),
-        "files": [f.asDict() for f in files],
-    }
+    listed = _paths(spark, fs.file_names(spark, pending))
+    facts = stored_facts(file_facts(listed, pending))
+    manifest = build_manifest(facts, held, wanted, parent_hash, generator)
     fs.write_text(spark, f"{pending}/{MANIFEST_FILE}", json.dumps(manifest, indent=2))
-    label = files[0].sha256 if len(files) == 1 else content_hash
-    fs.rename(spark, pending, f"{dataset}/v{n}-{label[:HASH_PREFIX]}")
+    fs.rename(spark, pending, f"{dataset}/v{n}-{manifest['content_hash'][:HASH_PREFIX]}")
     return versions(spark, publish_root, name).filter(F.col("n") == n)
 
 
+def stored_facts(facts: DataFrame) -> DataFrame:
+    """Facts about files, read once and kept as a small table; several columns need them."""
+    path = scratch_dir(facts.sparkSession, "facts")
+    facts.write.mode("overwrite").parquet(path)
+    return facts.sparkSession.read.schema(facts.schema).parquet(path)
+
+
 # -- verify ---------------------------------------------------------------------------
 
 
@@ -397,24 +443,42 @@ def verify_totals(compared: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def verify_version(spark: SparkSession, folder: str) -> DataFrame:
-    """Rehash a version's files and compare with its manifest, in one row.
+def verify_version(
+    spark: SparkSession, folder: str, open_store: Store = _open_by_address
+) -> DataFrame:
+    """Rehash a version's declared files and compare with its manifest, in one row.
 
     ``ok`` looks at the files alone, a missing one counting as changed. Beside it stand
-    whether the content hash and the row count that the manifest states agree with it.
+    whether the content hash that the manifest states agrees with it, and whether the files'
+    footers hold as many rows as it states for each file and in all. Files that it does not
+    declare are not read.
     """
     manifest = read_manifests(spark, [folder])
     declared = manifest.select("dir_name", F.inline("files"))
-    actual = file_hashes(spark, folder).withColumn("dir_name", F.lit(folder.rsplit("/", 1)[-1]))
+    actual = file_facts(declared, folder, open_store).withColumnRenamed("row_count", "n_rows")
+    actual = stored_facts(actual).withColumn("dir_name", F.lit(folder.rsplit("/", 1)[-1]))
     compared = compare_files(declared, actual, "dir_name")
     changed = compared.groupBy("dir_name").agg(
         F.array_sort(F.collect_list(F.when(~F.col("same"), F.col("path")))).alias("mismatched")
     )
-    rows = F.aggregate("files", F.lit(0).cast("bigint"), lambda total, f: total + f["row_count"])
-    stated = manifest.select(
-        "dir_name",
-        F.col("content_hash").alias("expected_hash"),
-        (rows == F.col("row_count")).alias("row_count_ok"),
+    counted = (
+        declared.join(actual.select("path", "n_rows"), "path", "left")
+        .groupBy("dir_name")
+        .agg(
+            F.bool_and(F.coalesce(F.col("n_rows") == F.col("row_count"), F.lit(False))).alias("each"),
+            F.sum("n_rows").alias("all"),
+        )
+    )
+    stated = (
+        manifest.join(counted, "dir_name", "left")
+        .select(
+            "dir_name",
+            F.col("content_hash").alias("expected_hash"),
+            (
+                F.coalesce("each", F.lit(True))
+                & (F.coalesce("all", F.lit(0)) == F.col("row_count"))
+            ).alias("row_count_ok"),
+        )
     )
     no_files = sha256_of(F.lit(""))
     return (
@@ -434,6 +498,6 @@ def verify_version(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def verify_published(
-    spark: SparkSession, publish_root: str, name: str, dir_name: str
+    spark: SparkSession, publish_root: str, name: str, dir_name: str, open_store: Store = _open_by_address
 ) -> DataFrame:
-    return verify_version(spark, f"{publish_root.rstrip('/')}/{name.strip()}/{dir_name}")
+    return verify_version(spark, f"{publish_root.rstrip('/')}/{name.strip()}/{dir_name}", open_store)

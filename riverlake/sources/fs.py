@@ -32,6 +32,16 @@ def file_names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(target) if s.isFile()]
 
 
+def all_files(spark: SparkSession, path: str) -> list[str]:
+    """Every file below ``path``, relative to it: also empty ones and those of hidden names."""
+    fs, target = _resolve(spark, path)
+    base = len(fs.makeQualified(target).toString()) + 1
+    found, listed = [], fs.listFiles(target, True)
+    while listed.hasNext():
+        found.append(listed.next().getPath().toString()[base:])
+    return sorted(found)
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The full address of ``path``, as file listings spell it."""
     fs, target = _resolve(spark, path)

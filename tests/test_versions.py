@@ -61,13 +61,33 @@ def test_content_hashes_of_many_versions_over_many_batches(spark):
     assert found == {n: plain_hash(g) for n, g in groups.items()}
 
 
-@pytest.mark.parametrize("whole_file_bytes", [10**6, 10, -1])
-def test_file_hashes_in_both_ways(spark, tmp_path, whole_file_bytes):
+def test_null_and_nan_keys_are_one_group_at_any_batch_size(spark):
+    rows = [(None, f"p{i}", f"h{i}") for i in range(7)] + [(1, "q", "h")]
+    expected = plain_hash([(f"p{i}", f"h{i}") for i in range(7)])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "3", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            for kind, nothing in (("bigint", None), ("string", None), ("double", float("nan"))):
+                df = spark.createDataFrame(
+                    [(str(k) if k and kind == "string" else float(k) if k and kind == "double" else k if k else nothing, *r) for k, *r in rows],
+                    f"k {kind}, path string, sha256 string",
+                )
+                found = v.content_hashes(df, "k").collect()
+                assert [r.n_files for r in found if r.n_files > 1] == [7] and len(found) == 2
+                assert {r.content_hash for r in found if r.n_files == 7} == {expected}
+                assert dict(v.content_hashes(df, "k").dtypes)["k"] == kind
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_file_hashes(spark, tmp_path):
     contents = {"a.bin": b"hello world", "sub folder/b%c.bin": os.urandom(3000), "c": b"x"}
+    contents |= {"empty": b"", ".hidden": b"h", "_under": b"u", "big.gz": os.urandom(9 << 20)}
     for name, content in contents.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(content)
-    rows = v.file_hashes(spark, str(tmp_path), whole_file_bytes).collect()
+    rows = v.file_hashes(spark, str(tmp_path)).collect()
     assert {r.path: r.sha256 for r in rows} == {
         name: hashlib.sha256(content).hexdigest() for name, content in contents.items()
     }
@@ -135,11 +155,11 @@ def test_publish_verify_and_chain(spark, root):
         "2025-06-01T00:00:00.500000Z",
     )
     folder = f"{target}/flow/{second.dir_name}"
-    assert sorted(fs.file_names(spark, folder)) == ["data.parquet", "manifest.json"]
-    with open(f"{folder}/data.parquet", "rb") as file:
+    assert sorted(fs.file_names(spark, folder)) == ["data-00000.parquet", "manifest.json"]
+    with open(f"{folder}/data-00000.parquet", "rb") as file:
         sha = hashlib.sha256(file.read()).hexdigest()
-    assert second.dir_name == f"v2-{sha[:8]}"
-    assert second.content_hash == plain_hash([("data.parquet", sha)])
+    assert second.dir_name == f"v2-{second.content_hash[:8]}"
+    assert second.content_hash == plain_hash([("data-00000.parquet", sha)])
     stored = [r.datetime for r in lake.read_export(spark, folder, "daily").collect()]
     assert len(stored) == 72
     report = v.verify_published(spark, target, "flow", second.dir_name).first()
@@ -230,3 +250,30 @@ def test_version_without_manifest_is_an_error(spark, tmp_path):
     os.makedirs(tmp_path / "d" / "v1-x")
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         v.versions(spark, str(tmp_path), "d").collect()
+
+
+def test_wrong_row_counts_are_found_in_the_footers(spark, root):
+    target = scratch_dir(spark, "test-published")
+    row = v.publish(spark, root, target, ReadingFilter(), "d").first()
+    path = f"{target}/d/{row.dir_name}/manifest.json"
+    with open(path) as file:
+        manifest = json.load(file)
+    manifest["files"][0]["row_count"] += 1
+    manifest["row_count"] += 1
+    os.remove(f"{target}/d/{row.dir_name}/.manifest.json.crc")
+    with open(path, "w") as file:
+        json.dump(manifest, file)
+    report = v.verify_published(spark, target, "d", row.dir_name).first()
+    assert (report.ok, report.content_hash_ok, report.row_count_ok) == (True, True, False)
+
+
+def test_a_store_of_the_callers_choice(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"x")
+
+    def open_store(path):
+        from pyarrow import fs as stores
+
+        return stores.LocalFileSystem(), path.removeprefix("file:")
+
+    (row,) = v.file_hashes(spark, str(tmp_path), open_store).collect()
+    assert row.sha256 == hashlib.sha256(b"x").hexdigest()
