@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from riverlake.functions import sphere
@@ -103,12 +103,27 @@ def write_summary(checked: DataFrame, path: str) -> None:
 def run_basins(
     requested: DataFrame, basins: DataFrame, metadata: DataFrame | None, path: str
 ) -> None:
-    """Write basins and summary for the sites that have one, then fail if some have none."""
+    """Write basins and summary for the sites that have one, then fail if some have none.
+
+    All sites without a basin are listed in ``missing_basins.csv`` beside the summary.
+    """
     wanted = basins.join(requested.select("site_no"), "site_no", "left_semi")
     write_basins(wanted, f"{path}/basins")
     write_summary(basin_check(basin_areas(wanted), metadata), f"{path}/basins.csv")
-    missing = missing_basins(requested, basins)
-    count = missing.count()
+    listed, missing = f"{path}/missing_basins.csv", Observation()
+    (
+        missing_basins(requested, basins)
+        .distinct()
+        .observe(missing, F.count(F.lit(1)).alias("n"))
+        .write.mode("overwrite")
+        .option("header", True)
+        .csv(listed)
+    )
+    count = missing.get["n"]
     if count:
-        some = ", ".join(r.site_no for r in missing.orderBy("site_no").limit(20).collect())
-        raise ValueError(f"basins of {count} requested sites have not landed, such as {some}")
+        raise ValueError(f"basins of {count} requested sites have not landed; {listed} lists them")
+
+
+def read_missing_basins(spark: SparkSession, path: str) -> DataFrame:
+    """The list that ``run_basins`` left."""
+    return spark.read.option("header", True).csv(f"{path}/missing_basins.csv", schema="site_no string")

@@ -137,8 +137,9 @@ def test_files_and_summary(spark, tmp_path):
     out = scratch_dir(spark, "test-basins")
     meta = spark.createDataFrame([("USGS-1", 4800.0)], "site_no string, drainage_area double")
     requested = spark.createDataFrame([("USGS-1",), ("USGS-2",), ("USGS-3",)], "site_no string")
-    with pytest.raises(ValueError, match="1 requested sites.*USGS-3"):
+    with pytest.raises(ValueError, match="1 requested sites.*missing_basins.csv"):
         basins.run_basins(requested, landed, meta, out)
+    assert [r.site_no for r in basins.read_missing_basins(spark, out).collect()] == ["USGS-3"]
     again = read_basins(spark, f"{out}/basins")
     assert sorted(again.collect()) == sorted(landed.collect())
     lines = {r.value for r in spark.read.text(f"{out}/basins.csv").collect()}
