@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,3 +72,11 @@ def is_text_or_texts(value: Column) -> Column:
         .when(F.schema_of_variant(value) == "ARRAY<STRING>", ~F.exists(items, F.isnull))
         .otherwise(F.schema_of_variant(value).isin("STRING", "VOID", "ARRAY<VOID>"))
     )
+
+
+def strict_date(text: str, label: str) -> dt.date:
+    """A date given as YYYY-MM-DD; anything else is an error that names it."""
+    try:
+        return dt.datetime.strptime(text, "%Y-%m-%d").date()
+    except ValueError as error:
+        raise ValueError(f"{label} date {text!r} is not a YYYY-MM-DD date") from error

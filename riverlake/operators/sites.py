@@ -63,15 +63,17 @@ def write_features(features: DataFrame, path: str) -> None:
 
 
 def metadata_rows(pages: DataFrame, param: str | None = None) -> DataFrame:
-    """One row per listed series, with ``page`` and ``pos`` as its place in the source."""
+    """One row per listed series, with its ``page``; ``at`` and ``pos`` are its place."""
     rows = pages.select(
         "page",
+        "at",
         F.col("features").isNull().alias("no_features"),
         F.posexplode_outer("features").alias("pos", "feature"),
     ).filter("no_features or pos is not null")
     p = "feature.properties"
     flat = rows.select(
         "page",
+        "at",
         "pos",
         F.col(f"{p}.monitoring_location_id").alias("site_no"),
         F.coalesce(F.col(f"{p}.monitoring_location_name"), F.lit("")).alias("name"),
@@ -83,7 +85,7 @@ def metadata_rows(pages: DataFrame, param: str | None = None) -> DataFrame:
 
 
 def _place() -> Column:
-    return F.struct("page", "pos")
+    return F.struct("at", "pos", "page")
 
 
 def _is_listed() -> Column:

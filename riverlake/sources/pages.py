@@ -8,13 +8,30 @@ from pyspark.sql import functions as F
 from riverlake.schemas import METADATA_PAGE, READING_PAGE, STRICT_JSON
 
 
+def in_name_order(path: Column) -> Column:
+    """A key that sorts paths by name, with the numbers in them by value."""
+    parts = F.regexp_extract_all(path, F.lit(r"(\d+|\D+)"), 1)
+    padded = F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 20, "0")).otherwise(x))
+    return F.array_join(padded, "")
+
+
 def _read(spark: SparkSession, path: str, schema: str, one_per_line: bool) -> DataFrame:
+    """Documents with ``page``, their file, and ``at``, a place that no two of them share.
+
+    Places follow the names of files, then where in a file a task began to read, then the
+    rising number that Spark gives the lines there.
+    """
+    at = F.struct(
+        in_name_order(F.col("_metadata.file_path")).alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"),
+    )
     return (
         spark.read.schema(schema)
         .options(**STRICT_JSON)
         .option("multiLine", not one_per_line)
         .json(path)
-        .select(F.col("_metadata.file_path").alias("page"), "features", "links")
+        .select(F.col("_metadata.file_path").alias("page"), at.alias("at"), "features", "links")
     )
 
 
@@ -31,7 +48,7 @@ def read_metadata_pages(spark: SparkSession, path: str, one_per_line: bool = Fal
 def _parse(texts: DataFrame, page: Column, text: Column, schema: str) -> DataFrame:
     parsed = F.from_json(text, schema, STRICT_JSON)
     return texts.select(page.alias("page"), parsed.alias("doc")).select(
-        "page", "doc.features", "doc.links"
+        "page", F.struct("page").alias("at"), "doc.features", "doc.links"
     )
 
 

@@ -4,6 +4,7 @@ import pytest
 
 from riverlake.functions.guards import require_rows
 from riverlake.operators import sites
+from riverlake.plans.loading import load_metadata
 from riverlake.session import scratch_dir
 from riverlake.sources.metadata import read_metadata, write_metadata
 from riverlake.sources.pages import read_metadata_pages
@@ -161,3 +162,33 @@ def test_geojson_features(spark):
         "geometry": {"type": "Point", "coordinates": [-85.0, 41.5]},
         "properties": {"site_no": "a"},
     }
+
+
+def _page(*features):
+    properties = [{"monitoring_location_id": site, **more} for site, more in features]
+    return json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": p} for p in properties]})
+
+
+def test_lines_of_a_file_have_places_of_their_own(spark, tmp_path):
+    lines = [_page(("A", {"monitoring_location_name": "first"})), _page(("A", {"monitoring_location_name": "second"}))]
+    (tmp_path / "pages.json").write_text("\n".join(lines))
+    rows = sites.metadata_rows(read_metadata_pages(spark, str(tmp_path), one_per_line=True))
+    assert [(r.site_no, r.name) for r in sites.site_series(rows).collect()] == [("A", "first")]
+
+
+def test_pages_are_in_the_order_of_their_numbers(spark, tmp_path):
+    for n in (10, 2, 1):
+        (tmp_path / f"page_{n}.json").write_text(_page((f"S{n}", {"monitoring_location_name": "x"}), ("A", {"monitoring_location_name": str(n)})))
+    rows = sites.metadata_rows(read_metadata_pages(spark, str(tmp_path)))
+    found = sites.site_metadata(rows).collect()
+    assert [r.site_no for r in found] == ["S1", "A", "S2", "S10"]
+    assert [r.name for r in found if r.site_no == "A"] == ["1"]
+
+
+def test_metadata_job(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "page_1.json").write_text(_page(("A", {"parameter_code": "00060", "parameter_name": "flow"})))
+    load_metadata(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert [r.site_no for r in read_metadata(spark, str(tmp_path / "out")).collect()] == ["A"]
+    with pytest.raises(ValueError, match="no metadata"):
+        load_metadata(spark, str(tmp_path / "in"), str(tmp_path / "out2"), "99999")
