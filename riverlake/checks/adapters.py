@@ -276,6 +276,28 @@ def files_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def documents_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, text`` of the documents as found later, as in ``files_on_disk``."""
+    labels = table(spark, sf_dir, "labels")
+    text = F.when(F.col("toxic") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return (
+        table(spark, sf_dir, "documents")
+        .join(labels, "doc_id", "left")
+        .filter(F.coalesce(F.col("quality"), F.lit(1)) == 1)
+        .select(F.col("doc_id").alias("path"), text.alias("text"))
+    )
+
+
+def pages_of_sites(pages: DataFrame) -> DataFrame:
+    """Metadata pages put together, one with all features of each site."""
+    feature = F.get_json_object("text", "$.features[0]")
+    joined = F.array_join(F.array_sort(F.collect_list(feature)), ",")
+    site = F.split("page", "/")[0]
+    return pages.groupBy(site.alias("site")).agg(
+        F.concat(F.lit('{"features":['), joined, F.lit("]}")).alias("text")
+    ).select("text")
+
+
 def order_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as manifests: a customer's orders are one dataset's versions.
 

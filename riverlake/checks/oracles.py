@@ -317,15 +317,14 @@ from continuous group by 1, 2""",
     + _CONTINUOUS
     + f""",
 newest as (
-  select site_no, cast(max(datetime) as date) as day from continuous
-  where param_cd = '00060' group by 1),
+  select site_no, param_cd, cast(max(datetime) as date) as day from continuous group by 1, 2),
 spans as (
-  select 'USGS-' || lpad(cast(c_custkey as varchar), 8, '0') as site_no,
+  select 'USGS-' || lpad(cast(c_custkey as varchar), 8, '0') as site_no, param,
     coalesce(day, date '2019-01-01') as first_day, date '2024-06-30' as last_day
-  from customer left join newest
-    on newest.site_no = 'USGS-' || lpad(cast(c_custkey as varchar), 8, '0')),
-windows as ({_WINDOWS.format("spans")})
-select site_no, cast(window_start as varchar) as window_start,
+  from customer cross join (values ('00060'), ('00065')) as p(param) left join newest
+    on newest.site_no = 'USGS-' || lpad(cast(c_custkey as varchar), 8, '0') and param_cd = param),
+windows as ({_WINDOWS.format("spans").replace("select site_no,", "select site_no, param as param_cd,")})
+select site_no, param_cd, cast(window_start as varchar) as window_start,
   cast(window_end as varchar) as window_end,
   window_start || 'T00:00:00Z/' || window_end || 'T23:59:59Z' as datetime_range from windows""",
     "lake_layout": "with"
@@ -342,6 +341,11 @@ from continuous group by all""",
     "site_metadata": _SERIES
     + """
 select h.*, parameter_code, parameter_name, statistic_id, begin, "end", "primary", page
+from headers h left join kept using (site_no)""",
+    "metadata_pages_landed": _SERIES
+    + """
+select h.* exclude (first_page), parameter_code, parameter_name, statistic_id, begin, "end",
+  "primary"
 from headers h left join kept using (site_no)""",
     "metadata_roundtrip": _SERIES
     + """
@@ -377,7 +381,11 @@ from checked""",
     "basins_missing": """
 select 'USGS-' || lpad(cast(o_orderkey as varchar), 8, '0') as site_no from orders
 where o_orderkey not in (select vec_id from embeddings)""",
-    "file_hashes": "with" + _FILES + "\nselect path, sha256, row_count from files",
+    "basins_missing_report": """
+select 'USGS-' || lpad(cast(o_orderkey as varchar), 8, '0') as site_no from orders
+where o_orderkey not in (select vec_id from embeddings)""",
+    "file_hashes": """
+select cast(doc_id as varchar) as path, sha256(text || chr(10)) as sha256 from documents""",
     "content_hash": "with"
     + _FILES
     + f"""
@@ -424,6 +432,9 @@ select dataset, bool_and(sha256 = actual_sha256) as ok, count(*) as n_files,
 from compared group by 1""",
     "verify_files": _COMPARED
     + "\nselect dataset, path, sha256, actual_sha256 from compared where sha256 <> actual_sha256",
+    "verify_tampered": """
+select false as ok, false as content_hash_ok, cast(doc_id as varchar) as path
+from documents join labels using (doc_id) where quality <> 1 or toxic = 1""",
     "publish_roundtrip": _DAILY_60
     + _published(
         1,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from contextlib import suppress
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverlake.checks import adapters
@@ -241,11 +243,13 @@ def incremental_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = adapters.table(spark, sf_dir, "customer").select(
         adapters.site_name(F.col("c_custkey")).alias("site_no")
     )
-    latest = lake.latest_dates(spark, lake_of(spark, sf_dir), CONTINUOUS, "00060")
-    plan = requests.plan_requests(
-        wanted, CONTINUOUS, start="2019-01-01", end="2024-06-30", latest=latest
-    )
-    return _text_windows(plan)
+    plans = [
+        requests.resume_requests(
+            spark, wanted, CONTINUOUS, param, lake_of(spark, sf_dir), "2019-01-01", "2024-06-30"
+        ).withColumn("param_cd", F.lit(param))
+        for param in ("00060", "00065")
+    ]
+    return _text_windows(plans[0].unionByName(plans[1]))
 
 
 # -- lake -----------------------------------------------------------------------------
@@ -287,6 +291,14 @@ def site_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def metadata_pages_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages read from files, with all series of a site on a page and many pages in a file."""
+    landing = scratch_dir(spark, "metadata-pages")
+    adapters.pages_of_sites(adapters.metadata_pages(spark, sf_dir)).write.text(landing)
+    rows = sites.metadata_rows(pages.read_metadata_pages(spark, landing, one_per_line=True))
+    return sites.site_series(rows).drop("first_place", "place")
+
+
 def metadata_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "metadata")
     metadata.write_metadata(sites.site_metadata(_metadata_rows(spark, sf_dir)), path)
@@ -343,11 +355,37 @@ def basins_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return basins.missing_basins(requested, adapters.basins(spark, sf_dir))
 
 
+def basins_missing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list that the basin job leaves of the sites for which it fails."""
+    requested = adapters.table(spark, sf_dir, "orders").select(
+        adapters.site_name(F.col("o_orderkey")).alias("site_no")
+    )
+    path = scratch_dir(spark, "basins-job")
+    with suppress(ValueError):
+        basins.run_basins(requested, adapters.basins(spark, sf_dir), None, path)
+    return basins.read_missing_basins(spark, path)
+
+
 # -- versions -------------------------------------------------------------------------
 
 
+def _document_files(spark: SparkSession, documents: DataFrame) -> str:
+    """A folder with a file for each row of ``path, text``."""
+    folder = scratch_dir(spark, "document-files")
+    documents.select(F.col("path").alias("doc"), "text").write.partitionBy("doc").text(folder)
+    return folder
+
+
+def _document(path: Column) -> Column:
+    return F.regexp_extract(path, "^doc=([^/]*)/", 1)
+
+
 def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.documents_as_files(spark, sf_dir).select("path", "sha256", "row_count")
+    """Every document written to a file of its own, and the hashes of those files."""
+    documents = adapters.table(spark, sf_dir, "documents")
+    folder = _document_files(spark, documents.select(F.col("doc_id").alias("path"), "text"))
+    hashes = versions.file_hashes(spark, folder)
+    return hashes.select(_document(F.col("path")).alias("path"), "sha256").filter("path <> ''")
 
 
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -393,6 +431,39 @@ def verify_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mismatched.select("dataset", "path", "sha256", "actual_sha256")
 
 
+def verify_tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A version on disk whose toxic documents were changed and poor ones removed.
+
+    It also declares a hidden and empty file, which is as it was.
+    """
+    left = adapters.documents_left(spark, sf_dir)
+    folder = _document_files(spark, left)
+    fs.write_text(spark, f"{folder}/.empty", "")
+    found = spark.createDataFrame([(n,) for n in fs.all_files(spark, folder)], "file string")
+    declared = (
+        adapters.table(spark, sf_dir, "documents")
+        .select(
+            F.col("doc_id").cast("string").alias("doc"),
+            versions.sha256_of(F.concat("text", F.lit("\n"))).alias("sha256"),
+        )
+        .join(found.withColumn("doc", _document(F.col("file"))), "doc", "left")
+        .select(
+            F.coalesce("file", F.concat(F.lit("doc="), "doc", F.lit("/gone"))).alias("path"),
+            "sha256",
+            F.lit(1).cast("bigint").alias("row_count"),
+        )
+    )
+    empty = spark.createDataFrame([(".empty", "", 0)], declared.schema)
+    empty = empty.withColumn("sha256", versions.sha256_of(F.lit("")))
+    held = versions.provenance(adapters.daily(spark, sf_dir)).first()
+    manifest = versions.build_manifest(declared.unionByName(empty), held, ReadingFilter(), None)
+    fs.write_text(spark, f"{folder}/{versions.MANIFEST_FILE}", json.dumps(manifest))
+    report = versions.verify_version(spark, folder)
+    return report.select("ok", "content_hash_ok", F.explode("mismatched_files").alias("file")).select(
+        "ok", "content_hash_ok", _document(F.col("file")).alias("path")
+    )
+
+
 def publish_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three versions, the last two with the same readings, and what verifying them says."""
     root, target = lake_of(spark, sf_dir), scratch_dir(spark, "published")
@@ -453,6 +524,7 @@ _QUERIES: list[Query] = [
     lake_layout,
     single_roundtrip,
     site_metadata,
+    metadata_pages_landed,
     metadata_roundtrip,
     site_report,
     ring_area,
@@ -460,6 +532,7 @@ _QUERIES: list[Query] = [
     basin_check,
     basin_csv,
     basins_missing,
+    basins_missing_report,
     file_hashes,
     content_hash,
     manifest_build,
@@ -467,6 +540,7 @@ _QUERIES: list[Query] = [
     version_history,
     verify_report,
     verify_files,
+    verify_tampered,
     publish_roundtrip,
 ]
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import suppress
 
 from pyspark.sql import SparkSession
 
@@ -24,29 +24,26 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-@contextmanager
-def settings(spark: SparkSession, **values: str) -> Iterator[None]:
-    """Other settings for the actions inside; keys are given with ``__`` for dots."""
-    wanted = {key.replace("__", "."): value for key, value in values.items()}
-    before = {key: spark.conf.get(key, None) for key in wanted}
-    try:
-        for key, value in wanted.items():
-            spark.conf.set(key, value)
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder when the application ends, if that is still possible."""
+    with suppress(Exception):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder name for intermediate tables, visible to every executor.
 
     The cluster names the shared folder in ``spark.checkpoint.dir``. Only a local
-    session, whose executors share one disk, may fall back to a temporary folder.
+    session, whose executors share one disk, may fall back to a temporary folder. What is
+    in it goes when the application ends.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return f"{shared.rstrip('/')}/riverlake-{label}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
+        path = f"{shared.rstrip('/')}/riverlake-{label}-{uuid.uuid4().hex}"
+    elif spark.sparkContext.master.startswith("local"):
+        path = tempfile.mkdtemp(prefix=f"riverlake-{label}-")
+    else:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix=f"riverlake-{label}-")
+    atexit.register(_remove, spark, path)
+    return path

