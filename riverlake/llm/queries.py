@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverlake.llm import byte_bpe, chat_format, decontaminate, hmm, ngram_join, quality, token_count, toxicity, url_filter
+from riverlake.llm.oracles import oracles
 from riverlake.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,7 +71,8 @@ URL_RULES = [
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page's url."""
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.drop("trust", "distrust")
 
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +102,7 @@ _QUERIES: list[Query] = [
     op10_token_counts,
 ]
 
-ORACLES: dict[str, str] = {}
+ORACLES = oracles(URL_RULES)
 
 
 def llm_queries() -> dict[str, Query]:
