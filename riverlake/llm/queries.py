@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverlake.llm import byte_bpe, chat_format, decontaminate, hmm, ngram_join, quality, token_count, toxicity, url_filter
+from riverlake.llm import byte_bpe, chat_format, decontaminate, hmm, license_scan, ngram_join, quality, token_count, toxicity, url_filter
 from riverlake.llm.oracles import oracles
 from riverlake.llm.rows import table
 
@@ -40,6 +40,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(given.union(added)))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses named in every document."""
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumn("licenses", F.array_join("licenses", ","))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every document, as digests."""
     encoded = byte_bpe.encode_texts(
@@ -94,6 +100,7 @@ _QUERIES: list[Query] = [
     op1_ngram_join,
     op2_decontamination,
     op3_chat_format,
+    op4_license_scan,
     op5_byte_bpe,
     op6_quality_rules,
     op7_url_filter,

@@ -1,8 +1,9 @@
-import random
+import pytest
 
 import corpus_pipeline
 from riverlake.llm.queries import ORACLES, llm_queries
 from riverlake.llm.rows import stored
+from tests.compare import connect, difference
 from tests.llm.helpers import docs, sentence
 
 SF = "/root/testdata/sf0.001"
@@ -13,9 +14,13 @@ def test_all_operators_are_registered():
     assert set(ORACLES) <= set(llm_queries())
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_sql(spark, name):
+    assert difference(llm_queries()[name](spark, SF), connect(SF), ORACLES[name]) == ""
+
+
 def test_stages_keep_clean_documents_and_drop_the_others(spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()
-    rng = random.Random(1)
     clean = [sentence(i, 80) for i in range(30)]
     near = " ".join(w if i != 40 else "other" for i, w in enumerate(clean[3].split()))
     bad = [clean[0], near, "short text", "again " * 90, f"{sentence(77, 60)} {bench.text} {sentence(78, 60)}", None]
@@ -29,7 +34,6 @@ def test_stages_keep_clean_documents_and_drop_the_others(spark):
     rows = {r.doc_id: r for r in table.collect()}
     assert sorted(rows) == list(range(30))
     assert all(r.round_trip and r.n_tokens == len(r.token_ids) for r in rows.values())
-    assert rng
 
 
 def test_run_over_the_tables(spark):
