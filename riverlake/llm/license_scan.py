@@ -2,33 +2,33 @@
 
 Words are runs of letters and digits, in lower case. A text's 5-word shingles are taken in
 windows of ``WINDOW`` shingles, the words of which overlap those of the next window. A window's
-MinHash has ``SEGMENTS * SEEDS`` bands of one value: the least of its shingles when these are
-ordered by one of ``SEGMENTS`` separate stretches of their hash's bits, turned by one of
-``SEEDS`` random masks. A template is retrieved where a band of a window is one of its
-shingles. In each separate stretch a shingle of the template is the least of four with
-probability 1/4 at least once in ``SEEDS`` masks with more than 1/2, so that a template with a
-single shingle is missed with a probability below 0.4 % and one of ``n`` shingles below that to
-the power of the windows it spans. Then the shingles around the window are compared with the
-template's exactly: it matches if at least ``CONTAINED`` of them are there.
+bands are the least and the greatest of its shingles when these are ordered by one of
+``SEGMENTS`` separate stretches of their hash's bits: MinHash values of an order and of its
+reverse. A template is retrieved where a band of a window is one of its shingles. A shingle is
+the first or the last of four with probability 1/2 in each stretch, so one that a window shares
+with a template is missed with probability ``2 ** -SEGMENTS``, under 0.1 %. Then the shingles
+around each retrieving window are compared with the template's exactly: it matches if at least
+``CONTAINED`` of them are there.
 
-Everything happens in a document's row: there is no shuffle, and no group to grow.
+Windows become rows that carry no text, and are filtered where they arise; only the few texts
+with a retrieving window are read again. Results are by text, so copies are compared once.
 
 Defined results: a row per row; null and empty texts, and those of fewer than five words, have
-no windows and no licenses. Repeated rows give equal rows; extra columns are not read. Templates
+no licenses. Repeated rows give equal rows; extra columns are not read. Templates
 are a list in the driver; those of fewer than five words are refused. Shingles are compared as
 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riverlake.llm.rows import stored
+
 SHINGLE = 5
 WINDOW = 4
-SEGMENTS, SEEDS = 8, 3
+SEGMENTS, SEGMENT_BITS = 10, 6
 CONTAINED = 0.75
 
 # Notices of well-known licenses.
@@ -68,10 +68,6 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
-_draw = random.Random(17)
-_MASKS = [[_draw.getrandbits(63) for _ in range(SEEDS)] for _ in range(SEGMENTS)]
-
-
 def _shingles(df: DataFrame, text: Column) -> DataFrame:
     """``df`` with the hashes of its texts' shingles, in order, as ``shingles``."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -86,21 +82,23 @@ def _shingles(df: DataFrame, text: Column) -> DataFrame:
     )
 
 
-def _signed(value: int) -> int:
-    value &= 2**64 - 1
+def _turned(hash_: int, bits: int) -> int:
+    """A signed 64-bit number, rotated to the left."""
+    value = hash_ & (2**64 - 1)
+    value = (value << bits | value >> (64 - bits)) & (2**64 - 1)
     return value - 2**64 if value >= 2**63 else value
 
 
-def _retrieved(known: list[int]) -> str:
-    """SQL: whether a band of the window from shingle ``i * WINDOW`` on is a template's."""
-    bands = []
-    for segment, masks in enumerate(_MASKS):
-        for mask in masks:
-            place = lambda k: f"get(shingles, i * {WINDOW} + {k})"
-            least = ", ".join(f"shiftleft({place(k)}, {8 * segment}) ^ {mask}L" for k in range(WINDOW))
-            values = sorted({_signed(_signed(h << (8 * segment)) ^ mask) for h in known})
-            bands.append(f"least({least}) in ({', '.join(f'{v}L' for v in values)})")
-    return " or ".join(bands).replace("-9223372036854775808L", "cast(-9223372036854775808 as bigint)")
+def _retrieved(known: list[int]) -> Column:
+    """Whether a band of the window of shingles ``h0, h1 ...`` is one of ``known``."""
+    found = F.lit(False)
+    for bits in range(0, SEGMENTS * SEGMENT_BITS, SEGMENT_BITS):
+        order = [F.col(f"h{k}") for k in range(WINDOW)]
+        if bits:
+            order = [F.shiftleft(h, bits).bitwiseOR(F.shiftrightunsigned(h, 64 - bits)) for h in order]
+        values = [_turned(h, bits) for h in known]
+        found = found | F.least(*order).isin(values) | F.greatest(*order).isin(values)
+    return found
 
 
 def template_shingles(spark: SparkSession, templates: list[tuple[str, str]]) -> list[tuple[str, list[int]]]:
@@ -120,48 +118,59 @@ def scan_licenses(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Per row: id, windows, windows that retrieve a template, and the licenses found, by name."""
+    """Per row: id, how many windows retrieve a template, and the licenses found, by name."""
     known = template_shingles(docs.sparkSession, TEMPLATES if templates is None else templates)
     every = sorted({h for _, own in known for h in own})
     longest = max((len(own) for _, own in known), default=0)
-    source = _shingles(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")), F.col("text"))
-    windows = F.ceil(F.size("shingles") / F.lit(WINDOW)).cast("long")
-    if not every:
-        none = F.array().cast("array<string>")
-        return source.select(
-            id_col, windows.alias("n_windows"), F.lit(0).cast("long").alias("n_retrieved"), none.alias("licenses")
-        )
-    hits = source.select(
-        id_col,
-        "shingles",
-        windows.alias("n_windows"),
-        F.expr(
-            "case when size(shingles) = 0 then cast(array() as array<int>) else filter("
-            f"sequence(0, cast(ceil(size(shingles) / {WINDOW}) as int) - 1), i -> {_retrieved(every)}) end"
-        ).alias("retrieved"),
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    source = docs.select(
+        F.col(id_col).alias("doc"),
+        text.alias("text"),
+        F.xxhash64(text).alias("digest"),
+        F.length(text).alias("length"),
     )
-    # The shingles around each retrieving window, within which a template would lie.
-    around = F.transform(
-        "retrieved",
-        lambda i: F.array_distinct(
-            F.slice(
-                "shingles",
-                F.greatest(F.lit(1), i * WINDOW + 1 - longest),
-                F.lit(WINDOW + 2 * longest),
-            )
-        ),
+    key = ["digest", "length"]
+    # Outer: else Spark would filter by the windows ahead of them, and so take shingles in a loop.
+    in_windows = (
+        f"case when size(shingles) > 0 then transform(sequence(0, size(shingles) - 1, {WINDOW}),"
+        " i -> named_struct('i', i, "
+        + ", ".join(f"'h{k}', get(shingles, i + {k})" for k in range(WINDOW))
+        + ")) end"
+    )
+    windows = (
+        _shingles(source.select("text", *key), F.col("text"))
+        .select(*key, F.inline_outer(F.expr(in_windows)))
+    )
+    places = windows.where(_retrieved(every)).groupBy(*key, "i").agg(F.lit(1).alias("one"))
+    retrieved = stored(places.groupBy(*key).agg(F.count("*").alias("n_retrieved")), "licenses-retrieved")
+
+    # Of the texts with a retrieving window, the shingles around each of them.
+    texts = source.join(retrieved, key, "left_semi").groupBy(*key).agg(F.first("text").alias("text"))
+    own_windows = _shingles(texts, F.col("text")).select(*key, "shingles", F.inline_outer(F.expr(in_windows)))
+    around = own_windows.where(_retrieved(every)).select(
+        *key,
+        F.array_distinct(
+            F.slice("shingles", F.greatest(F.lit(1), F.col("i") + 1 - longest), F.lit(WINDOW + 2 * longest))
+        ).alias("around"),
     )
 
     def held(own: list[int]) -> Column:
-        literal, least = F.array(*map(F.lit, own)), len(own) * CONTAINED
-        return F.exists("around", lambda near: F.size(F.array_intersect(near, literal)) >= least)
+        both = F.array_intersect("around", F.array(*map(F.lit, own)))
+        return F.size(both) >= len(own) * CONTAINED
 
-    cases = [F.when(held(own), F.lit(name)) for name, own in known]
-    found = F.array_sort(F.array_distinct(F.array_compact(F.array(*cases))))
+    names = F.array_compact(F.array(*[F.when(held(own), F.lit(name)) for name, own in known]))
+    found = around.select(*key, F.explode(names).alias("name")) if known else None
     nothing = F.array().cast("array<string>")
-    return hits.withColumn("around", F.when(F.size("retrieved") > 0, around)).select(
-        id_col,
-        "n_windows",
-        F.size("retrieved").cast("long").alias("n_retrieved"),
-        F.when(F.size("retrieved") > 0, found).otherwise(nothing).alias("licenses"),
+    rows = source.select("doc", *key).join(retrieved, key, "left")
+    if found is not None:
+        licenses = stored(
+            found.groupBy(*key).agg(F.array_sort(F.collect_set("name")).alias("licenses")), "licenses-found"
+        )
+        rows = rows.join(licenses, key, "left")
+    else:
+        rows = rows.withColumn("licenses", nothing)
+    return rows.select(
+        F.col("doc").alias(id_col),
+        F.coalesce("n_retrieved", F.lit(0)).alias("n_retrieved"),
+        F.coalesce("licenses", nothing).alias("licenses"),
     )

