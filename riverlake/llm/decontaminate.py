@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverlake.llm.rows import BATCH_ROWS, over_texts, spare
+from riverlake.llm.rows import BATCH_ROWS, over_texts, spare, stored
 from riverlake.llm.words import STEP, mix, word_hashes
 
 SHINGLE = 5
@@ -236,7 +236,7 @@ def find_leaks(
     """(document, item_id, similarity, start_word, n_words) of items found in documents."""
     hits = docs.sparkSession.createDataFrame([], _SCHEMA)
     for items in _blocks(benchmark, item_col, item_text_col):
-        hits = hits.union(_pass(docs, items, id_col, text_col))
+        hits = hits.union(stored(_pass(docs, items, id_col, text_col), "leaks"))
     best = F.max(F.struct("similarity", (-F.col("start_word")).alias("s"), "n_words")).alias("b")
     return hits.groupBy("id", "item_id").agg(best).select(
         F.col("id").alias(id_col),
