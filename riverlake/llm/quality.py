@@ -31,6 +31,7 @@ MAX_FALSE_REJECTION = 0.05
 ERROR = 0.05
 GOOD_WEIGHT = 10  # bad documents that must go for one good one
 TAIL_TERMS = 2000
+SALTS = 64
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -240,14 +241,19 @@ def _judged(
 ) -> DataFrame:
     features = stored(base_features(docs, id_col, text_col, stratum_col), "quality")
     chosen = certified_cutoffs(features, labels, id_col, quality_col)
-    by_stratum = chosen.groupBy("stratum").agg(
-        F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs")
+    # A stratum may hold most rows, so its cutoffs are there for every salt and its rows
+    # are dealt out over them.
+    by_stratum = (
+        chosen.groupBy("stratum")
+        .agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
+    salted = features.withColumn("salt", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(SALTS)).cast("int"))
     failed = F.lit(False)
     for rule in GRIDS:
         failed = failed | F.coalesce(F.col(rule) >= F.col("cutoffs")[rule], F.lit(False))
     kept = (~(F.col("base_failed") | failed)).alias("kept")
-    return features.join(by_stratum, "stratum", "left").select("*", kept)
+    return salted.join(by_stratum, ["stratum", "salt"], "left").select("*", kept)
 
 
 def judge(
