@@ -18,7 +18,6 @@ import base64
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -29,7 +28,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from riverlake.llm.rows import spare
 
 LEAF_BYTES = 48  # encoded directly; a longer piece is halved
-CACHE_ENTRIES = 500_000  # the cache of pieces is emptied at this size
+CACHE_ENTRIES = 250_000  # the cache of pieces is emptied at this size
 CACHED_CHARS = 64
 BLOCK_CHARS = 1 << 18  # of a text that are handled at a time
 NO_RANK = 1 << 40
@@ -148,12 +147,6 @@ class Encoder:
         return ids
 
 
-@lru_cache(maxsize=2)
-def encoder(ranks_path: str, pattern: str) -> Encoder:
-    """One per Python worker, so that its cache serves all tasks there."""
-    return Encoder(ranks_path, pattern)
-
-
 def _with(schema: StructType, name: str, kind) -> StructType:
     kept = [field for field in schema.fields if field.name.lower() != name.lower()]
     return StructType([*kept, StructField(name, kind)])
@@ -175,7 +168,7 @@ def encode_texts(
     given = df.select(*[F.col(c) for c in names], F.col(text_col).alias(spare(df, "text_to_encode")))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path, pattern).encode
+        encode = Encoder(ranks_path, pattern).encode
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)

@@ -40,8 +40,8 @@ from riverlake.llm.rows import over_texts, spare, stored
 from riverlake.llm.words import mix, shingle_sets, word_hashes
 
 HEAVY = 1 << 16  # n-grams that make up more than this share of all are handled apart
-BUCKET = 1_500_000  # n-grams of a range, which one task counts in memory
-FLUSH = 1 << 20  # n-grams that a task packs at a time
+BUCKET = 1_000_000  # n-grams of a range, which one task counts in memory
+FLUSH = 1 << 19  # n-grams that a task packs at a time
 BINS = 16  # ranges of hashes for the suffix filter
 STAR_ROUNDS = 2
 LEAST_HEAVY = 64

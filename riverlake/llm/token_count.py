@@ -16,7 +16,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from riverlake.llm.byte_bpe import blocks
 from riverlake.llm.rows import over_texts
 
-CACHE_ENTRIES = 500_000  # the cache of pieces is emptied at this size
+CACHE_ENTRIES = 250_000  # the cache of pieces is emptied at this size
 CACHED_CHARS = 64
 PAIR = 1 << 20  # more than any vocabulary has symbols
 
@@ -106,12 +105,6 @@ class TokenCounter:
         return total
 
 
-@lru_cache(maxsize=2)
-def counter_of(path: str) -> TokenCounter:
-    """One per Python worker, so that its cache serves all tasks there."""
-    return TokenCounter(path)
-
-
 def count_tokens(
     df: DataFrame,
     path: str,
@@ -125,7 +118,7 @@ def count_tokens(
     """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = counter_of(path)
+        counter = TokenCounter(path)
         for batch in batches:
             texts = batch.column(1)
             counts, sizes = [], []

@@ -145,7 +145,7 @@ class Reader:
         code |= (weight > 0) | (read in SECOND_PERSON) << 1 | hides << 4
         code |= (len(word) > 2 and word.isupper()) << 2 | ("!" in word or "?" in word) << 3
         if len(word) <= 64:
-            if len(self.cache) >= 300_000:
+            if len(self.cache) >= 200_000:
                 self.cache.clear()
             self.cache[word] = code
         return code
