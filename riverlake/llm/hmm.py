@@ -36,6 +36,7 @@ STATES = 8
 OWN = 4096
 HASHED = 1024
 COMMON = 1 << 16
+COMMON_SHARE = 1 << 22  # a common word is at least one token in so many, so no more can be
 ROUNDS = 3
 STRETCH = 128
 GROUP = 1 << 19  # tokens that a task handles at a time
@@ -149,9 +150,10 @@ def _sequences(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabula
 def _rare_sums(
     docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary, counts: DataFrame, parts: int
 ) -> DataFrame:
-    """(id, key, logs, known): sums over a text's words that are not common, by text.
+    """(id, key, rare_logs, rare_known): sums over a text's words that are not common.
 
-    Each of a text's rows adds to them, so they are divided by the number of equal rows later.
+    Words and texts meet by ranges of words, and what each gives to a text by ranges of
+    texts, packed both times, so that rows do not grow with the number of ranges. Each of a text's rows adds to them, so they are divided by the number of equal rows later.
     """
     part_of = lambda words: (words >> np.uint64(32)).astype(np.int64) % parts
     schema = "bucket int, ids array<long>, keys array<long>, sizes array<int>, words array<long>, times array<int>"
@@ -206,13 +208,27 @@ def _rare_sums(
         at_text = np.cumsum(flat["sizes"]) - flat["sizes"]
         logs = np.add.reduceat(logs, at_text) if len(at_text) else logs
         seen = np.add.reduceat(seen, at_text) if len(at_text) else seen
+        home = (mix(flat["ids"].view(np.uint64) ^ flat["keys"].view(np.uint64)) >> np.uint64(32)).astype(
+            np.int64
+        ) % parts
+        order = np.argsort(home, kind="stable")
+        owners = np.unique(home)
+        bounds = pa.array(np.append(np.searchsorted(home[order], owners), len(home)).astype(np.int32))
+        lists = (flat["ids"], flat["keys"], logs.astype(float), seen.astype(np.int64))
         return pa.table(
-            {
-                "id": flat["ids"],
-                "key": flat["keys"],
-                "logs": logs.astype(float),
-                "known": seen.astype(np.int64),
-            }
+            [pa.array(owners.astype(np.int32))]
+            + [pa.ListArray.from_arrays(bounds, pa.array(x[order])) for x in lists],
+            ["bucket", "ids", "keys", "logs", "known"],
+        )
+
+    def sum_up(table: pa.Table) -> pa.Table:
+        flat = [table[c].combine_chunks().flatten().to_numpy() for c in ("ids", "keys", "logs", "known")]
+        order = np.lexsort(flat[1::-1])
+        ids, keys, logs, known = (x[order] for x in flat)
+        heads = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])))
+        return pa.table(
+            [ids[heads], keys[heads], np.add.reduceat(logs, heads), np.add.reduceat(known, heads)],
+            ["id", "key", "rare_logs", "rare_known"],
         )
 
     packed = over_texts(docs, id_col, text_col, schema, step)
@@ -222,9 +238,12 @@ def _rare_sums(
     return (
         packed.groupBy("bucket")
         .cogroup(by_part.groupBy("bucket"))
-        .applyInArrow(look_up, "id long, key long, logs double, known long")
-        .groupBy("id", "key")
-        .agg(F.sum("logs").alias("rare_logs"), F.sum("known").alias("rare_known"))
+        .applyInArrow(
+            look_up,
+            "bucket int, ids array<long>, keys array<long>, logs array<double>, known array<long>",
+        )
+        .groupBy("bucket")
+        .applyInArrow(sum_up, "id long, key long, rare_logs double, rare_known long")
     )
 
 
@@ -393,7 +412,8 @@ def score_texts(
     is_held = F.coalesce(fold == held, F.lit(False))
     counts = stored(_word_counts(docs.where(~is_held), id_col, text_col), "lm-counts")
     sums = counts.agg(F.sum("times").alias("n"), F.count("*").alias("v")).first()
-    common = counts.orderBy(F.desc("times"), "word").limit(COMMON)
+    often = counts.where(F.col("times") * COMMON_SHARE >= (sums.n or 0))
+    common = often.orderBy(F.desc("times"), "word").limit(COMMON)
     top = common.toArrow()
     own = top.slice(0, OWN)["word"].to_pylist()
     # The words with a class of their own are taken out by a table of OWN rows.
