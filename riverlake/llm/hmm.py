@@ -10,7 +10,8 @@ in stretches of ``STRETCH`` tokens; the first of a text and all others have a st
 distribution each. A text's score is the exact likelihood of its whole sequence, by the scaled
 forward recursion.
 
-The starting point is fit on at most ``START_TEXTS`` texts of at most ``START_TOKENS`` tokens.
+The starting point is fit on at most ``START_TEXTS`` distinct texts of any length, dealt by
+hash; of one with more than ``START_TOKENS`` tokens, so many in stretches spread evenly over it.
 Counts of the ``COMMON`` most frequent words go to the executors; those of other words meet
 the texts they are in by ranges of hashes, packed by text.
 
@@ -341,19 +342,27 @@ def _start(sample: pa.Table) -> Model:
     return model
 
 
-def train(sequences: DataFrame) -> Model | None:
-    """The model after passes over all sequences; None if there are none."""
-    spark = sequences.sparkSession
-    sample = (
-        sequences.where(F.col("n") <= START_TOKENS)
-        .select("key", "id")
-        .orderBy(F.xxhash64("key"), "key", "id")
-        .limit(START_TEXTS)
+def start_sample(sequences: DataFrame) -> pa.Table:
+    """(key, classes) of the distinct texts that the start is fit on, long ones cut."""
+    texts = sequences.groupBy(F.col("key").alias("start_key")).agg(F.min("id").alias("start_id"))
+    sample = texts.orderBy(F.xxhash64("start_key"), "start_key").limit(START_TEXTS)
+    most = START_TOKENS // STRETCH
+    # The first stretch and later whole ones, so they are stretches again when put together.
+    cut = F.expr(
+        f"case when n <= {START_TOKENS} then classes else flatten(transform(sequence(0L, {most - 1}L),"
+        f" i -> slice(classes, cast((i * ((n + {STRETCH - 1}) div {STRETCH})) div {most} as int)"
+        f" * {STRETCH} + 1, {STRETCH}))) end"
     )
-    chosen = sequences.select("id", "key", "classes").join(
-        F.broadcast(sample), (sequences["key"] == sample["key"]) & sequences["id"].eqNullSafe(sample["id"])
+    chosen = sequences.join(
+        F.broadcast(sample), (F.col("key") == F.col("start_key")) & F.col("id").eqNullSafe(F.col("start_id"))
     )
-    first = chosen.select("classes").limit(START_TEXTS).toArrow()
+    cuts = chosen.select("key", cut.alias("classes"))
+    return cuts.dropDuplicates(["key"]).toArrow().sort_by("key")
+
+
+def train(sequences: DataFrame) -> Model | None:
+    """The model after passes over all sequences; None if there are none."""
+    first = start_sample(sequences)
     if not first.num_rows:
         return None
     model = _start(first)

@@ -112,3 +112,22 @@ def test_no_training_texts(spark):
     table = docs(spark, [None] * 200).where(F.col("doc_id").isin(ids))
     assert {(r.train_tokens, r.score) for r in score_texts(table).collect()} == {(0, 0.0)}
     assert score_texts(docs(spark, [])).collect() == []
+
+
+def test_long_texts_alone_are_learned_from(spark):
+    texts = [sentence(i % 3, hmm.START_TOKENS + 100) for i in range(5)]
+    rows = score_texts(docs(spark, texts)).collect()
+    assert any(not r.held_out for r in rows)
+    assert all(math.isfinite(r.score) and abs(r.score - r.base_score) > 1 for r in rows)
+
+
+def test_start_takes_distinct_texts_and_cuts_long_ones(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "START_TEXTS", 6)
+    monkeypatch.setattr(hmm, "START_TOKENS", 3 * hmm.STRETCH)
+    n = 10 * hmm.STRETCH + 5
+    rows = [(i % 2, 1, 3, [7, 7, 0]) for i in range(50)] + [(None, 1, 3, [7, 7, 0])]
+    rows += [(i, i, 2, [i, 0]) for i in range(2, 5)] + [(5, 5, n, list(range(n)))]
+    sequences = spark.createDataFrame(rows, "id long, key long, n long, classes array<int>")
+    got = {r["key"]: r["classes"] for r in hmm.start_sample(sequences).to_pylist()}
+    spread = [x for i in (0, 3, 7) for x in range(i * hmm.STRETCH, (i + 1) * hmm.STRETCH)]
+    assert got == {1: [7, 7, 0], 2: [2, 0], 3: [3, 0], 4: [4, 0], 5: spread}
