@@ -7,8 +7,10 @@ bands are the least and the greatest of its shingles when these are ordered by o
 reverse. A template is retrieved where a band of a window is one of its shingles. A shingle is
 the first or the last of four with probability 1/2 in each stretch, so one that a window shares
 with a template is missed with probability ``2 ** -SEGMENTS``, under 0.1 %. Then the shingles
-around each retrieving window are compared with the template's exactly: it matches if at least
-``CONTAINED`` of them are there.
+around each retrieving window are compared with the exact ones of templates that have a shingle
+in the window: one matches if at least ``CONTAINED`` of them are there. Of templates that say
+nearly the same, the one with the highest containment is taken (then the longest, then the first
+name); another name stays only if ``CONTAINED`` of the shingles that it alone has are there too.
 
 Windows become rows that carry no text, and are filtered where they arise; only the few texts
 with a retrieving window are read again. Results are by text, so copies are compared once.
@@ -68,6 +70,71 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+
+def _gnu(thing: str, license: str, version: str) -> str:
+    return (
+        f"This {thing} is free software; you can redistribute it and/or modify it under the terms"
+        f" of the GNU {license} as published by the Free Software Foundation; either"
+        f" version {version} of the License, or (at your option) any later version."
+    )
+
+
+_GNU = [
+    ("AGPL-3.0", "Affero General Public License", "3"),
+    ("GPL-2.0", "General Public License", "2"),
+    ("LGPL-2.0", "Library General Public License", "2"),
+    ("LGPL-2.1", "Lesser General Public License", "2.1"),
+    ("LGPL-3.0", "Lesser General Public License", "3"),
+]
+_CC = [
+    ("BY-NC", "Attribution-NonCommercial"),
+    ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("BY-ND", "Attribution-NoDerivatives"),
+    ("BY-SA", "Attribution-ShareAlike"),
+]
+
+# Notices of relatives of those licenses, and of further ones.
+RELATED = [
+    *[(name, _gnu(thing, *said)) for name, *said in _GNU for thing in ("program", "library")],
+    ("GPL-3.0", _gnu("library", "General Public License", "3")),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms"
+        " of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    ),
+    *[(name, f"This work is licensed under the GNU {said}, version {v}.") for name, said, v in _GNU],
+    ("GPL", "This work is licensed under the GNU General Public License."),
+    ("LGPL", "This work is licensed under the GNU Lesser General Public License."),
+    *[
+        (f"CC-{name}-4.0", f"This work is licensed under a Creative Commons {said} 4.0 International License.")
+        for name, said in _CC
+    ],
+    ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
+    (
+        "CC-BY-SA-3.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+    ),
+    *[(f"CC-{name}-4.0", f"Licensed under CC {name} 4.0.") for name in ("BY", *[n for n, _ in _CC if n != "BY-NC"])],
+    ("CC0-1.0", "CC0 1.0 Universal (CC0 1.0) Public Domain Dedication"),
+    ("CC0-1.0", "Licensed under CC0 1.0 Universal."),
+    ("CC0-1.0", "has waived all copyright and related or neighboring rights to"),
+    (
+        "CC0-1.0",
+        "have dedicated all copyright and related and neighboring rights to this software to the"
+        " public domain worldwide",
+    ),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    *[
+        (
+            f"EPL-{v}",
+            "This program and the accompanying materials are made available under the terms of the"
+            f" Eclipse Public License v{v}",
+        )
+        for v in ("1.0", "2.0")
+    ],
+]
+
 def _shingles(df: DataFrame, text: Column) -> DataFrame:
     """``df`` with the hashes of its texts' shingles, in order, as ``shingles``."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -119,7 +186,7 @@ def scan_licenses(
     text_col: str = "text",
 ) -> DataFrame:
     """Per row: id, how many windows retrieve a template, and the licenses found, by name."""
-    known = template_shingles(docs.sparkSession, TEMPLATES if templates is None else templates)
+    known = template_shingles(docs.sparkSession, TEMPLATES + RELATED if templates is None else templates)
     every = sorted({h for _, own in known for h in own})
     longest = max((len(own) for _, own in known), default=0)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -149,17 +216,34 @@ def scan_licenses(
     own_windows = _shingles(texts, F.col("text")).select(*key, "shingles", F.inline_outer(F.expr(in_windows)))
     around = own_windows.where(_retrieved(every)).select(
         *key,
+        F.array_compact(F.array(*[f"h{k}" for k in range(WINDOW)])).alias("at"),
         F.array_distinct(
             F.slice("shingles", F.greatest(F.lit(1), F.col("i") + 1 - longest), F.lit(WINDOW + 2 * longest))
         ).alias("around"),
     )
 
-    def held(own: list[int]) -> Column:
-        both = F.array_intersect("around", F.array(*map(F.lit, own)))
-        return F.size(both) >= len(own) * CONTAINED
+    def candidate(name: str, own: list[int]) -> Column:
+        all_ = F.array(*map(F.lit, own))
+        both = F.array_intersect("around", all_)
+        held = (F.size(both) >= len(own) * CONTAINED) & F.arrays_overlap("at", all_)
+        return F.when(held, F.struct(F.lit(name).alias("name"), all_.alias("own"), both.alias("both")))
+
+    def beaten(a: Column, b: Column) -> Column:
+        ours, theirs = F.size(a["both"]) * F.size(b["own"]), F.size(b["both"]) * F.size(a["own"])
+        first = F.size(b["own"]) > F.size(a["own"])
+        first = first | ((F.size(b["own"]) == F.size(a["own"])) & (b["name"] < a["name"]))
+        alone = F.size(F.array_except(a["own"], b["own"])) * CONTAINED
+        said = F.size(F.array_except(a["both"], b["own"]))
+        higher = (theirs > ours) | ((theirs == ours) & first)
+        return (a["name"] != b["name"]) & higher & (said < F.greatest(F.lit(1.0), alone))
 
-    names = F.array_compact(F.array(*[F.when(held(own), F.lit(name)) for name, own in known]))
-    found = around.select(*key, F.explode(names).alias("name")) if known else None
+    found = None
+    if known:
+        matched = around.select(
+            *key, F.array_compact(F.array(*[candidate(*t) for t in known])).alias("matched")
+        ).where(F.size("matched") > 0)
+        names = F.filter("matched", lambda a: ~F.exists("matched", lambda b: beaten(a, b)))
+        found = matched.select(*key, F.explode(names["name"]).alias("name"))
     nothing = F.array().cast("array<string>")
     rows = source.select("doc", *key).join(retrieved, key, "left")
     if found is not None:

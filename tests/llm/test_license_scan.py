@@ -3,7 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from riverlake.llm.license_scan import TEMPLATES, scan_licenses, template_shingles
+from riverlake.llm.license_scan import RELATED, TEMPLATES, scan_licenses, template_shingles
 from tests.llm.helpers import docs, sentence
 
 
@@ -57,3 +57,17 @@ def test_templates_and_empty_tables(spark):
         template_shingles(spark, [("x", "too short")])
     assert result(scan_licenses(docs(spark, ["a b c d e f"]), [])) == {0: []}
     assert scan_licenses(docs(spark, [])).collect() == []
+
+
+def test_version_and_family_words_decide(spark):
+    every = TEMPLATES + RELATED
+    texts = [f"{sentence(i, i % 23)} {t} {sentence(i + 99, 30)}" for i, (_, t) in enumerate(every)]
+    assert result(scan_licenses(docs(spark, texts))) == {i: [name] for i, (name, _) in enumerate(every)}
+
+
+def test_notices_side_by_side_are_all_found(spark):
+    gpl3, gpl2 = TEMPLATES[6][1], next(t for name, t in RELATED if name == "GPL-2.0")
+    short = "This work is licensed under the GNU General Public License, version "
+    texts = [f"{gpl2} {gpl3}", f"{gpl3} {sentence(1, 9)} {gpl2}", f"{short}2. {short}3.", f"{TEMPLATES[8][1]} {TEMPLATES[0][1]}"]
+    both = ["GPL-2.0", "GPL-3.0"]
+    assert result(scan_licenses(docs(spark, texts))) == {0: both, 1: both, 2: both, 3: ["Apache-2.0", "MIT"]}
