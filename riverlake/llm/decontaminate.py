@@ -1,9 +1,10 @@
 """Benchmark decontamination by SimHash over windows the size of the items.
 
-Every item is searched for in all documents. An item of ``w`` words gets a window size from a
-grid, at most half of ``w`` if it is long enough, so that a passage with one edit still has an
-unchanged window on either side of it. The windows that tile the item, and the windows of that
-size at every word of every document, get a 64-bit SimHash of their words. Fingerprints within
+Every item is searched for in all documents. However the edits of a passage are spread, the
+threshold leaves a run of unchanged words whose least length follows from the item's
+(``clean_run``). Windows of a size from a grid overlap over the item so that one of them lies in
+any such run. They, and the windows of that size at every word of every document, get a 64-bit
+SimHash of their words. Fingerprints within
 ``RADIUS`` bits are found by a multi-index: split into ``RADIUS + 1`` blocks, two of them that
 differ in at most ``RADIUS`` bits are equal in a block, so looking up each block misses none.
 Then the document's passage around the window is compared with the item by the weighted
@@ -59,9 +60,26 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both)
 
 
-def window_size(words: int) -> int:
-    room = (words - 1) // 2 if words >= 13 else words
-    return max(size for size in SIZES if size <= room)
+def clean_run(words: int) -> int:
+    """Least length of the longest unchanged run of an item in a passage at the threshold.
+
+    ``k`` separate edits that take ``m`` words cost an item of ``n`` shingles ``m + 4 k`` of them
+    and add at least ``4 k`` others, so ``n - m - 4 k >= THRESHOLD (n + 4 k)``, and what is left
+    of the item is in ``k + 1`` runs.
+    """
+    n = max(0, words - SHINGLE + 1)
+    room, each = (1 - THRESHOLD) * n, (1 + THRESHOLD) * (SHINGLE - 1)
+    runs = [-(-(words - int(room - each * k)) // (k + 1)) for k in range(int(room / each) + 1)]
+    return min(runs)
+
+
+def windows_of(words: int) -> tuple[int, list[int]]:
+    """Size and offsets of windows, one of which lies in any run of ``clean_run`` words."""
+    run = clean_run(words)
+    room = (run + 1) * 3 // 4 if run >= 13 else run
+    size = max(size for size in SIZES if size <= room)
+    last = words - size
+    return size, sorted({*range(0, last + 1, run - size + 1), last})
 
 
 def fingerprints(running: np.ndarray, size: int) -> np.ndarray:
@@ -123,10 +141,9 @@ class Items:
         for item, sequence in enumerate(own):
             if not len(sequence):
                 continue
-            size = window_size(len(sequence))
+            size, places = windows_of(len(sequence))
             prints = fingerprints(running_bits(sequence), size)
-            last = len(sequence) - size
-            for offset in sorted({*range(0, last + 1, size), last}):
+            for offset in places:
                 windows.setdefault(size, []).append((int(prints[offset]), item, offset))
         self.sizes = {
             size: (
@@ -172,6 +189,7 @@ class Items:
     def search(self, words: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], tuple]:
         """Best (similarity, -start, length) by (text, item)."""
         found: dict[tuple[int, int], tuple] = {}
+        tried: set[tuple[int, int, int]] = set()  # places of items: their windows agree on one
         longest = max(self.sizes, default=1)
         for begin in range(0, len(words), STRETCH):
             stretch = words[begin : begin + STRETCH + longest - 1]
@@ -185,7 +203,9 @@ class Items:
                 for p, e, t in zip(place[inside] + begin, entry[inside], text[inside].tolist()):
                     item = int(items[e])
                     own = words[bounds[t] : bounds[t + 1]]
-                    if found.get((t, item), (0.0,))[0] < 1.0:
+                    place_of = (t, item, int(p - bounds[t] - offsets[e]))
+                    if found.get((t, item), (0.0,))[0] < 1.0 and place_of not in tried:
+                        tried.add(place_of)
                         best = self.verified(own, item, int(offsets[e]), int(p - bounds[t]))
                         if best[0] >= THRESHOLD and best > found.get((t, item), (0.0,)):
                             found[t, item] = best

@@ -93,3 +93,23 @@ def test_empty_tables(spark):
     assert find_leaks(docs(spark, ["a b c"]), bench).collect() == []
     assert drop_leaks(docs(spark, ["a b c"]), bench).count() == 1
     assert find_leaks(docs(spark, []), spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+
+
+def test_items_with_as_many_spread_edits_as_allowed_are_found():
+    sizes = [40, 80, 100, 120, 200, 300, 400]
+    texts = [sentence(k, n) for k, n in enumerate(sizes)]
+    index = Items(list(range(len(texts))), texts)
+    missed = []
+    for item, (n, text) in enumerate(zip(sizes, texts)):
+        own = Counter(shingles(word_hashes(pa.array([text]))[0]).tolist())
+        for kind in ("replace", "delete", "insert"):
+            for shift in range(-4, 5):
+                w, edits = text.split(), {"replace": (n - 4) // 35, "delete": (n - 4) // 32, "insert": (n - 4) // 31}[kind]
+                for k in range(edits, 0, -1):
+                    at = k * n // (edits + 1) + shift
+                    w[at : at + (kind != "insert")] = [] if kind == "delete" else [f"new{k}"]
+                words, bounds = word_hashes(pa.array([" ".join(w)]))
+                assert similarity(own, Counter(shingles(words).tolist())) >= 0.75
+                if (0, item) not in index.search(words, bounds):
+                    missed.append((n, kind, shift))
+    assert not missed
