@@ -190,7 +190,9 @@ def _shared(postings: DataFrame, parts: int, heavy: np.ndarray, times: np.ndarra
         heads = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
         counts = np.diff(np.append(heads, len(grams)))
         freqs = np.repeat(counts, counts)
-        freqs = np.minimum(np.maximum(freqs, _frequency(grams, heavy, times)), 2**31 - 1)
+        # Of a frequent one the number sent out alone: a range's own would give each range an order.
+        sent = _frequency(grams, heavy, times)
+        freqs = np.minimum(np.where(sent > 0, sent, freqs), 2**31 - 1)
         many = freqs > 1
         run, bucket = run[many], _id_range(ids, parts)[run[many]]
         packed = _pack(bucket, run, ids, grams[many], freqs[many])

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +79,15 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     found = {r.id: r.component for r in components(links).collect()}
     assert found == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_frequent_ngrams_have_one_frequency_in_all_ranges(spark):
+    """More of them in a range than the tasks' counts that were sent out add up to."""
+    gram = next(iter(ngram_join.shingle_sets(*ngram_join.word_hashes(pa.array(["a b c d e"])), 5)))
+    table = docs(spark, [f"a b c d e u{i} v{i}" for i in range(90)]).repartition(30)
+    heavy, times = gram, np.array([8])
+    postings = ngram_join._postings(table, "doc_id", "text", 5, 3, heavy, times)
+    rows = ngram_join._shared(postings, 3, heavy, times).collect()
+    wanted = gram.view(np.int64)[0]
+    found = [f for r in rows for g, f in zip(r.grams, r.freqs) if g == wanted]
+    assert len({r.bucket for r in rows}) == 3 and found == [8] * 90
