@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riverlake.llm import quality, url_filter
+from riverlake.llm import merkle, phrases, quality, secret_scan, url_filter
 from riverlake.llm.chat_format import END, LEARNED_ROLE, OPEN
 
 _WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -189,10 +189,152 @@ from placed left join fits using (row) left join trust_{last} t using (host)
   left join distrust_{last} d using (host)"""
 
 
-def oracles(rules: list[tuple[str, str, str]]) -> dict[str, str]:
+
+def _phrases() -> str:
+    most = phrases.MOST_WORDS
+    sizes = ", ".join(f"({k})" for k in range(1, most + 1))
+    return rf"""
+with texts as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+pieces as (
+  select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from texts),
+grams as (
+  select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) as p
+  from pieces, (values {sizes}) as t(k) where len(w) >= k),
+counts as (select lang, k, p, count(*) as f from grams group by 1, 2, 3),
+sizes as (select lang, cast(sum(f) as bigint) as n from counts where k = 1 group by 1),
+candidates as (select lang, k, p, f as a from counts where k > 1 and f >= {phrases.LEAST}),
+cuts as (
+  select c.lang, c.p, c.k, c.a, j, l.f as l, r.f as r,
+    ({phrases.SCALE}::hugeint * c.a * c.a) // (l.f::hugeint * r.f) as score
+  from candidates c join (values {sizes}) as t(j) on j < c.k
+  join counts l on l.lang = c.lang and l.p = c.p[1:j]
+  join counts r on r.lang = c.lang and r.p = c.p[j + 1:c.k]),
+weakest as (
+  select lang, p, k, a, unnest(min({{'score': score, 'j': j, 'l': l, 'r': r}})) from cuts group by 1, 2, 3, 4),
+inner_parts as (
+  select lang, a, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(
+    range(1, k - m + 2), lambda i: p[i:i + m - 1])))) as p from candidates),
+held as (select lang, p, max(a) as most from inner_parts group by 1, 2),
+ranked as (
+  select w.lang, array_to_string(p, ' ') as phrase, a, l, r, score,
+    row_number() over (partition by w.lang order by score desc, a desc, array_to_string(p, ' ')) as rank
+  from weakest w left join held using (lang, p)
+  where coalesce(100 * most < {phrases.INSIDE_PERCENT} * a, true))
+select lang, rank, phrase, a, l, r, n, cast(score as bigint) as score
+from ranked join sizes using (lang) where rank <= {phrases.FIRST}"""
+
+
+def _secrets() -> str:
+    quoted = lambda pattern: pattern.replace("'", "''")
+    cuts, checks = [], []
+    for i, rule in enumerate(secret_scan.RULES):
+        text, pattern = ("low" if rule.any_case else "text"), quoted(rule.pattern)
+        cuts.append(
+            f"select id, {i} as rule, '{rule.name}' as kind, regexp_split_to_array({text}, '{pattern}') as gaps,"
+            f" regexp_extract_all({text}, '{pattern}') as said from given"
+        )
+        checks.append(f"when {i} then length(regexp_extract(said, '{pattern}', {rule.group})) >= {rule.least}")
+    base = len(secret_scan.BASE_RULES)
+    counts = ", ".join(
+        f"count(*) filter (rule = {i}) as n_{rule.name}" for i, rule in enumerate(secret_scan.BASE_RULES)
+    )
+    named = "kind || ':' || start || ':' || (start + length(said))"
+    return rf"""
+with given as (
+  select row_number() over () as id, doc_id, coalesce(text, '') as text, {_LOWERED} as low from documents),
+cut as ({" union all ".join(cuts)}),
+places as (select *, unnest(range(1, len(said) + 1)) as i from cut where len(said) > 0),
+found as (
+  select id, rule, kind, said[i] as said, cast(
+    coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0)
+    + coalesce(list_sum(list_transform(said[1:i - 1], lambda x: length(x))), 0) as bigint) as start
+  from places),
+kept as (select * from found where case rule {" ".join(checks)} end),
+summed as (
+  select id, {counts},
+    string_agg({named}, ',' order by start, rule) filter (rule < {base}) as base,
+    string_agg({named}, ',' order by start, rule) as spans
+  from kept group by 1)
+select doc_id, {", ".join(f"coalesce(n_{r.name}, 0) as n_{r.name}" for r in secret_scan.BASE_RULES)},
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from given left join summed using (id)"""
+
+
+def _merkle(columns: list[str], leaf_levels: int = 8, group_levels: int = 4) -> str:
+    """Levels are written out; ``FANOUT`` to their number bounds leaves and groups."""
+    fan = merkle.FANOUT
+    table = (
+        "list_transform(range(0, 256), lambda b: list_reduce(list_concat([b::bigint], [0::bigint, 0, 0, 0, 0, 0, 0, 0]),"
+        " lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))"
+    )
+    crc = (
+        "xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''),"
+        " lambda x: ascii(x)::bigint)), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])),"
+        " 4294967295)"
+    )
+
+    def sealed(changed: bool) -> str:
+        parts = []
+        for column in columns:
+            text = f"{column}::varchar"
+            if changed and column == "text":
+                text = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+            parts.append(f"coalesce(strlen({text}) || ':' || {text}, '-')")
+        return f"sha256({' || '.join(parts)})"
+
+    def tree(name: str, levels: int) -> str:
+        """From {name}_0 (grp, i, h, n) and {name}_path_0 (id, grp, i, node, proof)."""
+        steps = []
+        for k in range(levels):
+            steps.append(f"""
+{name}_{k + 1} as (
+  select grp, i // {fan} as i, sha256(string_agg(h, '' order by i)) as h, (any_value(n) + {fan - 1}) // {fan} as n
+  from {name}_{k} where n > 1 group by grp, i // {fan}
+  union all select grp, i, h, n from {name}_{k} where n <= 1),
+{name}_runs_{k} as (
+  select grp, i // {fan} as run, list(h order by i) as hs, any_value(n) as n from {name}_{k} group by 1, 2),
+{name}_path_{k + 1} as (
+  select id, p.grp, i // {fan} as i,
+    case when n > 1 then sha256(array_to_string(
+      list_concat(hs[1:i % {fan}], [node], hs[i % {fan} + 2:]), '')) else node end as node,
+    case when n > 1 then proof || array_to_string(list_concat(hs[1:i % {fan}], hs[i % {fan} + 2:]), '')
+      else proof end as proof
+  from {name}_path_{k} p join {name}_runs_{k} r on p.grp is not distinct from r.grp and p.i // {fan} = r.run)""")
+        return ",".join(steps)
+
+    return f"""
+with crc_steps as (select {table} as steps),
+given as (
+  select row_number() over () as id, doc_id, source, {sealed(False)} as leaf,
+    case when doc_id is not null and ({crc}) % 5 = 0 then {sealed(True)} end as changed from documents, crc_steps),
+placed as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf, changed nulls first) - 1 as i
+  from given),
+leaf_0 as (select source as grp, i, leaf as h, count(*) over (partition by source) as n from placed),
+leaf_path_0 as (select id, source as grp, i, coalesce(changed, leaf) as node, '' as proof from placed),
+{tree("leaf", leaf_levels)},
+subroots as (
+  select grp as source, h as subroot, row_number() over (order by grp nulls first) - 1 as i from leaf_{leaf_levels}),
+group_0 as (select 0 as grp, i, subroot as h, count(*) over () as n from subroots),
+group_path_0 as (
+  select p.id, 0 as grp, s.i, p.node, p.proof
+  from leaf_path_{leaf_levels} p join subroots s on p.grp is not distinct from s.source),
+{tree("group", group_levels)}
+select doc_id, leaf, subroot, (select h from group_{group_levels}) as root, sha256(proof) as proof_sha256,
+  node as folded_root, node = (select h from group_{group_levels}) as verified
+from placed join subroots on placed.source is not distinct from subroots.source
+join group_path_{group_levels} using (id)"""
+
+
+def oracles(rules: list[tuple[str, str, str]], columns: list[str]) -> dict[str, str]:
     return {
         "op1_ngram_join": NGRAM_JOIN,
         "op3_chat_format": CHAT_FORMAT,
         "op6_quality_rules": _quality(),
         "op7_url_filter": _urls(rules),
+        "op11_phrase_collocations": _phrases(),
+        "op12_secret_scan": _secrets(),
+        "op13_merkle_manifest": _merkle(columns),
     }

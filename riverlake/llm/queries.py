@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverlake.llm import byte_bpe, chat_format, decontaminate, hmm, license_scan, ngram_join, quality, token_count, toxicity, url_filter
+from riverlake.llm import (
+    byte_bpe,
+    chat_format,
+    decontaminate,
+    hmm,
+    license_scan,
+    merkle,
+    ngram_join,
+    phrases,
+    quality,
+    secret_scan,
+    token_count,
+    toxicity,
+    url_filter,
+)
 from riverlake.llm.oracles import oracles
 from riverlake.llm.rows import table
 
@@ -96,6 +110,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), path)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of secrets in every document."""
+    return secret_scan.secret_digests(table(spark, sf_dir, "documents"))
+
+
+MERKLE_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots and proof; a fifth is checked with its text in lower case."""
+    return merkle.manifest(
+        table(spark, sf_dir, "documents"),
+        MERKLE_COLUMNS,
+        changed={"text": merkle.lower_ascii(F.col("text"))},
+        where=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0,
+    )
+
+
 _QUERIES: list[Query] = [
     op1_ngram_join,
     op2_decontamination,
@@ -107,9 +144,12 @@ _QUERIES: list[Query] = [
     op8_language_model,
     op9_toxicity,
     op10_token_counts,
+    op11_phrase_collocations,
+    op12_secret_scan,
+    op13_merkle_manifest,
 ]
 
-ORACLES = oracles(URL_RULES)
+ORACLES = oracles(URL_RULES, MERKLE_COLUMNS)
 
 
 def llm_queries() -> dict[str, Query]:

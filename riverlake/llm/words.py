@@ -47,9 +47,11 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def _block_words(data: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _block_words(
+    data: np.ndarray, heads: np.ndarray, space: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of each word; ``heads``: places where a text begins."""
-    word = ~_SPACE[data]
+    word = ~space[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     first[heads] = word[heads]
@@ -68,28 +70,38 @@ def _block_words(data: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, mix(np.add.reduceat(values, starts))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and at which word each text begins (one more at the end)."""
-    data, offsets = text_bytes(texts)
+def located_words(
+    data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of all words in order, for texts as by ``text_bytes``.
+
+    ``space`` marks the bytes that are in no word, all of them below 0x80.
+    """
     starts, hashes, begin = [], [], 0
     while begin < len(data):
         stop = min(begin + BLOCK_BYTES, len(data))
         while stop < len(data):  # to the next space or head of a text
-            ahead = np.flatnonzero(_SPACE[data[stop : stop + 65536]])
+            ahead = np.flatnonzero(space[data[stop : stop + 65536]])
             head = offsets[np.searchsorted(offsets, stop)]
             stop = min(stop + (int(ahead[0]) if len(ahead) else 65536), int(head))
             if len(ahead) or stop == head:
                 break
         stop = min(stop, len(data))
         heads = offsets[np.searchsorted(offsets, begin) : np.searchsorted(offsets, stop)]
-        at, hashed = _block_words(data[begin:stop], np.unique(heads - begin))
+        at, hashed = _block_words(data[begin:stop], np.unique(heads - begin), space)
         starts.append(at + begin)
         hashes.append(hashed)
         begin = stop
     if not starts:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    places = np.concatenate(starts)
-    return np.concatenate(hashes), np.searchsorted(places, offsets, "left")
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and at which word each text begins (one more at the end)."""
+    data, offsets = text_bytes(texts)
+    starts, hashes = located_words(data, offsets)
+    return hashes, np.searchsorted(starts, offsets, "left")
 
 
 def shingle_sets(words: np.ndarray, bounds: np.ndarray, n: int) -> Iterator[np.ndarray]:
