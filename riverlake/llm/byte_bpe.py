@@ -7,9 +7,11 @@ every two neighbours are the encoding of theirs: until the first merge across a
 each side of it evolves as it would alone. So a window that gives back its own first and
 last token leaves all tokens outside of it as they are; one that doesn't is doubled.
 
-Defined results: a null text is empty and has no ids; repeated rows give equal rows; extra
-columns are kept by the encoder and the decoder unless they have the name of an output
-column, which replaces them.
+Defined results: a null text is empty and has no ids; repeated rows give equal rows; an empty
+table gives an empty table. Two pairs of tokens of equal rank are the same tokens, and the
+leftmost is merged first. A long text is encoded in blocks, and rows reach Python in batches of
+bounded bytes. Extra columns are kept by the encoder and the decoder unless they have the name
+of an output column (in any case of letters), which replaces them.
 """
 
 from __future__ import annotations
@@ -17,18 +19,23 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from riverlake.llm.rows import spare
+from riverlake.llm.rows import small_batches, spare
 
+PASS_ROWS = 100  # whose results are held at a time
 LEAF_BYTES = 48  # encoded directly; a longer piece is halved
-CACHE_ENTRIES = 250_000  # the cache of pieces is emptied at this size
+CACHE_BYTES = 32 << 20  # the cache of pieces is emptied at about this size
+ENTRY_BYTES = 260  # of an entry, besides its ids and characters
 CACHED_CHARS = 64
 BLOCK_CHARS = 1 << 18  # of a text that are handled at a time
 NO_RANK = 1 << 40
@@ -125,6 +132,7 @@ class Encoder:
         self.ranks = load_ranks(ranks_path)
         self.split = regex.compile(pattern).findall
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.room = CACHE_BYTES
 
     def piece_ids(self, match: str) -> tuple[int, ...]:
         piece = match.encode("utf-8")
@@ -133,23 +141,62 @@ class Encoder:
         else:
             ids = tuple([self.ranks[part] for part in encode_piece(self.ranks, piece)])
         if len(match) <= CACHED_CHARS:
-            if len(self.cache) >= CACHE_ENTRIES:
+            self.room -= ENTRY_BYTES + 4 * len(match) + 36 * len(ids)
+            if self.room < 0:
                 self.cache.clear()
+                self.room = CACHE_BYTES
             self.cache[match] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> array:
         get, compute = self.cache.get, self.piece_ids
-        ids: list[int] = []
+        ids = array("i")
         for block in blocks(text):
+            found: list[int] = []
             for piece in self.split(block):
-                ids += get(piece) or compute(piece)
+                found += get(piece) or compute(piece)
+            ids.extend(found)
         return ids
 
 
-def _with(schema: StructType, name: str, kind) -> StructType:
-    kept = [field for field in schema.fields if field.name.lower() != name.lower()]
-    return StructType([*kept, StructField(name, kind)])
+class Decoder:
+    """The bytes of ids: tokens by their rank."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.token = {rank: token for token, rank in ranks.items()}.__getitem__
+
+    def decode(self, ids: array | list[int]) -> bytes:
+        return joined_up(list(map(self.token, ids)))
+
+
+def _pass(
+    df: DataFrame,
+    names: list[str],
+    read: str,
+    outs: list[StructField],
+    work: Callable[[], Callable[[pa.Scalar], tuple]],
+) -> DataFrame:
+    """Columns ``names`` of ``df`` and one more for each of ``outs``, made from ``read`` row by row.
+
+    An output column replaces an input column of its name.
+    """
+    small_batches(df.sparkSession)
+    taken = {out.name.lower() for out in outs}
+    names = [c for c in names if c.lower() not in taken]
+    given = df.select(*[F.col(f"`{c}`") for c in names], F.col(read).alias(spare(df, "given_value")))
+    schema = StructType([*given.schema.fields[:-1], *outs])
+    kinds = to_arrow_schema(StructType(outs)).types
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = work()
+        for batch in batches:
+            for start in range(0, batch.num_rows, PASS_ROWS):
+                part = batch.slice(start, PASS_ROWS)
+                made = zip(*[make(value) for value in part.column(part.num_columns - 1)])
+                columns = [pa.array(list(c), k) for c, k in zip(made, kinds)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], schema.names)
+
+    return given.mapInArrow(step, schema)
 
 
 def encode_texts(
@@ -159,32 +206,30 @@ def encode_texts(
     text_col: str = "text",
     out_col: str = "token_ids",
     keep: list[str] | None = None,
+    decoded_col: str | None = None,
 ) -> DataFrame:
     """``df`` (or its columns ``keep``) with the ids of each text as an array of int.
 
-    ``ranks_path`` is a file of base64 tokens and ranks that every executor has.
+    With ``decoded_col`` the same pass decodes the ids again and adds their bytes, so that one
+    vocabulary serves both. ``ranks_path`` is a file of base64 tokens and ranks that every
+    executor has.
     """
-    names = [c for c in (df.columns if keep is None else keep) if c.lower() != out_col.lower()]
-    given = df.select(*[F.col(c) for c in names], F.col(text_col).alias(spare(df, "text_to_encode")))
+    outs = [StructField(out_col, ArrayType(IntegerType()))]
+    if decoded_col is not None:
+        outs.append(StructField(decoded_col, BinaryType()))
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(ranks_path, pattern).encode
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                ids = pa.array(
-                    [
-                        encode(text or "")
-                        for text in part.column(part.num_columns - 1).to_pylist()
-                    ],
-                    pa.list_(pa.int32()),
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], ids], [*part.schema.names[:-1], out_col]
-                )
-
-    kinds = StructType(given.schema.fields[:-1])
-    return given.mapInArrow(step, _with(kinds, out_col, ArrayType(IntegerType())))
+    def work() -> Callable[[pa.Scalar], tuple]:
+        encoder = Encoder(ranks_path, pattern)
+        decode = Decoder(encoder.ranks).decode
+
+        def make(value: pa.Scalar) -> tuple:
+            ids = encoder.encode(value.as_py() or "")
+            held = np.frombuffer(ids, np.int32) if len(ids) else np.zeros(0, np.int32)
+            return (held,) if decoded_col is None else (held, decode(ids))
+
+        return make
+
+    return _pass(df, df.columns if keep is None else keep, text_col, outs, work)
 
 
 def joined_up(parts: list[bytes]) -> bytes:
@@ -198,25 +243,9 @@ def decode_tokens(
     df: DataFrame, ranks_path: str, ids_col: str = "token_ids", out_col: str = "decoded"
 ) -> DataFrame:
     """``df`` with the bytes of each array of ids; null ids give null."""
-    names = [c for c in df.columns if c.lower() != out_col.lower()]
-    given = df.select(*[F.col(c) for c in names], F.col(ids_col).alias(spare(df, "ids_to_decode")))
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {rank: token for token, rank in load_ranks(ranks_path).items()}.__getitem__
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                texts = [
-                    None if ids is None else joined_up(list(map(token, ids.tolist())))
-                    for ids in (
-                        None if not s.is_valid else s.values.to_numpy()
-                        for s in part.column(part.num_columns - 1)
-                    )
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(texts, pa.binary())],
-                    [*part.schema.names[:-1], out_col],
-                )
-
-    kinds = StructType(given.schema.fields[:-1])
-    return given.mapInArrow(step, _with(kinds, out_col, BinaryType()))
+    def work() -> Callable[[pa.Scalar], tuple]:
+        decode = Decoder(load_ranks(ranks_path)).decode
+        return lambda ids: (decode(ids.values.to_pylist()) if ids.is_valid else None,)
+
+    return _pass(df, df.columns, ids_col, [StructField(out_col, BinaryType())], work)

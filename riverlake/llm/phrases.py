@@ -22,6 +22,7 @@ columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riverlake.llm.rows import BATCH_ROWS, stored
+from riverlake.llm.rows import BATCH_ROWS, small_batches, stored
 from riverlake.llm.words import STEP, located_words, mix, text_bytes
 
 LEAST = 10  # occurrences of a candidate
@@ -41,8 +42,9 @@ SCALE = 1_000_000
 
 TRIE_PHRASES = 2_000_000
 BITS = 1 << 26
+CHUNK = 4096  # bases that are tried together
 HOLD_BYTES = 8 << 20  # of texts whose words are counted at a time
-HOLD_PHRASES = 1 << 20  # of places whose phrases are listed at a time
+HOLD_PHRASES = 1 << 19  # of places whose phrases are listed at a time
 
 _APART = np.zeros(256, bool)
 _APART[[*b" \t.,;:!?\n\x0b\x0c\r"]] = True
@@ -231,88 +233,76 @@ def list_candidates(seqs: DataFrame, k: int, parts: Bitmap | None, least: int) -
 
 
 class DoubleArrayTrie:
-    """Phrases of ``k`` words; the i-th distinct row of ``columns`` is accepted as number i.
+    """Phrases of ``k`` words; the i-th of the distinct rows of ``columns`` is accepted as number i.
 
-    A state is a slot. Its child by a symbol is slot ``base[state] + symbol``, if ``owner`` of
-    that slot is the state. The children of many states are placed at once: each state draws a
-    base, states whose slots are all free and claimed by no other stay, the others draw again.
+    A word is two digits, so a step has few symbols. A state is a slot; its child by a digit is
+    slot ``base[state] + digit`` if ``owner`` of that slot is the state. Children of one level are
+    placed together, large families first, each where all its slots are free; only children
+    fill the gaps. A base may be negative, as only slots that exist are looked at.
     """
 
     def __init__(self, columns: list[np.ndarray]):
         self.k = len(columns)
         self.symbols = np.unique(np.concatenate(columns))
-        ids = [np.searchsorted(self.symbols, c).astype(np.int64) for c in columns]
-        order = np.lexsort(ids[::-1])
-        ids = [c[order] for c in ids]
-        n_symbols = len(self.symbols)
-        # Slot 0 is the root; slots from 1 on hold its children.
-        self.base = np.ones(1 + n_symbols, np.int64)
-        self.owner = np.full(1 + n_symbols, -1, np.int64)
-        self.rng = np.random.default_rng(len(order))
-        state = np.zeros(len(order), np.int64)
-        path = np.zeros(len(order), bool)
-        for depth in range(self.k):
-            fresh = np.ones(len(order), bool)  # a new child
-            fresh[1:] = (ids[depth][1:] != ids[depth][:-1]) | path[1:]
-            at = np.flatnonzero(fresh)
-            slots = self._place(state[at], ids[depth][at]) if depth else 1 + ids[depth][at]
-            if not depth:
-                self.owner[slots] = 0
-            child = np.cumsum(fresh) - 1
-            state, path = slots[child], fresh.copy()
-        self.number = np.full(len(self.base), -1, np.int64)
+        self.radix = math.isqrt(len(self.symbols)) + 1
+        ids = [np.searchsorted(self.symbols, c) for c in columns]
+        digits = [d for c in ids for d in np.divmod(c, self.radix)]
+        order = np.lexsort(digits[::-1])
+        digits = [d[order] for d in digits]
+        self.base = np.zeros(1, np.int32)
+        self.owner = np.full(1, -1, np.int32)
+        state = np.zeros(len(order), np.int64)  # slot 0 is the root
+        path = np.zeros(len(order), bool)  # where another prefix begins
+        path[0] = True
+        for digit in digits:
+            fresh = path.copy()
+            fresh[1:] |= digit[1:] != digit[:-1]
+            slots = self._place(state[fresh], digit[fresh])
+            state, path = slots[np.cumsum(fresh) - 1], fresh
+        self.number = np.full(len(self.base), -1, np.int32)
         self.number[state] = order
 
     def _grow(self, size: int) -> None:
         more = size - len(self.base)
         if more > 0:
-            self.base = np.concatenate([self.base, np.zeros(more, np.int64)])
-            self.owner = np.concatenate([self.owner, np.full(more, -1, np.int64)])
-
-    def _place(self, parents: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """Slots of children, given as (parent, symbol) sorted by parents of one level."""
-        first = np.ones(len(parents), bool)
-        first[1:] = parents[1:] != parents[:-1]
-        family = np.cumsum(first) - 1
-        heads = parents[first]
-        sizes = np.bincount(family)
-        slots = np.zeros(len(parents), np.int64)
-        low, width = symbols[first], len(self.symbols)
-        # Large families first, alone, each at the first place it fits; they need room.
-        room = len(self.base)
+            more += len(self.base) // 4
+            self.base = np.append(self.base, np.zeros(more, np.int32))
+            self.owner = np.append(self.owner, np.full(more, -1, np.int32))
+
+    def _place(self, parents: np.ndarray, digits: np.ndarray) -> np.ndarray:
+        """Slots of the children of one level, given as (parent, digit) in order."""
+        first = np.append(True, parents[1:] != parents[:-1])
         begins = np.append(np.flatnonzero(first), len(parents))
-        for f in np.argsort(-sizes, kind="stable")[: int((sizes > 64).sum())].tolist():
-            own = symbols[begins[f] : begins[f + 1]]
-            base = room - int(own[0])
-            self._grow(room + width)
+        sizes = np.diff(begins)
+        slots = np.zeros(len(parents), np.int64)
+        cursor, tier = 1, 0
+        for f in np.argsort(-sizes, kind="stable")[: int((sizes > 1).sum())].tolist():
+            own = digits[begins[f] : begins[f + 1]]
+            if tier != (tier := len(own).bit_length()):
+                cursor = 1
             while True:
-                taken = self.owner[base + own] >= 0
-                if not taken.any():
+                self._grow(cursor + CHUNK + self.radix)
+                free = np.ones(CHUNK, bool)
+                for offset in (own - own[0]).tolist():
+                    free &= self.owner[cursor + offset : cursor + offset + CHUNK] < 0
+                at = int(free.argmax())
+                if free[at]:
                     break
-                base += int(taken.sum())
-                self._grow(base + width + 1)
-            self.owner[base + own] = heads[f]
-            self.base[heads[f]] = base
+                cursor += CHUNK
+            base = cursor + at - int(own[0])
+            self.owner[base + own] = parents[begins[f]]
+            self.base[parents[begins[f]]] = base
             slots[begins[f] : begins[f + 1]] = base + own
-        waiting = np.flatnonzero(sizes[family] <= 64)
-        self._grow(room + width + 2 * len(waiting))
-        while len(waiting):
-            own = family[waiting]
-            groups, inverse = np.unique(own, return_inverse=True)
-            # A base may be negative: only the slots must exist.
-            drawn = self.rng.integers(room, len(self.base) - width, len(groups)) - low[groups]
-            slot = drawn[inverse] + symbols[waiting]
-            claimed = np.full(len(self.base), -1, np.int64)
-            claimed[slot] = inverse
-            bad = (self.owner[slot] >= 0) | (claimed[slot] != inverse)
-            lost = np.bincount(inverse, weights=bad, minlength=len(groups)) > 0
-            won = ~lost[inverse]
-            self.owner[slot[won]] = heads[own[won]]
-            self.base[heads[own[won]]] = drawn[inverse[won]]
-            slots[waiting[won]] = slot[won]
-            waiting = waiting[~won]
-            if won.mean() < 0.2:
-                self._grow(len(self.base) + len(self.base) // 4 + width)
+        alone = begins[:-1][sizes == 1]
+        free = np.flatnonzero(self.owner[1:] < 0)[: len(alone)] + 1
+        if len(free) < len(alone):
+            missing = len(alone) - len(free)
+            end = len(self.owner)
+            self._grow(end + missing)
+            free = np.append(free, np.arange(end, end + missing))
+        self.owner[free] = parents[alone]
+        self.base[parents[alone]] = free - digits[alone]
+        slots[alone] = free
         return slots
 
     def count(self, seq: np.ndarray) -> np.ndarray:
@@ -321,14 +311,17 @@ class DoubleArrayTrie:
             return np.zeros(0, np.int64)
         symbol = np.searchsorted(self.symbols, seq)
         known = self.symbols[np.minimum(symbol, len(self.symbols) - 1)] == seq
+        high, low = np.divmod(symbol, self.radix)
         at = np.flatnonzero(known[: len(seq) - self.k + 1])
         state = np.zeros(len(at), np.int64)
         for depth in range(self.k):
-            place = at + depth
-            child = self.base[state] + symbol[place]
-            there = known[place] & (child >= 0) & (child < len(self.owner))
-            there &= self.owner[np.where(there, child, 0)] == state
-            at, state = at[there], child[there]
+            there = known[at + depth]
+            at, state = at[there], state[there]
+            for digit in (high, low):
+                child = self.base[state] + digit[at + depth]
+                inside = (child > 0) & (child < len(self.owner))
+                there = inside & (self.owner[np.where(inside, child, 0)] == state)
+                at, state = at[there], child[there]
         return self.number[state]
 
 
@@ -429,6 +422,7 @@ def mine(
     most_words: int = MOST_WORDS,
 ) -> tuple[DataFrame, dict[int, DataFrame]]:
     """All words (h, lang, word, n), and by length the frequent phrases (w1, .., f)."""
+    small_batches(docs.sparkSession)
     texts = docs.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
@@ -436,7 +430,9 @@ def mine(
     words = stored(count_words(texts), "phrase-words")
     frequent = words.where(F.col("n") >= least)
     levels = {1: frequent.select(F.col("h").alias("w1"), F.col("n").alias("f"))}
-    seqs = stored(encode(texts, Bitmap(frequent, "h")), "phrase-seqs")
+    # Plain longs: packed by a dictionary, the sequences would be too few bytes for many tasks.
+    plain = {"compression": "none", "parquet.enable.dictionary": "false"}
+    seqs = stored(encode(texts, Bitmap(frequent, "h")), "phrase-seqs", **plain)
     for k in range(2, most_words + 1):
         parts = bitmap_of(levels[k - 1], k - 1) if k > 2 else None
         listed = stored(list_candidates(seqs, k, parts, least), f"phrase-candidates-{k}")

@@ -63,11 +63,14 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every document, as digests."""
     encoded = byte_bpe.encode_texts(
-        table(spark, sf_dir, "documents"), MULTI_RANKS, public_tokenizers.PATTERN, keep=["doc_id"]
+        table(spark, sf_dir, "documents"),
+        MULTI_RANKS,
+        public_tokenizers.PATTERN,
+        keep=["doc_id"],
+        decoded_col="decoded",
     )
-    decoded = byte_bpe.decode_tokens(encoded, MULTI_RANKS)
     ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
-    return decoded.select(
+    return encoded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(ids, 256).alias("ids_sha256"),

@@ -12,22 +12,31 @@ from pyspark.sql.types import StructType
 from riverlake.session import scratch_dir
 
 BATCH_ROWS = 500
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """``df`` written once to the shared scratch folder and read back.
 
     Cuts the lineage: a lost executor costs a reread, never the work before.
     """
     path = scratch_dir(df.sparkSession, f"llm-{label}")
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark send rows to Python in batches of a few megabytes, however long texts are.
+
+    A batch has at least one row. Its bytes are held in the JVM and in the worker.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def spare(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -27,9 +27,9 @@ def test_ids_equal_the_library(monkeypatch, library, leaf, block):
     encoder, rng = Encoder(PATH, public_tokenizers.PATTERN), random.Random(1)
     for _ in range(1500):
         text = "".join(rng.choices(SIGNS, k=rng.randrange(25)))
-        assert encoder.encode(text) == library.encode_ordinary(text)
+        assert list(encoder.encode(text)) == library.encode_ordinary(text)
     for text in ["a" * 5000, "ab" * 999, "-=" * 700, "thend" * 800 + " " * 900]:
-        assert encoder.encode(text) == library.encode_ordinary(text)
+        assert list(encoder.encode(text)) == library.encode_ordinary(text)
 
 
 def test_tree_equals_direct_merging():
@@ -43,13 +43,34 @@ def test_round_trip_of_a_table(spark, library):
     texts = ["Hello there", None, "", "x" * 200_000, "é 中\n\n", "Hello there"]
     table = docs(spark, texts, token_ids=F.lit("clash"), text_to_encode=F.lit(1))
     encoded = encode_texts(table, PATH, public_tokenizers.PATTERN)
+    both = encode_texts(table, PATH, public_tokenizers.PATTERN, decoded_col="decoded")
     rows = {r.doc_id: r for r in decode_tokens(encoded, PATH).collect()}
+    assert {r.doc_id: (r.token_ids, r.decoded) for r in both.collect()} == {
+        i: (r.token_ids, r.decoded) for i, r in rows.items()
+    }
     assert len(rows) == len(texts)
     for i, text in enumerate(texts):
         assert rows[i].token_ids == library.encode_ordinary(text or "")
         assert bytes(rows[i].decoded) == (text or "").encode()
 
 
+def test_clashing_names_and_null_ids(spark):
+    table = docs(spark, ["a b"], TOKEN_IDS=F.lit(1), Decoded=F.lit(2), given_value=F.lit(3))
+    both = encode_texts(table, PATH, public_tokenizers.PATTERN, decoded_col="decoded")
+    assert both.columns == [*table.columns[:5], "given_value", "token_ids", "decoded"]
+    assert bytes(both.first().decoded) == b"a b" and both.first().given_value == 3
+    none = table.select(F.lit(None).cast("array<int>").alias("token_ids"))
+    assert decode_tokens(none, PATH).first().decoded is None
+
+
+def test_cache_is_emptied_by_bytes(monkeypatch, library):
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 2000)
+    encoder = Encoder(PATH, public_tokenizers.PATTERN)
+    text = " ".join(f"thing{i} of" for i in range(300))
+    assert list(encoder.encode(text)) == library.encode_ordinary(text)
+    assert len(encoder.cache) < 10
+
+
 def test_empty_table(spark):
     encoded = encode_texts(docs(spark, []), PATH, public_tokenizers.PATTERN)
     assert decode_tokens(encoded, PATH).collect() == []
