@@ -1,4 +1,11 @@
-"""A training corpus from raw documents: each stage works on what the one before it kept."""
+"""A training corpus from raw documents: each stage works on what the one before it kept.
+
+A null text counts as empty and fails the quality rules. Repeated rows are judged alike; the join
+keeps one row of each group of similar documents, that of the least id (and of the least text, if
+rows share an id). An empty table goes through all stages and stays empty. Texts of any length
+are read whole. Extra columns are kept; only the last stage adds columns, which replace others
+of their names. Each stage's output is written once, so a lost executor costs a reread.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +17,7 @@ from pyspark.sql import functions as F
 
 from riverlake.llm import byte_bpe, decontaminate, ngram_join, quality, toxicity
 from riverlake.llm.queries import MULTI_RANKS
-from riverlake.llm.rows import stored, table
+from riverlake.llm.rows import small_batches, spare, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -36,14 +43,22 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their ids, their number, and whether decoding gives the text back."""
-    encoded = byte_bpe.encode_texts(docs, MULTI_RANKS, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode_tokens(encoded, MULTI_RANKS)
+    """All documents with their ids, their number, and whether decoding gives the text back.
+
+    Columns of the input with the name of one of these, in any case of letters, are replaced.
+    """
+    added = {"token_ids", "n_tokens", "round_trip"}
+    kept = [c for c in docs.columns if c.lower() not in added]
+    decoded = spare(docs, "decoded")
+    encoded = byte_bpe.encode_texts(
+        docs, MULTI_RANKS, public_tokenizers.PATTERN, keep=kept, decoded_col=decoded
+    )
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return decoded.select(
-        *encoded.columns,
+    return encoded.select(
+        *[F.col(f"`{c}`") for c in kept],
+        "token_ids",
         F.size("token_ids").cast("long").alias("n_tokens"),
-        (F.col("decoded") == text).alias("round_trip"),
+        (F.col(decoded) == text).alias("round_trip"),
     )
 
 
@@ -60,6 +75,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
