@@ -12,7 +12,8 @@ most bad documents, less ten times the good ones, is taken; without any gain the
 
 Defined results: a null or empty text has no words and fails the base rules. A null stratum is
 a stratum of its own. Strata with too few labels certify nothing and keep what the base rules
-keep. Copies of a text count once in the tests. Of several labels of a document the lowest
+keep. An empty table certifies nothing and gives no rows. A text of any length is counted whole,
+in its own row. Copies of a text count once in the tests. Of several labels of a document the lowest
 holds; labels without an id or a value are passed over. Repeated rows give equal rows. Extra
 columns are not read. Windows of words are compared as 64-bit hashes within a text.
 """
@@ -30,7 +31,6 @@ WINDOW = 3
 MAX_FALSE_REJECTION = 0.05
 ERROR = 0.05
 GOOD_WEIGHT = 10  # bad documents that must go for one good one
-TAIL_TERMS = 2000
 SALTS = 64
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -149,8 +149,12 @@ def _log_gamma(x: Column) -> Column:
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(at most k of n) at rate ``p``: the exact sum. Past ``TAIL_TERMS`` terms, whose ratio
-    falls, a geometric series bounds the rest from above. 1 if k is not under the mean."""
+    """P(at most k of n) at rate ``p``, to the precision of a double. 1 if k is not under the mean.
+
+    Terms are summed from that of k downwards. Under the mean the t-th of them is at most
+    ``exp(-t (t - 1) / (2 k))`` of the first, so after ``10 sqrt(k) + 60`` nothing that a double
+    could hold is left.
+    """
     k, n = k.cast("double"), n.cast("double")
     log_top = (
         _log_gamma(n + 1) - _log_gamma(k + 1) - _log_gamma(n - k + 1)
@@ -158,14 +162,13 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     )
     ratio = lambda t: (k - t) * (1 - p) / ((n - k + t + 1) * p)
     terms = F.aggregate(
-        F.sequence(F.lit(0), F.least(k, F.lit(TAIL_TERMS)).cast("int")),
+        F.sequence(F.lit(0), F.least(k, F.floor(F.sqrt(k) * 10) + 60).cast("int")),
         F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum")),
         lambda s, t: F.struct(
             (s["term"] * ratio(t)).alias("term"), (s["sum"] + s["term"]).alias("sum")
         ),
     )
-    rest = terms["term"] / (1 - ratio(F.lit(0.0)))
-    tail = F.exp(log_top) * (terms["sum"] + rest)
+    tail = F.exp(log_top) * terms["sum"]
     return F.when(n <= 0, 1.0).when(k >= n * p, 1.0).otherwise(F.least(F.lit(1.0), tail))
 
 
