@@ -6,13 +6,16 @@ the second person, capitals, punctuation, and words written to hide letters. Boo
 score them, and an isotonic regression on labelled rows that the trees have not seen turns the
 scores into probabilities.
 
-Only labelled rows outside the held-out fold are used to learn. At most ``TRAIN_ROWS`` of them
-are taken, by a hash of the id; that bounds the work of learning at any size of the input.
+Only labelled rows outside the held-out fold whose document is there are used to learn. At most
+``TRAIN_ROWS`` of each label are taken, by a hash of the id; that bounds the work of learning at
+any size of the input, and weights restore the rates of the labels. The lexicon holds at most
+``LEXICON_SIZE`` entries, those least likely to be there by chance.
 Labels, ids and all other columns than the text are no features.
 
 Defined results: a null text is empty and is scored like any text. Repeated rows give equal
 rows. A row without an id is scored and is not held out. Of several labels of a document the
-highest holds. Without labels the score is 0, and with labels of one value it is their rate.
+highest holds; of rows that share an id the least text is learned from. An empty table gives no
+rows. A text of any length is read whole. Without labels the score is 0, and with labels of one value it is their rate.
 """
 
 from __future__ import annotations
@@ -27,13 +30,14 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from riverlake.llm.rows import over_texts, stored
 
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 12_000  # of each label
+WITHIN_PLATEAU = 0.01  # weight of the trees' own share in a score
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 LEXICON_SIZE = 512
 LEAST_TEXTS = 4  # toxic texts that a lexicon entry must be in
@@ -217,44 +221,57 @@ def with_score(
         labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic"))
         .dropna()
         .groupBy("id")
-        .agg(F.max("toxic").alias("toxic"))
+        .agg(F.when(F.max("toxic") > 0, 1).otherwise(0).alias("toxic"))
         .withColumn("fold", fold_of("id", FOLDS))
         .where(F.col("fold") != HELD_OUT)
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(TRAIN_ROWS)
     )
+    present = stored(marks.join(docs.select(F.col(id_col).cast("long").alias("id")), "id", "left_semi"), "toxicity-marks")
+    # Both labels get the same room, so that rare ones are learned from at any size.
+    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id"))
+    chosen = present.withColumn("rank", rank).where(F.col("rank") <= TRAIN_ROWS).drop("rank")
     texts = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    # The marks sent out are bounded: TRAIN_ROWS rows of three numbers.
-    train = stored(texts.join(F.broadcast(marks), "id").dropDuplicates(["id"]), "toxicity-train")
+    # The marks sent out are bounded: twice TRAIN_ROWS rows of three numbers.
+    picked = texts.join(F.broadcast(chosen), "id").groupBy("id", "toxic", "fold")
+    train = stored(picked.agg(F.min("text").alias("text")), "toxicity-train")
+    known_labels = {row.toxic: row["count"] for row in present.groupBy("toxic").count().collect()}
     seen = {row.toxic: row["count"] for row in train.groupBy("toxic").count().collect()}
     if len(seen) < 2:
         return docs.withColumn(SCORE, F.lit(float(next(iter(seen), 0))))
     lexicon = learn_lexicon(train, seen[1], seen[0])
+    # What the bound left out of a label is made up for by weight.
+    weight = F.when(F.col("toxic") == 1, known_labels[1] / seen[1]).otherwise(known_labels[0] / seen[0])
     known = stored(with_features(train, "text", lexicon).drop("text"), "toxicity-features").select(
-        array_to_vector(FEATURES).alias("vector"), F.col("toxic").cast("double").alias("label"), "fold"
+        array_to_vector(FEATURES).alias("vector"),
+        F.col("toxic").cast("double").alias("label"),
+        weight.alias("weight"),
+        "fold",
     )
     fitting = known.where(F.col("fold") != CALIBRATION)
     checking = known.where(F.col("fold") == CALIBRATION)
     if fitting.select("label").distinct().count() < 2 or checking.isEmpty():
         fitting = checking = known
-    trees = GBTClassifier(
-        featuresCol="vector", labelCol="label", maxIter=12, maxDepth=3, stepSize=0.3, seed=SEED, minInstancesPerNode=8
-    ).fit(fitting)
+    booster = GBTClassifier(
+        featuresCol="vector", labelCol="label", weightCol="weight", maxIter=12, maxDepth=3,
+        stepSize=0.3, seed=SEED, minInstancesPerNode=8,
+    )
+    trees = booster.fit(fitting)
     trees.setPredictionCol("__toxicity_label").setProbabilityCol("__toxicity_shares")
     trees.setRawPredictionCol("__toxicity_margins")
     raw = vector_to_array("__toxicity_shares")[1]
     calibration = IsotonicRegression(
-        featuresCol="__toxicity_raw", labelCol="label", predictionCol=SCORE
-    ).fit(trees.transform(checking).select("label", raw.alias("__toxicity_raw")))
+        featuresCol="__toxicity_raw", labelCol="label", predictionCol=SCORE, weightCol="weight"
+    ).fit(trees.transform(checking).select("label", "weight", raw.alias("__toxicity_raw")))
     trees.setFeaturesCol("__toxicity_vector")
     rows = with_features(docs, text_col, lexicon).withColumn(
         "__toxicity_vector", array_to_vector(FEATURES)
     )
     scored = calibration.transform(trees.transform(rows).withColumn("__toxicity_raw", raw))
-    score = F.least(F.greatest(F.col(SCORE), F.lit(0.0)), F.lit(1.0))
+    # On the plateaus of the calibration the trees' own shares still tell texts apart.
+    nudge = (F.col("__toxicity_raw") - F.col(SCORE)) * WITHIN_PLATEAU
+    score = F.least(F.greatest(F.col(SCORE) + nudge, F.lit(0.0)), F.lit(1.0))
     return scored.select(*[scored[f"`{c}`"] for c in docs.columns], score.alias(SCORE))
 
 
