@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -64,3 +65,11 @@ def test_conversations(spark):
 
 def test_empty_table(spark):
     assert result(spark.createDataFrame([], SCHEMA)) == {}
+
+
+def test_backslash_runs_are_read_in_linear_time():
+    began = time.perf_counter()
+    for text in ("\\" * 500_000, "\\" * 300_000 + END + "\\" * 200_000, ("\\" * 9 + OPEN) * 20_000):
+        turn = render("user", text)
+        assert list(parse(turn * 2)) == [("user", text)] * 2
+    assert time.perf_counter() - began < 10
