@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from riverlake.llm import merkle, phrases, quality, secret_scan, url_filter
 from riverlake.llm.chat_format import END, LEARNED_ROLE, OPEN
 
@@ -138,30 +140,23 @@ def _urls(rules: list[tuple[str, str, str]]) -> str:
     damping = url_filter.DAMPING
 
     def spread(name: str, verdict: str, a: str, b: str) -> str:
-        steps = [
-            f"""
+        """What each round adds to the ranks, for as many rounds as still add what counts."""
+        rounds = round(math.log(1e-30) / math.log(damping))
+        return f"""
 {name}_start as (
   select host, count(*) filter (verdict = '{verdict}')
     / (select count(*) from ruled where verdict = '{verdict}')::double * {1 - damping!r}::double as rank
   from ruled group by 1 having count(*) filter (verdict = '{verdict}') > 0),
 {name}_share as (
   select {a} as a, {b} as b, n / sum(n) over (partition by {a}) as share from links),
-{name}_0 as (select * from {name}_start)"""
-        ]
-        for k in range(1, url_filter.ROUNDS + 1):
-            steps.append(
-                f"""
-{name}_{k} as (
-  select host, sum(rank) as rank from (
-    select s.b as host, r.rank * s.share * {damping!r}::double as rank
-    from {name}_{k - 1} r join {name}_share s on r.host = s.a
-    union all select * from {name}_start) group by 1)"""
-            )
-        return ",".join(steps)
+{name}_rounds as (
+  select host, rank, 0 as n from {name}_start
+  union all select s.b, sum(r.rank * s.share * {damping!r}::double), r.n + 1
+  from {name}_rounds r join {name}_share s on r.host = s.a where r.n < {rounds} group by s.b, r.n),
+{name} as (select host, sum(rank) as rank from {name}_rounds group by 1)"""
 
-    last = url_filter.ROUNDS
     return rf"""
-with rules(verdict, rule_host, rule_path) as (values {rows}),
+with recursive rules(verdict, rule_host, rule_path) as (values {rows}),
 placed as (
   select page_id, html, row_number() over () as row, {host.format("url")} as host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
@@ -185,8 +180,8 @@ links as (
 select page_id, host, path, rule,
   coalesce(verdict, case when coalesce(d.rank, 0) > coalesce(t.rank, 0) * {url_filter.MARGIN!r}::double
     then 'block' else 'allow' end) as verdict
-from placed left join fits using (row) left join trust_{last} t using (host)
-  left join distrust_{last} d using (host)"""
+from placed left join fits using (row) left join trust t using (host)
+  left join distrust d using (host)"""
 
 
 

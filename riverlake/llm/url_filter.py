@@ -10,8 +10,10 @@ Links of pages are counted per pair of hosts before anything else, with partial
 graph has a row per pair and a host with a third of all pages costs no more than another.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no rule; as
-no link leads to it, it is allowed. A null page has no links. Repeated rows give equal rows;
-extra columns are not read. Rules of the same length that fit are taken by name. A user or
+no link leads to it, it is allowed. A null page has no links, and one of any length is searched
+whole, in its row. Repeated rows give equal rows, and their links count each time. A host with as
+much distrust as trust is allowed. An empty table gives no rows. Extra columns are not read,
+whatever their names. Rules of the same length that fit are taken by name. A user or
 port before or after a host is part of it, as in the rules.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from riverlake.llm.rows import stored
 
 DAMPING = 0.85
-ROUNDS = 10
+TOLERANCE = 1e-12  # growth of all ranks together in a round
 STORE_EVERY = 5
 MARGIN = 1.0  # of distrust over trust that blocks a host
 
@@ -71,10 +73,13 @@ def host_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     )
 
 
-def spread(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def spread(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """Personalised PageRank (host, rank) from ``seeds`` (host, seed), along links (a, b, n).
 
     Each round keeps ``1 - DAMPING`` for the seeds and passes the rest on by the links' share.
+    From zero, ranks only grow from round to round, so their sum and the number of hosts with a
+    rank tell what is still to come: rounds go on until no host is newly reached and the sum
+    grows by less than ``TOLERANCE`` a round. Ranks below what a double can hold are zero.
     """
     out = links.groupBy("a").agg(F.sum("n").alias("total"))
     shares = stored(
@@ -82,17 +87,22 @@ def spread(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFram
         "host-shares",
     )
     start = seeds.select("host", (F.col("seed") * (1 - DAMPING)).alias("rank"))
-    ranks = start
     if shares.isEmpty():
         return start
-    for turn in range(1, rounds + 1):
-        passed = ranks.join(shares, ranks["host"] == shares["a"]).select(
-            F.col("b").alias("host"), (F.col("rank") * F.col("share") * DAMPING).alias("rank")
-        )
-        ranks = passed.union(start).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if turn % STORE_EVERY == 0:
-            ranks = stored(ranks, "host-ranks")
-    return ranks
+    start = stored(start, "host-seeds")
+    ranks, before = start, (0, 0.0)
+    while True:
+        for _ in range(STORE_EVERY):
+            passed = ranks.join(shares, ranks["host"] == shares["a"]).select(
+                F.col("b").alias("host"), (F.col("rank") * F.col("share") * DAMPING).alias("rank")
+            )
+            ranks = passed.union(start).groupBy("host").agg(F.sum("rank").alias("rank"))
+        ranks = stored(ranks, "host-ranks")
+        reached = F.count_if(F.col("rank") > 0).alias("hosts")
+        row = ranks.agg(reached, F.coalesce(F.sum("rank"), F.lit(0.0)).alias("sum")).first()
+        if row.hosts == before[0] and row["sum"] - before[1] < TOLERANCE * STORE_EVERY:
+            return ranks
+        before = (row.hosts, row["sum"])
 
 
 def judge_urls(

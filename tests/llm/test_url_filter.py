@@ -65,7 +65,7 @@ def test_spread_equals_plain_iteration(spark):
     start = {k: v * (1 - DAMPING) for k, v in seeds.items()}
     rank = dict(start)
     total = {x: sum(n for a, _, n in links if a == x) for x, _, _ in links}
-    for _ in range(10):
+    for _ in range(300):
         after = dict(start)
         for a, b, n in links:
             after[b] = after.get(b, 0) + rank.get(a, 0) * n / total[a] * DAMPING
@@ -77,6 +77,20 @@ def test_spread_equals_plain_iteration(spark):
     assert {r.host: r["rank"] for r in got.collect()} == pytest.approx(rank)
 
 
+def test_a_long_chain_is_followed_to_its_end(spark):
+    rows = [page(i, f"http://h{i}.net/", f"http://h{i + 1}.net/") for i in range(15)]
+    rows += [page(15, "http://h15.net/", "http://bad.com/"), page(16, "http://bad.com/de/")]
+    rows += [page(17, "http://far.net/", "http://h0.net/", "http://far.net/x")]
+    found = judged(spark.createDataFrame(rows, SCHEMA))
+    assert {v[3] for v in found.values()} == {"block"} and len(found) == 18
+
+
+def test_a_long_page(spark):
+    html = "x " * 200_000 + "<a href='http://bad.com/'>" + " y" * 200_000
+    rows = [(1, "http://farm.net/", html), page(2, "http://bad.com/de/")]
+    assert judged(spark.createDataFrame(rows, SCHEMA))[1][3] == "block"
+
+
 def test_links_of_pages(spark):
     df = spark.createDataFrame([page(1, "http://a.org/", "HTTP://B.org/x", "/y", "http://a.org/z", "#")], SCHEMA)
     assert [tuple(r) for r in host_links(df, "url", "html").collect()] == [("a.org", "b.org", 1.0)]
