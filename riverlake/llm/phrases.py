@@ -43,8 +43,8 @@ SCALE = 1_000_000
 TRIE_PHRASES = 2_000_000
 BITS = 1 << 26
 CHUNK = 4096  # bases that are tried together
-HOLD_BYTES = 8 << 20  # of texts whose words are counted at a time
-HOLD_PHRASES = 1 << 19  # of places whose phrases are listed at a time
+HOLD_BYTES = 2 << 20  # of texts whose words are counted at a time
+HOLD_PHRASES = 1 << 18  # of places whose phrases are listed at a time
 
 _APART = np.zeros(256, bool)
 _APART[[*b" \t.,;:!?\n\x0b\x0c\r"]] = True
