@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from contextlib import suppress
 
@@ -18,6 +17,7 @@ from riverlake.plans.loading import load_landed
 from riverlake.schemas import CONTINUOUS, DAILY, PARTITION_COLUMNS
 from riverlake.session import configure, scratch_dir
 from riverlake.sources import fs, lake, metadata, pages
+from riverlake.sources.stores import list_files
 from riverlake.streaming.ingest import start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -372,12 +372,14 @@ def basins_missing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _document_files(spark: SparkSession, documents: DataFrame) -> str:
     """A folder with a file for each row of ``path, text``."""
     folder = scratch_dir(spark, "document-files")
-    documents.select(F.col("path").alias("doc"), "text").write.partitionBy("doc").text(folder)
+    part = F.pmod(F.xxhash64("path"), F.lit(64))
+    placed = documents.select(part.alias("part"), F.col("path").alias("doc"), "text")
+    placed.write.partitionBy("part", "doc").text(folder)
     return folder
 
 
 def _document(path: Column) -> Column:
-    return F.regexp_extract(path, "^doc=([^/]*)/", 1)
+    return F.regexp_extract(path, "(?:^|/)doc=([^/]*)/", 1)
 
 
 def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -439,7 +441,7 @@ def verify_tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = adapters.documents_left(spark, sf_dir)
     folder = _document_files(spark, left)
     fs.write_text(spark, f"{folder}/.empty", "")
-    found = spark.createDataFrame([(n,) for n in fs.all_files(spark, folder)], "file string")
+    found = list_files(spark, folder).withColumnRenamed("path", "file")
     declared = (
         adapters.table(spark, sf_dir, "documents")
         .select(
@@ -455,12 +457,12 @@ def verify_tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     empty = spark.createDataFrame([(".empty", "", 0)], declared.schema)
     empty = empty.withColumn("sha256", versions.sha256_of(F.lit("")))
+    files = versions.stored_facts(declared.unionByName(empty))
     held = versions.provenance(adapters.daily(spark, sf_dir)).first()
-    manifest = versions.build_manifest(declared.unionByName(empty), held, ReadingFilter(), None)
-    fs.write_text(spark, f"{folder}/{versions.MANIFEST_FILE}", json.dumps(manifest))
-    report = versions.verify_version(spark, folder)
-    return report.select("ok", "content_hash_ok", F.explode("mismatched_files").alias("file")).select(
-        "ok", "content_hash_ok", _document(F.col("file")).alias("path")
+    versions.write_manifest(files, folder, versions.manifest_head(files, held, ReadingFilter(), None))
+    report, mismatched = versions.check_version(spark, folder)
+    return mismatched.join(report, "dir_name").select(
+        "ok", "content_hash_ok", _document(F.col("path")).alias("path")
     )
 
 
@@ -472,8 +474,7 @@ def publish_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = versions.versions(spark, target, "flow")
     names = [r.dir_name for r in history.select("dir_name").collect()]
     first, *rest = [
-        versions.verify_published(spark, target, "flow", d).withColumn("dir_name", F.lit(d))
-        for d in names
+        versions.verify_published(spark, target, "flow", d) for d in names
     ]
     for report in rest:
         first = first.unionByName(report)

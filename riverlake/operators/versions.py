@@ -6,15 +6,15 @@ import datetime as dt
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+import time
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 from itertools import groupby
 from operator import and_
-from urllib.parse import quote
 
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs as arrow_fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,16 +25,16 @@ from riverlake.operators.readings import ReadingFilter
 from riverlake.schemas import MANIFEST, STRICT_JSON
 from riverlake.session import scratch_dir
 from riverlake.sources import fs, lake
+from riverlake.sources.stores import Store, list_files, open_by_address, row_count
 
 GENERATOR = "riverlake/0.1.0"
 MANIFEST_FILE = "manifest.json"
 # Fixed value: how much of a hash names a version folder.
 HASH_PREFIX = 8
 
-Store = Callable[[str], tuple[arrow_fs.FileSystem, str]]
-
 _STREAM_BYTES = 8 * 1024 * 1024
 ROWS_PER_FILE = 5_000_000
+CLAIM_WAIT = 600.0  # seconds to wait for another publisher to give its version a name
 # How many consecutive version numbers one task compares.
 BLOCK_VERSIONS = 4096
 
@@ -50,26 +50,7 @@ def sha256_of(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
-def _arrow_address(path: str) -> str:
-    """A Hadoop path as the address by which Arrow knows the same file."""
-    path = re.sub(r"^file:/+", "file:///", path)
-    return quote(re.sub(r"^s3[an]://", "s3://", path), safe=":/@")
-
-
-def _open_by_address(path: str) -> tuple[arrow_fs.FileSystem, str]:
-    return arrow_fs.FileSystem.from_uri(_arrow_address(path))
-
-
-def _row_count(store: arrow_fs.FileSystem, name: str) -> int | None:
-    """The row count in a Parquet file's footer; null for any other file."""
-    try:
-        with store.open_input_file(name) as file:
-            return pq.read_metadata(file).num_rows
-    except (OSError, pa.ArrowInvalid):
-        return None
-
-
-def file_facts(paths: DataFrame, folder: str, open_store: Store = _open_by_address) -> DataFrame:
+def file_facts(paths: DataFrame, folder: str, open_store: Store = open_by_address) -> DataFrame:
     """``paths`` with ``sha256`` and ``row_count`` of each ``path`` below a folder.
 
     Files of any size are read as a stream, a few megabytes at a time, wherever a task is;
@@ -94,7 +75,7 @@ def file_facts(paths: DataFrame, folder: str, open_store: Store = _open_by_addre
                     counts.append(None)
                     continue
                 hashes.append(digest.hexdigest())
-                counts.append(_row_count(store, name))
+                counts.append(row_count(store, name))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("path"), pa.array(hashes, pa.string()), pa.array(counts, pa.int64())],
                 ["path", "sha256", "row_count"],
@@ -108,9 +89,12 @@ def _paths(spark: SparkSession, names: list[str]) -> DataFrame:
     return spark.createDataFrame([(name,) for name in names], "path string")
 
 
-def file_hashes(spark: SparkSession, folder: str, open_store: Store = _open_by_address) -> DataFrame:
-    """``path, sha256`` of every file below a folder, with paths relative to it."""
-    listed = _paths(spark, fs.all_files(spark, folder))
+def file_hashes(spark: SparkSession, folder: str, open_store: Store = open_by_address) -> DataFrame:
+    """``path, sha256`` of every file below a folder, with paths relative to it.
+
+    Files are listed and read by tasks; only the first level's names pass through the driver.
+    """
+    listed = list_files(spark, folder, open_store)
     return file_facts(listed, folder, open_store).select("path", "sha256")
 
 
@@ -325,7 +309,7 @@ def _write_files(readings: DataFrame, folder: str, rows: int, rows_per_file: int
             fs.delete(spark, f"{folder}/{name}")
 
 
-def build_manifest(
+def manifest_head(
     files: DataFrame,
     held: Row,
     wanted: ReadingFilter,
@@ -333,16 +317,14 @@ def build_manifest(
     generator: str = GENERATOR,
     created_at: str | None = None,
 ) -> dict:
-    """The manifest of a version: a document that lists all its files and sites.
+    """The manifest of a version without its list of files.
 
-    ``files`` has ``path, sha256, row_count``, and ``held`` is a row of ``provenance``. The
-    lists are part of the document, and nothing else meets in the driver.
+    ``files`` has ``path, sha256, row_count``, and ``held`` is a row of ``provenance``.
     """
-    listed = sorted((f.asDict() for f in files.collect()), key=lambda f: f["path"])
-    content_hash = manifest_totals(files.withColumn("n", F.lit(1)), "n").first()
+    totals = manifest_totals(files.withColumn("n", F.lit(1)), "n").first()
     now = dt.datetime.now(dt.timezone.utc).isoformat().replace("+00:00", "Z")
     return {
-        "content_hash": content_hash.content_hash,
+        "content_hash": totals.content_hash if totals else hashlib.sha256().hexdigest(),
         "parent_hash": parent_hash,
         "created_at": created_at or now,
         "generator": generator,
@@ -357,11 +339,67 @@ def build_manifest(
             "max_last_modified": held.max_last_modified,
             "approval_status_counts": held.approval_status_counts,
         },
-        "row_count": content_hash.row_count,
-        "files": listed,
+        "row_count": totals.row_count if totals else 0,
     }
 
 
+def write_manifest(
+    files: DataFrame, folder: str, head: dict, open_store: Store = open_by_address
+) -> None:
+    """Write a manifest: ``head`` and, in order of paths, all ``files``, one to a line.
+
+    The sorted rows are streamed into the store by a task, so their number has no bound. A
+    task writes under a name of its own, and the one that succeeded gives the manifest.
+    """
+    spark = files.sparkSession
+    base, opening = fs.qualified(spark, folder), json.dumps(head, indent=2)[: -len("\n}")]
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = f"{MANIFEST_FILE}.{TaskContext.get().taskAttemptId()}"
+        store, path = open_store(f"{base}/{name}")
+        with store.open_output_stream(path) as out:
+            out.write((opening + ',\n  "files": [').encode("utf-8"))
+            between = "\n    "
+            for batch in batches:
+                for row in batch.to_pylist():
+                    out.write((between + json.dumps(row)).encode("utf-8"))
+                    between = ",\n    "
+            out.write(b"\n  ]\n}\n")
+        yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    ordered = files.select("path", "sha256", "row_count").repartition(1).sortWithinPartitions("path")
+    written = ordered.mapInArrow(step, "name string").first()
+    if written is None:  # no files at all, so no task
+        fs.write_text(spark, f"{folder}/{MANIFEST_FILE}", json.dumps({**head, "files": []}, indent=2))
+        return
+    fs.rename(spark, f"{folder}/{written.name}", f"{folder}/{MANIFEST_FILE}")
+    for name in fs.file_names(spark, folder):
+        if name.startswith(f"{MANIFEST_FILE}."):  # of a task that was lost
+            fs.delete(spark, f"{folder}/{name}")
+
+
+def _claimed(spark: SparkSession, dataset: str, wait: float) -> tuple[int, str, str | None]:
+    """The next version number, the file that claims it, and the newest version's hash.
+
+    The claim is a file that only one publisher can create. Others wait until that version
+    has its name and take the next number, so numbers and parents follow each other.
+    """
+    until = time.monotonic() + wait
+    while True:
+        known = _version_names(spark, dataset)
+        n = known[-1][0] + 1 if known else 1
+        claim = f"{dataset}/.v{n}.claim"
+        if fs.create_new(spark, claim):
+            if _version_names(spark, dataset) == known:
+                parent = read_manifests(spark, [f"{dataset}/{known[-1][1]}"]).first() if known else None
+                return n, claim, parent.content_hash if parent else None
+            fs.delete(spark, claim)  # finished by another between the look and the claim
+        elif time.monotonic() > until:
+            raise TimeoutError(f"another publisher holds {claim}; delete it if there is none")
+        else:
+            time.sleep(0.2)
+
+
 def publish(
     spark: SparkSession,
     lake_root: str,
@@ -370,24 +408,21 @@ def publish(
     name: str,
     generator: str = GENERATOR,
     rows_per_file: int = ROWS_PER_FILE,
+    claim_wait: float = CLAIM_WAIT,
 ) -> DataFrame:
     """Publish what a filter selects as the next version of a dataset; returns its summary.
 
-    The version is built in a folder marked as pending, which readers skip, and gets its
-    name only when data and manifest are complete. The same readings give the same hash.
+    The version is built in a folder that readers skip, and gets its number and name only when
+    the data is complete. Publishers at the same time get numbers one after the other. The
+    same readings give the same hash.
     """
     name = name.strip()
     if not name:
         raise ValueError("a dataset needs a name")
     dataset = f"{publish_root.rstrip('/')}/{name}"
-    known = _version_names(spark, dataset)
-    n = known[-1][0] + 1 if known else 1
-    parents = read_manifests(spark, [f"{dataset}/{known[-1][1]}"]) if known else None
-    parent_hash = parents.first().content_hash if parents is not None else None
-
     # Keeping the latest copies is the costly step: do it once, and go on from the result.
     staged_at = scratch_dir(spark, "publish")
-    pending = f"{dataset}/v{n}-{_PENDING}"
+    pending, claim = f"{dataset}/{_PENDING}-{uuid.uuid4().hex}", None
     try:
         selected = queries.filtered_readings(spark, lake_root, wanted)
         exported = queries.as_exported(selected, wanted.service)
@@ -397,13 +432,16 @@ def publish(
         if not held.row_count:
             raise ValueError("no reading passes the filter, so there is no version to publish")
         _write_files(staged, pending, held.row_count, rows_per_file)
+        facts = stored_facts(file_facts(list_files(spark, pending), pending))
+        n, claim, parent_hash = _claimed(spark, dataset, claim_wait)
+        head = manifest_head(facts, held, wanted, parent_hash, generator)
+        write_manifest(facts, pending, head)
+        fs.rename(spark, pending, f"{dataset}/v{n}-{head['content_hash'][:HASH_PREFIX]}")
     finally:
         fs.delete(spark, staged_at)
-    listed = _paths(spark, fs.file_names(spark, pending))
-    facts = stored_facts(file_facts(listed, pending))
-    manifest = build_manifest(facts, held, wanted, parent_hash, generator)
-    fs.write_text(spark, f"{pending}/{MANIFEST_FILE}", json.dumps(manifest, indent=2))
-    fs.rename(spark, pending, f"{dataset}/v{n}-{manifest['content_hash'][:HASH_PREFIX]}")
+        fs.delete(spark, pending)  # gone already if all went well
+        if claim:
+            fs.delete(spark, claim)
     return versions(spark, publish_root, name).filter(F.col("n") == n)
 
 
@@ -443,24 +481,22 @@ def verify_totals(compared: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def verify_version(
-    spark: SparkSession, folder: str, open_store: Store = _open_by_address
-) -> DataFrame:
-    """Rehash a version's declared files and compare with its manifest, in one row.
+def check_version(
+    spark: SparkSession, folder: str, open_store: Store = open_by_address
+) -> tuple[DataFrame, DataFrame]:
+    """Rehash a version's declared files and compare with its manifest, in two tables.
 
-    ``ok`` looks at the files alone, a missing one counting as changed. Beside it stand
-    whether the content hash that the manifest states agrees with it, and whether the files'
-    footers hold as many rows as it states for each file and in all. Files that it does not
-    declare are not read.
+    The first has one row. Its ``ok`` looks at the files alone, a missing one counting as
+    changed, and ``n_mismatched`` counts those. Beside it stand whether the content hash that the
+    manifest states agrees with it, and whether the files' footers hold as many rows as it
+    states for each file and in all. The second has a row for each mismatched file: ``dir_name,
+    path, sha256, actual_sha256``. Files that the manifest does not declare are not read.
     """
     manifest = read_manifests(spark, [folder])
     declared = manifest.select("dir_name", F.inline("files"))
     actual = file_facts(declared, folder, open_store).withColumnRenamed("row_count", "n_rows")
     actual = stored_facts(actual).withColumn("dir_name", F.lit(folder.rsplit("/", 1)[-1]))
     compared = compare_files(declared, actual, "dir_name")
-    changed = compared.groupBy("dir_name").agg(
-        F.array_sort(F.collect_list(F.when(~F.col("same"), F.col("path")))).alias("mismatched")
-    )
     counted = (
         declared.join(actual.select("path", "n_rows"), "path", "left")
         .groupBy("dir_name")
@@ -481,23 +517,34 @@ def verify_version(
         )
     )
     no_files = sha256_of(F.lit(""))
-    return (
-        stated.join(verify_totals(compared, "dir_name"), "dir_name", "left")
-        .join(changed, "dir_name", "left")
-        .select(
-            F.coalesce("ok", F.lit(True)).alias("ok"),
-            "expected_hash",
-            F.coalesce("actual_hash", no_files).alias("actual_hash"),
-            F.coalesce("mismatched", F.array().cast("array<string>")).alias("mismatched_files"),
-            (F.col("expected_hash") == F.coalesce("actual_hash", no_files)).alias(
-                "content_hash_ok"
-            ),
-            "row_count_ok",
-        )
+    summary = stated.join(verify_totals(compared, "dir_name"), "dir_name", "left").select(
+        "dir_name",
+        F.coalesce("ok", F.lit(True)).alias("ok"),
+        "expected_hash",
+        F.coalesce("actual_hash", no_files).alias("actual_hash"),
+        F.coalesce("n_mismatched", F.lit(0)).alias("n_mismatched"),
+        (F.col("expected_hash") == F.coalesce("actual_hash", no_files)).alias("content_hash_ok"),
+        "row_count_ok",
     )
+    changed = compared.where(~F.col("same")).select("dir_name", "path", "sha256", "actual_sha256")
+    return summary, changed
+
+
+def verify_version(
+    spark: SparkSession, folder: str, open_store: Store = open_by_address
+) -> DataFrame:
+    """The summary of ``check_version``, in one row."""
+    return check_version(spark, folder, open_store)[0]
+
+
+def mismatched_files(
+    spark: SparkSession, folder: str, open_store: Store = open_by_address
+) -> DataFrame:
+    """The files of a version that are missing or not as its manifest says, a row for each."""
+    return check_version(spark, folder, open_store)[1]
 
 
 def verify_published(
-    spark: SparkSession, publish_root: str, name: str, dir_name: str, open_store: Store = _open_by_address
+    spark: SparkSession, publish_root: str, name: str, dir_name: str, open_store: Store = open_by_address
 ) -> DataFrame:
     return verify_version(spark, f"{publish_root.rstrip('/')}/{name.strip()}/{dir_name}", open_store)

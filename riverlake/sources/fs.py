@@ -5,6 +5,7 @@ Only names and manifests pass through here, never data.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -32,16 +33,6 @@ def file_names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(target) if s.isFile()]
 
 
-def all_files(spark: SparkSession, path: str) -> list[str]:
-    """Every file below ``path``, relative to it: also empty ones and those of hidden names."""
-    fs, target = _resolve(spark, path)
-    base = len(fs.makeQualified(target).toString()) + 1
-    found, listed = [], fs.listFiles(target, True)
-    while listed.hasNext():
-        found.append(listed.next().getPath().toString()[base:])
-    return sorted(found)
-
-
 def qualified(spark: SparkSession, path: str) -> str:
     """The full address of ``path``, as file listings spell it."""
     fs, target = _resolve(spark, path)
@@ -67,3 +58,15 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.write(bytearray(text.encode("utf-8")))
     finally:
         stream.close()
+
+
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Create an empty file, unless there is one; tells whether this call created it."""
+    fs, target = _resolve(spark, path)
+    try:
+        fs.create(target, False).close()
+    except Py4JJavaError as error:
+        if fs.exists(target):
+            return False
+        raise error
+    return True

@@ -2,6 +2,7 @@ import hashlib
 import json
 import os
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
@@ -9,6 +10,7 @@ from riverlake.operators import versions as v
 from riverlake.operators.readings import ReadingFilter
 from riverlake.session import scratch_dir
 from riverlake.sources import fs, lake
+from riverlake.sources.stores import list_files
 from tests.helpers import readings
 
 ROWS = [
@@ -206,6 +208,52 @@ def test_unfinished_version_is_replaced(spark, root):
     assert (row.n, row.row_count) == (1, 72)
 
 
+def test_publishers_at_the_same_time_take_turns(spark, root):
+    target = scratch_dir(spark, "test-published")
+    with ThreadPoolExecutor(2) as pool:
+        jobs = [pool.submit(v.publish, spark, root, target, ReadingFilter(end=e), "d") for e in (None, "2023-06-01")]
+        assert sorted(job.result().first().n for job in jobs) == [1, 2]
+    history = v.versions(spark, target, "d").collect()
+    assert [r.chain_ok for r in history] == [True, True]
+    assert [r.dir_name for r in history] == sorted(fs.subfolders(spark, f"{target}/d"))
+    assert fs.file_names(spark, f"{target}/d") == []
+
+
+def test_a_claim_that_stays_is_reported(spark, root):
+    target = scratch_dir(spark, "test-published")
+    assert fs.create_new(spark, f"{target}/d/.v1.claim") and not fs.create_new(spark, f"{target}/d/.v1.claim")
+    with pytest.raises(TimeoutError, match="v1.claim"):
+        v.publish(spark, root, target, ReadingFilter(), "d", claim_wait=0.5)
+    assert v.versions(spark, target, "d").collect() == [] and fs.subfolders(spark, f"{target}/d") == []
+
+
+def test_manifest_is_streamed_from_rows(spark):
+    folder = scratch_dir(spark, "test-manifest")
+    os.makedirs(folder, exist_ok=True)
+    rows = [(1, f"é\"{i:05d}", f"h{i}", i) for i in range(3000)]
+    held = spark.createDataFrame([(3, ["A"], {"x": 3}, "m")], "row_count long, sites array<string>, approval_status_counts map<string,long>, max_last_modified string").first()
+    for some in (rows, []):
+        table = files(spark, *some) if some else files(spark, rows[0]).limit(0)
+        head = v.manifest_head(table, held, ReadingFilter(), None, created_at="now")
+        v.write_manifest(table, folder, head)
+        with open(f"{folder}/manifest.json", encoding="utf-8") as file:
+            written = json.load(file)
+        assert [(f["path"], f["sha256"], f["row_count"]) for f in written["files"]] == [r[1:] for r in some]
+        assert written["content_hash"] == plain_hash([r[1:3] for r in some])
+        assert v.read_manifests(spark, [folder]).first().row_count == sum(r[3] for r in some)
+        os.remove(f"{folder}/manifest.json")
+
+
+def test_files_of_all_levels_are_listed_by_tasks(spark, tmp_path):
+    names = {"a", ".hidden", "x=1/b c", "x=1/y/é", "x=1/y/.z/empty", "_tmp/d"}
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"")
+    (tmp_path / "x=1" / ".b c.crc").write_bytes(b"")
+    listed = list_files(spark, str(tmp_path)).collect()
+    assert {r.path for r in listed} == names and len(listed) == len(names)
+
+
 def write_version(folder, content, **changes):
     os.makedirs(folder)
     with open(f"{folder}/data.bin", "wb") as file:
@@ -232,10 +280,13 @@ def test_verify_finds_changed_and_missing_files(spark, tmp_path):
     with open(f"{folder}/data.bin", "wb") as file:
         file.write(b"corrupted!!")
     report = v.verify_version(spark, folder).first()
-    assert (report.ok, report.mismatched_files) == (False, ["data.bin"])
+    assert (report.ok, report.n_mismatched) == (False, 1)
+    (file,) = v.mismatched_files(spark, folder).collect()
+    assert (file.path, file.actual_sha256) == ("data.bin", hashlib.sha256(b"corrupted!!").hexdigest())
     os.remove(f"{folder}/data.bin")
     report = v.verify_version(spark, folder).first()
-    assert (report.ok, report.mismatched_files) == (False, ["data.bin"])
+    assert (report.ok, report.n_mismatched) == (False, 1)
+    assert [r.actual_sha256 for r in v.mismatched_files(spark, folder).collect()] == [""]
     assert report.actual_hash == plain_hash([("data.bin", "")])
 
 
@@ -260,7 +311,6 @@ def test_wrong_row_counts_are_found_in_the_footers(spark, root):
         manifest = json.load(file)
     manifest["files"][0]["row_count"] += 1
     manifest["row_count"] += 1
-    os.remove(f"{target}/d/{row.dir_name}/.manifest.json.crc")
     with open(path, "w") as file:
         json.dump(manifest, file)
     report = v.verify_published(spark, target, "d", row.dir_name).first()
