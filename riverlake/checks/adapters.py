@@ -153,6 +153,22 @@ def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def looping_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``linked_pages`` and some more that link around in circles; others lead into a few of those."""
+    pages = table(spark, sf_dir, "pages").filter(F.col("page_id") % 40 < 6)
+
+    def page(mark: str, following: str) -> Column:
+        named = lambda rel, m: F.struct(
+            F.lit(rel).alias("rel"), F.concat("url", F.lit(m)).alias("href")
+        )
+        return F.array(named("self", mark), named("next", following))
+
+    circle = F.array(page("#1", "#2"), page("#2", "#3"), page("#3", "#1"))
+    lead = F.array(page("#0", "#2"), page("#00", "#0"))
+    both = F.when(F.col("page_id") % 40 < 3, circle).otherwise(F.concat(circle, lead))
+    return linked_pages(spark, sf_dir).unionByName(pages.select(F.explode(both).alias("links")))
+
+
 def metadata_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers and their series as JSON pages of site metadata, one series to a page."""
     series = (

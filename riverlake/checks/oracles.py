@@ -253,6 +253,10 @@ from sites""",
     + f"""
 select site_no, param_cd, {_DAY} as datetime, value, approval_status
 from latest order by site_no, latest.datetime limit 100 offset 300""",
+    "readings_deep_page": _DAILY_60
+    + f"""
+select site_no, param_cd, {_DAY} as datetime, value, approval_status
+from latest order by site_no, latest.datetime limit 100 offset 15000""",
     "readings_page_after": _DAILY_60
     + f"""
 select site_no, param_cd, {_DAY} as datetime, value, approval_status
@@ -292,6 +296,27 @@ with landed as (
   where not contains(p.url, '#'))
 select url, next_url as missing_url from landed
 where next_url is not null and next_url not in (select url from landed)""",
+    "page_chains": """
+with recursive landed as (
+  select p.url, f.url as next_url
+  from pages p left join pages f on f.page_id = p.page_id + 1
+  where not contains(p.url, '#')
+  union all select url || a, url || b
+  from pages, (values ('#1', '#2'), ('#2', '#3'), ('#3', '#1')) as t(a, b) where page_id % 40 < 6
+  union all select url || a, url || b
+  from pages, (values ('#0', '#2'), ('#00', '#0')) as t(a, b) where page_id % 40 between 3 and 5),
+linked as (select url, min(next_url) as next_url from landed group by 1),
+walked as (
+  select url, url as last_url, cast(0 as bigint) as steps, next_url as missing_url from linked
+  where next_url is null or next_url not in (select url from linked)
+  union all select l.url, w.last_url, w.steps + 1, w.missing_url
+  from walked w join linked l on l.next_url = w.url),
+reached as (
+  select url from linked where url not in (select next_url from linked where next_url is not null)
+  union select l.next_url from reached r join linked l using (url) where l.next_url is not null)
+select url, last_url, steps, missing_url, last_url is null as loops,
+  url not in (select url from reached) as unreached
+from linked left join walked using (url)""",
     "request_windows": "with"
     + _DAILY
     + f""",

@@ -127,6 +127,10 @@ def readings_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings.page(_shown(spark, sf_dir), 3)
 
 
+def readings_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readings.page(_shown(spark, sf_dir), 150)
+
+
 def readings_page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings.page_after(_shown(spark, sf_dir), "USGS-00000007", "1998-06-15", "00060")
 
@@ -177,6 +181,13 @@ def missing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.missing_pages(adapters.linked_pages(spark, sf_dir))
 
 
+def page_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each landed page leads, and which pages no first page leads to."""
+    landed = adapters.looping_pages(spark, sf_dir)
+    unreached = pages.unreached_pages(landed).withColumn("unreached", F.lit(True))
+    return pages.walk_chains(landed).join(unreached, "url", "left").fillna(False, ["unreached"])
+
+
 def _landing(spark: SparkSession, sf_dir: str) -> str:
     landing = scratch_dir(spark, "landing")
     adapters.landed_pages(spark, sf_dir).select("text").write.text(landing)
@@ -510,6 +521,7 @@ _QUERIES: list[Query] = [
     distinct_sites,
     sites_geojson,
     readings_page,
+    readings_deep_page,
     readings_page_after,
     page_count,
     chart_series,
@@ -517,6 +529,7 @@ _QUERIES: list[Query] = [
     kind_mismatch,
     normalize_sites,
     missing_pages,
+    page_chains,
     landed_load,
     stream_ingest,
     request_windows,

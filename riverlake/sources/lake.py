@@ -6,13 +6,16 @@ are separate tables because their ``datetime`` columns differ in type.
 
 from __future__ import annotations
 
+import datetime as dt
 import re
+from collections.abc import Iterator
 from urllib.parse import unquote
 
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from riverlake.functions.parsing import unescaped
 from riverlake.schemas import (
     PARTITION_COLUMNS,
     SERVICES,
@@ -21,6 +24,7 @@ from riverlake.schemas import (
     reading_schema,
 )
 from riverlake.sources import fs
+from riverlake.sources.stores import Store, latest_day, open_by_address, walk
 
 _PARTITION_FOLDER = re.compile(r"site_no=(.*)")
 
@@ -105,20 +109,40 @@ def register_lake(spark: SparkSession, root: str) -> None:
         read_service(spark, root, service).createOrReplaceTempView(service)
 
 
-def stored_partitions(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """Distinct ``site_no, param_cd, year`` from file names alone; opens no file."""
+def _newest(
+    store: FileSystem, folder: str, param_cd: str | None
+) -> Iterator[tuple[str, dt.date]]:
+    """Parameter and latest date of each series below a site's folder, from footers alone.
 
-    def from_path(name: str) -> Column:
-        return unescaped(F.regexp_extract("path", rf"/{name}=([^/]*)/", 1)).alias(name)
-
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.parquet")
-        .option("recursiveFileLookup", "true")
-        .load(folders)
-        .select(*map(from_path, PARTITION_COLUMNS))
-        .distinct()
-    )
+    Per parameter the newest year's files are opened, or those of the year before if they
+    hold no rows, and so on.
+    """
+    for param, param_folder in _partition_folders(store, folder, "param_cd"):
+        if param_cd is not None and param != param_cd:
+            continue
+        years = [(int(year), path) for year, path in _partition_folders(store, param_folder, "year")]
+        for _, path in sorted(years, reverse=True):
+            # As Spark's own listing does, leave out what is hidden or not yet committed.
+            files = [
+                name
+                for name in walk(store, path)
+                if name.endswith(".parquet") and not re.search(r"/[_.]", name[len(path) :])
+            ]
+            days = (latest_day(store, name, "datetime") for name in files)
+            latest = max((day for day in days if day is not None), default=None)
+            if latest is not None:
+                yield param, latest
+                break
+
+
+def _partition_folders(store: FileSystem, folder: str, column: str) -> list[tuple[str, str]]:
+    """Values and paths of the partition folders of a column directly below a folder."""
+    prefix = f"{column}="
+    return [
+        (unquote(info.base_name.removeprefix(prefix)), info.path)
+        for info in store.get_file_info(FileSelector(folder))
+        if info.type == FileType.Directory and info.base_name.startswith(prefix)
+    ]
 
 
 def latest_dates(
@@ -127,35 +151,40 @@ def latest_dates(
     service: str,
     param_cd: str | None = None,
     sites: list[str] | None = None,
+    open_store: Store = open_by_address,
 ) -> DataFrame:
     """Date of the latest reading of each series: ``site_no, param_cd, max_date``.
 
-    The latest reading lies in a series' latest year, and the years are known from folder
-    names. Only folders of years that are the latest of some series are opened, of them only
-    ``datetime``, and only rows of a series' own latest year are aggregated. The years that
-    meet in the driver are bounded by the calendar.
+    The driver lists the sites' folders. A task takes some of them, lists the parameters and
+    years below, and reads the footers of the files of each series' newest year: no other
+    year's folder is listed, no data page is read, and nothing is shuffled but names of sites.
+    A file without statistics of ``datetime`` is an error.
     """
-    folders = _site_folders(spark, root, service, sites)
-    if not folders:
-        return spark.createDataFrame([], "site_no string, param_cd string, max_date date")
-
-    def wanted(table: DataFrame) -> DataFrame:
-        if param_cd is not None:
-            table = table.filter(F.col("param_cd") == param_cd)
-        return table.filter(F.col("site_no").isin(list(sites))) if sites else table
-
-    newest = (
-        wanted(stored_partitions(spark, folders))
-        .groupBy("site_no", "param_cd")
-        .agg(F.max(F.col("year").cast("int")).cast("string").alias("year"))
-    )
-    years = [row.year for row in newest.select("year").distinct().collect()]
-    table = wanted(_read(spark, root, service, folders)).filter(F.col("year").isin(years))
-    return (
-        table.join(newest, PARTITION_COLUMNS, "left_semi")
-        .groupBy("site_no", "param_cd")
-        .agg(F.max(F.to_date("datetime")).alias("max_date"))
-    )
+    schema = "site_no string, param_cd string, max_date date"
+    base = service_root(root, service)
+    if not fs.exists(spark, base):
+        return spark.createDataFrame([], schema)
+    wanted = None if not sites else set(sites)
+    named = ((name, _PARTITION_FOLDER.fullmatch(name)) for name in fs.subfolders(spark, base))
+    folders = [(unquote(m[1]), name) for name, m in named if m]
+    folders = [pair for pair in folders if wanted is None or pair[0] in wanted]
+    address = fs.qualified(spark, base)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, place = open_store(address)
+        for batch in batches:
+            rows = [
+                (site, param, day)
+                for site, folder in zip(*[c.to_pylist() for c in batch.columns])
+                for param, day in _newest(store, f"{place}/{folder}", param_cd)
+            ]
+            if rows:
+                arrays = [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays(arrays, ["site_no", "param_cd", "max_date"])
+
+    kinds = [pa.string(), pa.string(), pa.date32()]
+    listed = spark.createDataFrame(folders, "site_no string, folder string")
+    return listed.repartition("folder").mapInArrow(step, schema)
 
 
 def write_export(readings: DataFrame, path: str, service: str) -> int:

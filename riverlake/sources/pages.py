@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverlake.schemas import METADATA_PAGE, READING_PAGE, STRICT_JSON
+from riverlake.session import scratch_dir
 
 
 def in_name_order(path: Column) -> Column:
@@ -78,3 +79,100 @@ def missing_pages(pages: DataFrame, url: Column | None = None) -> DataFrame:
     return known.filter("missing_url is not null").join(
         landed, F.col("missing_url") == F.col("landed_url"), "left_anti"
     )
+
+
+def walk_chains(pages: DataFrame, url: Column | None = None) -> DataFrame:
+    """Where following ``next`` from each landed page leads, for all pages at once.
+
+    ``url, last_url, steps, missing_url, loops``: the last landed page that is reached, after how
+    many steps, and the page that it links to but that has not landed. A page whose chain runs
+    into a loop has no last page, and ``loops`` tells so.
+
+    Every page points ahead, and in each round a page takes over the pointer of the page that
+    it points to, which doubles the distance. Pages that have found their end leave the rounds, so
+    the number of rounds is the logarithm of the longest chain. Distances have no gaps: a round
+    that ends no page shows that those left are on their way around loops. An address that
+    landed more than once counts once, with the least of its links.
+    """
+    own = url if url is not None else link(F.col("links"), "self")
+    linked = pages.select(own.alias("url"), link(F.col("links"), "next").alias("next_url"))
+    known = linked.where("url is not null").groupBy("url").agg(F.min("next_url").alias("next_url"))
+    known = _kept(known, "pages")
+    landed = known.select(F.col("url").alias("next_url"), F.lit(True).alias("has_landed"))
+    pointed = known.join(landed, "next_url", "left")
+    goes_on = F.col("has_landed").isNotNull()
+    ended = _kept(
+        pointed.where(~goes_on).select(
+            "url", F.col("url").alias("last_url"), F.lit(0).cast("long").alias("steps"),
+            F.col("next_url").alias("missing_url"),
+        ),
+        "chain-ends",
+    )
+    waiting = _kept(
+        pointed.where(goes_on).select("url", F.col("next_url").alias("at"), F.lit(1).cast("long").alias("steps")),
+        "chain-pointers",
+    )
+    left, found, fresh = waiting.count(), ended, ended
+    while left:
+        ends = found.select(
+            F.col("url").alias("at"), "last_url", F.col("steps").alias("more"), "missing_url"
+        )
+        fresh = _kept(
+            waiting.join(ends, "at").select(
+                "url", "last_url", (F.col("steps") + F.col("more")).alias("steps"), "missing_url"
+            ),
+            "chain-ends",
+        )
+        ahead = waiting.select(F.col("url").alias("at"), F.col("at").alias("further"), F.col("steps").alias("more"))
+        waiting = _kept(
+            waiting.join(fresh, "url", "left_anti").join(ahead, "at").select(
+                "url", F.col("further").alias("at"), (F.col("steps") + F.col("more")).alias("steps")
+            ),
+            "chain-pointers",
+        )
+        before, left = left, waiting.count()
+        if left == before:
+            break
+        found = found.unionByName(fresh)
+    around = waiting.select(
+        "url", F.lit(None).cast("string").alias("last_url"), F.lit(None).cast("long").alias("steps"),
+        F.lit(None).cast("string").alias("missing_url"), F.lit(True).alias("loops"),
+    )
+    return found.withColumn("loops", F.lit(False)).unionByName(around)
+
+
+def unreached_pages(pages: DataFrame, url: Column | None = None) -> DataFrame:
+    """``url`` of pages that no chain reaches from a first page, one that nothing links to.
+
+    They are the pages of loops that no other page leads into. A loop is known by the least
+    address on it.
+    """
+    own = url if url is not None else link(F.col("links"), "self")
+    linked = pages.select(own.alias("url"), link(F.col("links"), "next").alias("next_url"))
+    known = linked.where("url is not null").groupBy("url").agg(F.min("next_url").alias("next_url"))
+    looping = walk_chains(pages, url).where("loops").select("url")
+    inside = _kept(known.join(looping, "url"), "loop-pages")
+    # The least address within 2^k steps ahead; around a loop all pages come to the same one.
+    state = _kept(inside.select("url", F.col("next_url").alias("at"), F.col("url").alias("least")), "loops")
+    reach, size = 1, state.count()
+    while reach < size:
+        ahead = state.select(F.col("url").alias("at"), F.col("at").alias("further"), F.col("least").alias("other"))
+        state = _kept(
+            state.join(ahead, "at").select(
+                "url", F.col("further").alias("at"), F.least("least", "other").alias("least")
+            ),
+            "loops",
+        )
+        reach *= 2
+    # As many steps ahead every page is on its loop, and each page of a loop is where some page gets.
+    around = state.select(F.col("at").alias("url")).distinct()
+    loop_of = state.join(state.select(F.col("url").alias("at"), F.col("least").alias("loop")), "at")
+    entered = loop_of.join(around, "url", "left_anti").select("loop").distinct()
+    return loop_of.join(around, "url", "left_semi").join(entered, "loop", "left_anti").select("url")
+
+
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """Written once to the scratch folder, so that a round does not repeat those before it."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

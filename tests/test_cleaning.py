@@ -8,7 +8,7 @@ from riverlake.functions import parsing
 from riverlake.functions.guards import require_rows
 from riverlake.operators.cleaning import clean_readings, page_report
 from riverlake.schemas import reading_schema
-from riverlake.sources.pages import missing_pages, read_reading_pages
+from riverlake.sources.pages import missing_pages, read_reading_pages, unreached_pages, walk_chains
 
 ABSENT = object()
 
@@ -198,6 +198,28 @@ def test_missing_pages(spark, tmp_path):
     assert [tuple(r) for r in missing] == [("u2", "u3")]
 
 
+def test_chains_are_walked_to_their_ends(spark):
+    following = {f"c{i}": f"c{i + 1}" for i in range(37)} | {"c37": None, "g1": "g2", "g2": "gone", "alone": None}
+    following |= {"x": "x", "l1": "l2", "l2": "l3", "l3": "l1", "m1": "m2", "m2": "m1", "t0": "t1", "t1": "m2", "a0": "c30"}
+    pages = spark.createDataFrame(
+        [([("self", u)] + ([("next", n)] if n else []),) for u, n in [*following.items(), ("c5", "c6")]],
+        "links array<struct<rel: string, href: string>>",
+    )
+
+    def plain(url):
+        seen = []
+        while url in following and url not in seen:
+            seen.append(url)
+            url = following[url]
+        return (seen[-1], len(seen) - 1, url, False) if url not in seen else (None, None, None, True)
+
+    rows = walk_chains(pages).collect()
+    assert {x.url: (x.last_url, x.steps, x.missing_url, x.loops) for x in rows} == {u: plain(u) for u in following}
+    assert len(rows) == len(following)
+    assert sorted(x.url for x in unreached_pages(pages).collect()) == ["l1", "l2", "l3", "x"]
+    assert walk_chains(pages.limit(0)).collect() == unreached_pages(pages.limit(0)).collect() == []
+
+
 def test_site_ids(spark):
     texts = ["01646500", " 01646500 ", "USGS-1", "XX-9", "\t5 "]
     df = spark.createDataFrame([(t,) for t in texts], "t string")

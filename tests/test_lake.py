@@ -1,4 +1,5 @@
 import datetime as dt
+from pathlib import Path
 
 import pyarrow.parquet as pq
 import pytest
@@ -139,6 +140,41 @@ def test_latest_dates_of_series_that_ended_at_different_times(spark):
     assert dates == {"a": "1950-03-01", "b": "2024-03-01"}
 
 
+def test_latest_dates_open_the_footers_of_the_newest_year_only(spark):
+    root = scratch_dir(spark, "test-lake")
+    rows = [("a", "p", f"{y}-02-0{d}", 1.0) for y in (1999, 2000, 2024) for d in (1, 2)]
+    lake.append_readings(readings(spark, rows), root, "daily")
+    lake.append_readings(readings(spark, [("a", "p", "2024-01-15", 1.0)]), root, "daily")
+    series = Path(root) / "service=daily" / "site_no=a" / "param_cd=p"
+    for file in [*(series / "year=2000").glob("*.parquet"), *(series / "year=1999").glob("*.parquet")]:
+        file.write_bytes(b"not read")
+    (series / "year=2024" / "_temporary").mkdir()
+    (series / "year=2024" / "_temporary" / "part-0.parquet").write_bytes(b"not read")
+    (series / "year=2025").mkdir()
+    pq.write_table(
+        pq.read_table(next((series / "year=2024").glob("*.parquet"))).slice(0, 0),
+        series / "year=2025" / "empty.parquet",
+    )
+    assert [str(x.max_date) for x in lake.latest_dates(spark, root, "daily").collect()] == ["2024-02-02"]
+
+
+def test_latest_dates_need_statistics(spark):
+    root = scratch_dir(spark, "test-lake")
+    folder = f"{root}/service=daily/site_no=a/param_cd=p/year=2024"
+    row = readings(spark, [("a", "p", "2024-01-01", 1.0)]).drop("year", "site_no", "param_cd")
+    row.write.option("parquet.column.statistics.enabled", "false").parquet(folder)
+    with pytest.raises(Exception, match="no statistics of datetime"):
+        lake.latest_dates(spark, root, "daily").collect()
+
+
+def test_latest_dates_of_instants_are_utc(spark):
+    root = scratch_dir(spark, "test-lake")
+    rows = [("s", "p", "2024-03-09 23:30:00-05:00", 1.0), ("s", "p", "2024-03-09 20:00:00+00:00", 1.0)]
+    lake.append_readings(readings(spark, rows, "continuous"), root, "continuous")
+    (row,) = lake.latest_dates(spark, root, "continuous").collect()
+    assert str(row.max_date) == "2024-03-10"
+
+
 def test_many_sites_keep_the_partition_filter(spark, root):
     wanted = ReadingFilter(sites=tuple(f"USGS-{i}" for i in range(5000)))
     plan = r.filtered_readings(spark, root, wanted)._jdf.queryExecution().executedPlan().toString()

@@ -156,6 +156,20 @@ def test_pages_follow_each_other(spark):
     assert walked == numbered
 
 
+@pytest.mark.parametrize("shallow", [0, 150])
+def test_deep_pages_equal_a_sort_of_all(spark, monkeypatch, shallow):
+    monkeypatch.setattr(r, "SHALLOW_ROWS", shallow)
+    rows = [
+        (f"s{i % 7 if i % 3 else 3}", f"p{i % 2}", f"2024-01-{1 + i % 5:02d}T00:{i // 60:02d}:{i % 60:02d}Z", float(i), "")
+        for i in range(730)
+    ]
+    df = spark.createDataFrame(rows, "site_no string, param_cd string, datetime string, value double, approval_status string")
+    ordered = sorted(rows, key=lambda x: (x[0], x[2], x[1]))
+    for number in (0, 1, 2, 4, 7, 8, 50):
+        assert [tuple(x) for x in r.page(df, number).collect()] == ordered[100 * number :][:100]
+    assert r.page(df.limit(0), 3).collect() == []
+
+
 def test_chart_series(spark):
     rows = spark.createDataFrame(
         [("b", "2024-01-01", 1.0), ("a", "2024-01-02T00:00:01Z", 2.0), ("a", "2024-01-01", 3.0), ("a", "?", 4.0)],

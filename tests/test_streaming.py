@@ -1,10 +1,11 @@
 import json
+from pathlib import Path
 
 import pytest
 
 from riverlake.operators.readings import keep_latest
 from riverlake.session import scratch_dir
-from riverlake.sources import lake
+from riverlake.sources import fs, lake
 from riverlake.streaming.ingest import start_ingest
 from tests.test_cleaning import feature
 
@@ -30,6 +31,20 @@ def test_only_new_pages_are_appended(spark, tmp_path):
     assert sorted(r.value for r in keep_latest(table, "daily").collect()) == [2.0, 3.0, 9.0]
 
 
+def test_a_repeated_batch_is_stored_once(spark, tmp_path):
+    root, checkpoint = scratch_dir(spark, "test-lake"), scratch_dir(spark, "test-checkpoint")
+    land(tmp_path / "1.json", feature(value="1"), feature(value="2", time="2025-06-02"))
+    run(spark, tmp_path, root, checkpoint)
+    for name in ("0", ".0.crc"):  # as after a failure between storing and committing
+        (Path(checkpoint) / "commits" / name).unlink()
+    run(spark, tmp_path, root, checkpoint)
+    assert lake.read_service(spark, root, "daily").count() == 2
+    land(tmp_path / "2.json", feature(value="3", time="2025-06-03"))
+    run(spark, tmp_path, root, checkpoint)
+    assert lake.read_service(spark, root, "daily").count() == 3
+    assert fs.file_names(spark, f"{checkpoint}/stored") == ["1"]
+
+
 def test_bad_page_stops_the_stream(spark, tmp_path):
     root, checkpoint = scratch_dir(spark, "test-lake"), scratch_dir(spark, "test-checkpoint")
     land(tmp_path / "1.json", feature(), feature(time="June 1"))
