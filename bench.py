@@ -5,6 +5,7 @@ BENCH_SF_DIR names the folder of tables and BENCH_CPUS the number of cores.
 
 from __future__ import annotations
 
+import argparse
 import json
 import os
 import time
@@ -51,6 +52,7 @@ def timed(action) -> float:
 
 
 def main() -> None:
+    argparse.ArgumentParser(description=__doc__).parse_args()
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (
