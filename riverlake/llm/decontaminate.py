@@ -7,16 +7,17 @@ any such run. They, and the windows of that size at every word of every document
 SimHash of their words. Fingerprints within
 ``RADIUS`` bits are found by a multi-index: split into ``RADIUS + 1`` blocks, two of them that
 differ in at most ``RADIUS`` bits are equal in a block, so looking up each block misses none.
-Then the document's passage around the window is compared with the item by the weighted
+Then all passages of the document around the windows are compared with the item by the weighted
 Jaccard similarity of their 5-word shingles (a shingle weighs as often as it occurs), exactly.
 
-Items are handled in blocks of ``ITEM_BLOCK``, with a pass over the documents for each, so what
-goes to the executors has a bound. Documents are scanned in stretches of words.
+Items are handled in blocks of at most ``ITEM_BLOCK`` and ``BLOCK_CHARS`` (a longer item is a block
+of its own), with a pass over the documents for each, so what goes to the executors has a bound. Documents are scanned in stretches of words.
 
 Defined results: rows are pairs of a document and an item, the best passage for each. Items
 without words, without text or without an id match nothing; items of equal text all match. An
-item of fewer than five words matches where its words are said in order. Null texts have no
-passages. Repeated rows give one row, and rows without an id give one of a null id. Extra
+item of fewer than five words matches where its words are said in order. Of passages that are
+equally similar the first that begins is taken, then the longest. Null texts have no passages. An
+empty table of documents or items gives no rows. Texts and items of any length are read whole. Repeated rows give one row, and rows without an id give one of a null id. Extra
 columns are not read.
 """
 
@@ -24,7 +25,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,7 @@ SHINGLE = 5
 THRESHOLD = 0.75
 RADIUS = 3
 ITEM_BLOCK = 20_000
+BLOCK_CHARS = 16_000_000
 STRETCH = 1 << 16  # words fingerprinted at a time
 SIZES = [1, 2, 3, 4, 5, 6, 9, 13, 19, 28, 42, 63, 95, 142, 213]
 
@@ -154,42 +155,15 @@ class Items:
             for size, found in windows.items()
         }
 
-    def verified(self, words: np.ndarray, item: int, offset: int, at: int) -> tuple:
-        """The best passage for an item whose window at ``offset`` is like the one at ``at``.
-
-        All passages are tried that begin and end near where the item would. They are ranked
-        by how many of their shingles the item has, which only a shingle said more often than
-        in the item can make too high, and compared in that order.
-        """
+    def _said(self, words: np.ndarray, item: int, start: int) -> tuple:
+        """Whether an item of fewer than ``SHINGLE`` words is said in order from a word on."""
         n = int(self.counts[item])
-        if n < SHINGLE:
-            start, stop = at - offset, at - offset + n
-            same = start >= 0 and self.shingles[item] == Counter(shingles(words[start:stop]).tolist())
-            return (float(same), -start, n)
-        reach = max(2, n // 3)
-        first, last = max(0, at - offset - reach), min(len(words), at - offset + n + reach)
-        around = shingles(words[first:last]) if last - first >= SHINGLE else np.zeros(0, np.uint64)
-        own = self.shingles[item]
-        shared = np.append(0, np.cumsum([x in own for x in around.tolist()]))
-        start = np.arange(min(2 * reach + 1, len(around)))[:, None]
-        stop = np.arange(max(0, len(around) - 2 * reach - 1), len(around))[None, :] + 1
-        both = shared[stop] - shared[start]
-        size = np.maximum(stop - start, 0)
-        rank = np.where(size > 0, both / (sum(own.values()) + size - both), 0.0)
-        best = (0.0, 0, 0)
-        for place in np.argsort(-rank, axis=None, kind="stable"):
-            i, j = np.unravel_index(place, rank.shape)
-            if rank[i, j] < THRESHOLD or rank[i, j] <= best[0]:
-                break
-            begin, end = int(start[i, 0]), int(stop[0, j])
-            value = similarity(own, Counter(around[begin:end].tolist()))
-            best = max(best, (value, -(first + begin), end - begin + SHINGLE - 1))
-        return best
+        same = start >= 0 and self.shingles[item] == Counter(shingles(words[start : start + n]).tolist())
+        return (float(same), -start, n)
 
     def search(self, words: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], tuple]:
         """Best (similarity, -start, length) by (text, item)."""
-        found: dict[tuple[int, int], tuple] = {}
-        tried: set[tuple[int, int, int]] = set()  # places of items: their windows agree on one
+        places: dict[tuple[int, int], set[int]] = {}  # where items would begin in their text
         longest = max(self.sizes, default=1)
         for begin in range(0, len(words), STRETCH):
             stretch = words[begin : begin + STRETCH + longest - 1]
@@ -201,17 +175,97 @@ class Items:
                 text = np.searchsorted(bounds, place + begin, "right") - 1
                 inside = place + begin + size <= bounds[text + 1]
                 for p, e, t in zip(place[inside] + begin, entry[inside], text[inside].tolist()):
-                    item = int(items[e])
-                    own = words[bounds[t] : bounds[t + 1]]
-                    place_of = (t, item, int(p - bounds[t] - offsets[e]))
-                    if found.get((t, item), (0.0,))[0] < 1.0 and place_of not in tried:
-                        tried.add(place_of)
-                        best = self.verified(own, item, int(offsets[e]), int(p - bounds[t]))
-                        if best[0] >= THRESHOLD and best > found.get((t, item), (0.0,)):
-                            found[t, item] = best
+                    place_of = places.setdefault((t, int(items[e])), set())
+                    place_of.add(int(p - bounds[t] - offsets[e]))
+        found: dict[tuple[int, int], tuple] = {}
+        for (t, item), starts in places.items():
+            own, n = words[bounds[t] : bounds[t + 1]], int(self.counts[item])
+            if n < SHINGLE:
+                best = max(self._said(own, item, start) for start in starts)
+            else:
+                reach = max(2, n // 3)
+                best = max(
+                    best_passage(self.shingles[item], own[first:last], first)
+                    for first, last in _joined(sorted(starts), reach, n, len(own))
+                )
+            if best[0] >= THRESHOLD:
+                found[t, item] = best
         return found
 
 
+def _joined(starts: list[int], reach: int, n: int, length: int) -> list[tuple[int, int]]:
+    """Regions of a text around the places of an item, those that overlap as one."""
+    regions: list[list[int]] = []
+    for start in starts:
+        first, last = max(0, start - reach), min(length, start + n + reach)
+        if regions and first <= regions[-1][1]:
+            regions[-1][1] = max(regions[-1][1], last)
+        else:
+            regions.append([first, last])
+    return [(first, last) for first, last in regions]
+
+
+def best_passage(item: Counter, words: np.ndarray, first: int) -> tuple:
+    """The passage of some words that is most similar to an item, (0.0, 0, 0) if none reaches the threshold.
+
+    Memory and, but for the last case, time grow with the number of words. A share ``p / q`` is
+    reached by some passage if ``(p + q) shared - p place`` rises by ``p n`` from its start to its
+    stop, so a running minimum tells; the passage that rises most gives the next, higher share
+    until none is higher. There a shingle counts each time it is said. Where that is too high,
+    as it is said more often than in the item, each start is tried with exact counts.
+    """
+    around = shingles(words) if len(words) >= SHINGLE else np.zeros(0, np.uint64)
+    if not len(around):
+        return (0.0, 0, 0)
+    n = sum(item.values())
+    codes, inverse = np.unique(around, return_inverse=True)
+    room = np.array([item.get(x, 0) for x in codes.tolist()], np.int64)
+    shared = np.append(0, np.cumsum(room[inverse] > 0)).astype(np.int64)
+    place = np.arange(len(shared), dtype=np.int64)
+    p, q = int(THRESHOLD * 4), 4
+    start = stop = 0
+    while True:
+        rise = (p + q) * shared - p * place
+        low = np.minimum.accumulate(rise[:-1])
+        gain = rise[1:] - low
+        if gain.max() < p * n or (stop and gain.max() == p * n):
+            break
+        lowest = np.append(True, rise[1:-1] < low[:-1])  # where a new minimum is
+        begins = np.maximum.accumulate(np.where(lowest, place[:-1], 0))
+        stops = np.flatnonzero(gain == gain.max())
+        best = stops[np.argmin(begins[stops])]
+        start, stop = int(begins[best]), int(best) + 1
+        p = int(shared[stop] - shared[start])
+        q = n + stop - start - p
+    if not stop:
+        return (0.0, 0, 0)
+    value = similarity(item, Counter(around[start:stop].tolist()))
+    if value * q >= p * (1 - 1e-12):
+        return (value, -(first + start), stop - start + SHINGLE - 1)
+    return _by_each_start(around, inverse, room, n, first)
+
+
+def _by_each_start(
+    around: np.ndarray, inverse: np.ndarray, room: np.ndarray, n: int, first: int
+) -> tuple:
+    """The best passage with exact counts. A similar one is at most ``n / THRESHOLD`` shingles long."""
+    order = np.argsort(inverse, kind="stable")
+    at = np.bincount(inverse, minlength=len(room))
+    times = np.empty(len(around), np.int64)  # how often its shingle was said before a place
+    times[order] = np.arange(len(around)) - np.repeat(np.cumsum(at) - at, at)
+    widest = int(n / THRESHOLD) + 1
+    gone = np.zeros(len(room), np.int64)
+    best = (0.0, 0, 0)
+    for start in range(len(around)):
+        own = inverse[start : start + widest]
+        both = np.cumsum(times[start : start + widest] - gone[own] < room[own])
+        values = both / (n + np.arange(1, len(own) + 1) - both)
+        stop = int(values.argmax())
+        best = max(best, (float(values[stop]), -(first + start), stop + SHINGLE))
+        gone[inverse[start]] += 1
+    return best if best[0] >= THRESHOLD else (0.0, 0, 0)
+
+
 def _pass(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,16 +287,23 @@ def _pass(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFram
 
 
 def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[Items]:
-    """The distinct items, at most ITEM_BLOCK at a time."""
+    """The distinct items, at most ITEM_BLOCK and about BLOCK_CHARS of text at a time."""
     listed = (
         benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
         .dropna()
         .distinct()
         .orderBy("item", "text")
     )
-    rows = listed.toLocalIterator()
-    while block := list(islice(rows, ITEM_BLOCK)):
-        yield Items([row.item for row in block], [row.text for row in block])
+    block: list[tuple[int, str]] = []
+    size = 0
+    for row in listed.toLocalIterator():
+        if block and (len(block) >= ITEM_BLOCK or size + len(row.text) > BLOCK_CHARS):
+            yield Items(*map(list, zip(*block)))
+            block, size = [], 0
+        block.append((row.item, row.text))
+        size += len(row.text)
+    if block:
+        yield Items(*map(list, zip(*block)))
 
 
 def find_leaks(
@@ -291,6 +352,8 @@ def drop_leaks(
 
         return given.mapInArrow(step, rows.schema)
 
+    kept = docs
     for items in _blocks(benchmark, item_col, item_text_col):
-        docs = clean(docs, items)
-    return docs
+        # What the block before kept is written first, so that one block is in use at a time.
+        kept = clean(docs if kept is docs else stored(kept, "leaks-kept"), items)
+    return kept

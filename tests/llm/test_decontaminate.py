@@ -1,14 +1,18 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from riverlake.llm import decontaminate
 from riverlake.llm.decontaminate import (
     RADIUS,
     BlockIndex,
     Items,
+    best_passage,
     drop_leaks,
     find_leaks,
     fingerprints,
@@ -63,6 +67,46 @@ def test_edited_items_are_found_as_by_brute_force():
                 assert found is not None and found[0] >= best - 1e-12
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_best_passage_equals_trying_all(seed):
+    rng = np.random.default_rng(seed)
+    alphabet = rng.integers(1, 2**63, rng.integers(1, 25), dtype=np.uint64)
+    item_words = rng.choice(alphabet, rng.integers(5, 30))
+    text = np.concatenate([rng.choice(alphabet, rng.integers(0, 30)), item_words, rng.choice(alphabet, rng.integers(0, 30))])
+    text = np.delete(text, rng.integers(0, len(text), rng.integers(0, 3)))
+    item = Counter(shingles(item_words).tolist())
+    around = shingles(text).tolist() if len(text) >= 5 else []
+    best = (0.0, 0, 0)
+    for i in range(len(around)):
+        for j in range(i + 1, len(around) + 1):
+            best = max(best, (similarity(item, Counter(around[i:j])), -i, j - i + 4))
+    found = best_passage(item, text, 0)
+    assert found[0] == pytest.approx(best[0] if best[0] >= 0.75 else 0.0)
+    if found[0]:
+        passage = Counter(shingles(text[-found[1] :][: found[2]]).tolist())
+        assert similarity(item, passage) == pytest.approx(found[0])
+
+
+def test_long_items_take_seconds(spark):
+    long = sentence(5, 20_000)
+    edited = " ".join(w if i % 60 else "edit" for i, w in enumerate(long.split()))
+    again = "again " * 6000
+    began = time.perf_counter()
+    bench = spark.createDataFrame([(1, long), (2, again)], "item_id long, text string")
+    rows = find_leaks(docs(spark, [f"x y z {edited} u v", again[:30_000], sentence(6, 20_000)]), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == [(0, 1), (1, 2)]
+    assert time.perf_counter() - began < 90
+
+
+def test_blocks_by_words_change_nothing(spark, monkeypatch):
+    items = [sentence(k, 30) for k in range(6)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    table = docs(spark, [*items[:3], sentence(50, 40), None, ""])
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 400)
+    assert sorted(r.doc_id for r in drop_leaks(table, bench).collect()) == [3, 4, 5]
+    assert {(r.doc_id, r.item_id) for r in find_leaks(table, bench).collect()} == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_leaks_and_clean_rows(spark):
     item, other = sentence(1, 30), sentence(2, 25)
     texts = [f"x y {item.upper()} z", sentence(9, 40), None, "", other, " ".join([other] * 300), item[:60]]
