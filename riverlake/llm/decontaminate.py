@@ -126,8 +126,8 @@ class BlockIndex:
             close = np.bitwise_count(prints[place] ^ self.prints[entry]) <= RADIUS
             places.append(place[close])
             entries.append(entry[close])
-        found = np.unique(np.stack([np.concatenate(places), np.concatenate(entries)], 1), axis=0)
-        return found[:, 0], found[:, 1]
+        pairs = np.concatenate(places) * len(self.prints) + np.concatenate(entries)
+        return np.divmod(np.unique(pairs), len(self.prints))
 
 
 class Items:
@@ -174,9 +174,13 @@ class Items:
                 place, entry = index.near(fingerprints(running, size)[:STRETCH])
                 text = np.searchsorted(bounds, place + begin, "right") - 1
                 inside = place + begin + size <= bounds[text + 1]
-                for p, e, t in zip(place[inside] + begin, entry[inside], text[inside].tolist()):
-                    place_of = places.setdefault((t, int(items[e])), set())
-                    place_of.add(int(p - bounds[t] - offsets[e]))
+                at, e, t = place[inside] + begin, entry[inside], text[inside]
+                start = at - bounds[t] - offsets[e]
+                # Text, item and start in one number, each place once.
+                packed = np.unique(((t * len(self.ids) + items[e]) << 32) + (start + (1 << 31)))
+                pairs, starts = packed >> 32, (packed & 0xFFFFFFFF) - (1 << 31)
+                for pair, own in _runs(pairs, starts):
+                    places.setdefault(divmod(pair, len(self.ids)), set()).update(own)
         found: dict[tuple[int, int], tuple] = {}
         for (t, item), starts in places.items():
             own, n = words[bounds[t] : bounds[t + 1]], int(self.counts[item])
@@ -193,6 +197,13 @@ class Items:
         return found
 
 
+def _runs(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+    """The values of each key, where equal keys stand together."""
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else keys
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(keys)]):
+        yield int(keys[a]), values[a:b].tolist()
+
+
 def _joined(starts: list[int], reach: int, n: int, length: int) -> list[tuple[int, int]]:
     """Regions of a text around the places of an item, those that overlap as one."""
     regions: list[list[int]] = []
