@@ -1,18 +1,19 @@
 """Collocations: phrases that occur more often than their parts let expect, per language.
 
 Counting goes up level by level. Words are counted first. A phrase of ``k`` words is a candidate
-if both of its parts of ``k - 1`` words are frequent (its own count cannot exceed theirs) and a
-shuffled count of hashed phrases, each task's share cut off at ``LEAST``, reaches ``LEAST``.
-Both tests only let through too many, never too few. The candidates are cut into blocks of about
+if both of its parts of ``k - 1`` words are frequent (its own count cannot exceed theirs), the
+bucket of its hash may hold enough phrases, and its hash is then seen often enough, each task's
+share cut off at ``LEAST``. All these tests only let through too many, never too few. The candidates are cut into blocks of about
 ``TRIE_PHRASES``, and each block becomes a double-array trie that is sent to all tasks: one array
 says where the children of a state begin, a second which state a slot belongs to. A task steps
 the states of all places of its texts together, one level at a time, in numpy, counts the
 accepting states with ``bincount``, and the counts of all tasks are added up.
 
 What is sent out has a bound: a trie of a block, or a bitmap of ``BITS`` bits of frequent phrases
-(which may hold others that share a bit). Words are 64-bit hashes of word and language. Texts are
+(which may hold others that share a bit), and one of as many bits of safe buckets. Words are 64-bit hashes of word and language. Texts are
 hashed twice, once for the words and once, with the rare words left out, into a stored table that
-all later passes read. The number of passes is two per level and block.
+all later passes read. A level takes two passes,
+and one more per block.
 
 Defined results: a null text is empty and a null language is ``und``, together with texts of
 that language. Repeated rows count each time. Ties of score and count go by phrase, in byte
@@ -23,7 +24,7 @@ columns are not read, whatever their names.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,9 @@ SCALE = 1_000_000
 
 TRIE_PHRASES = 2_000_000
 BITS = 1 << 26
+BUCKET_BITS, PART_BITS, SAFE_BITS = 32, 8, 26  # of phrase hashes: buckets, their parts, safe bits
+COUNT_BITS = 16  # phrases whose counts are added up in one part
+HOLD_BUCKETS = 1 << 21  # buckets that are held at a time
 CHUNK = 4096  # bases that are tried together
 HOLD_BYTES = 2 << 20  # of texts whose words are counted at a time
 HOLD_PHRASES = 1 << 18  # of places whose phrases are listed at a time
@@ -188,21 +192,128 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             yield row.values.to_numpy().view(np.uint64)
 
 
-def list_candidates(seqs: DataFrame, k: int, parts: Bitmap | None, least: int) -> DataFrame:
-    """(w1, ..): phrases of ``k`` words that may occur ``least`` times, from what is in the texts.
+def _folded(
+    packed: DataFrame,
+    schema: str,
+    size: int,
+    kind: type,
+    add: Callable[[np.ndarray, np.ndarray, np.ndarray], None],
+    done: Callable[[int, np.ndarray], pa.RecordBatch],
+) -> DataFrame:
+    """Counters of each part, added up from packed rows ``part, places, numbers`` as they stream by.
 
-    ``parts``: frequent phrases of a word less, None where those are words.
+    A task holds the ``size`` counters of one part at a time.
     """
-    shared = seqs.sparkSession.sparkContext.broadcast(parts)
+    ordered = packed.repartition("part").sortWithinPartitions("part")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, counters = None, None
+        for batch in batches:
+            for part, places, numbers in zip(*[c.to_pylist() for c in batch.columns]):
+                if part != current:
+                    if counters is not None:
+                        yield done(current, counters)
+                    current, counters = part, np.zeros(size, kind)
+                add(counters, np.frombuffer(places, np.int32), np.frombuffer(numbers, kind))
+        if counters is not None:
+            yield done(current, counters)
+
+    return ordered.mapInArrow(step, schema)
+
+
+def _packed(places: np.ndarray, numbers: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Rising places and their numbers as one row for each part of ``2 ** bits`` places."""
+    parts = places >> bits
+    heads = np.flatnonzero(np.append(True, parts[1:] != parts[:-1]))
+    ends = np.append(heads[1:], len(places))
+    low = (places & ((1 << bits) - 1)).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(parts[heads].astype(np.int32)),
+            pa.array([low[a:b].tobytes() for a, b in zip(heads, ends)], pa.binary()),
+            pa.array([numbers[a:b].tobytes() for a, b in zip(heads, ends)], pa.binary()),
+        ],
+        ["part", "places", "numbers"],
+    )
+
+
+_PACKED = "part int, places binary, numbers binary"
 
-    def phrases(seq: np.ndarray) -> list[np.ndarray]:
-        columns = [seq[i : len(seq) - k + 1 + i] for i in range(k)]
-        keep = np.logical_and.reduce([c != 0 for c in columns]) if len(seq) >= k else np.zeros(0, bool)
-        at = np.flatnonzero(keep)
-        if shared.value is not None and len(at):
+
+class Places:
+    """The phrases of ``k`` words in a sequence whose parts of a word less are all frequent."""
+
+    def __init__(self, k: int, parts: Bitmap | None):
+        self.k, self.parts = k, parts
+
+    def phrases(self, seq: np.ndarray) -> list[np.ndarray]:
+        if len(seq) < self.k:
+            return [np.zeros(0, np.uint64)] * self.k
+        columns = [seq[i : len(seq) - self.k + 1 + i] for i in range(self.k)]
+        at = np.flatnonzero(np.logical_and.reduce([c != 0 for c in columns]))
+        if self.parts is not None:
             for part in (columns[:-1], columns[1:]):
-                at = at[shared.value.holds(phrase_hash([c[at] for c in part]))]
-        return [c[at] for c in columns] if len(at) else []
+                at = at[self.parts.holds(phrase_hash([c[at] for c in part]))]
+        return [c[at] for c in columns]
+
+
+class Safe:
+    """Buckets of phrase hashes that may hold a frequent one, by the hashes' leading bits."""
+
+    def __init__(self, seqs: DataFrame, places: Places, least: int):
+        """Counts 2**32 buckets, each task's share cut off at ``least``, and keeps 2**26 bits."""
+        shared = seqs.sparkSession.sparkContext.broadcast(places)
+        bits = BUCKET_BITS - PART_BITS
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[np.ndarray] = []
+
+            def packed() -> pa.RecordBatch:
+                found, times = np.unique(np.concatenate(held), return_counts=True)
+                held.clear()
+                some = np.minimum(times, least).astype(np.uint8)
+                return _packed(found.astype(np.int64), some, bits)
+
+            for seq in _sequences(batches):
+                hashes = phrase_hash(shared.value.phrases(seq))
+                if len(hashes):
+                    held.append((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32))
+                if sum(map(len, held)) >= HOLD_BUCKETS:
+                    yield packed()
+            if held:
+                yield packed()
+
+        def add(counters: np.ndarray, at: np.ndarray, some: np.ndarray) -> None:
+            counters[at] = np.minimum(counters[at] + some, least)
+
+        def done(part: int, counters: np.ndarray) -> pa.RecordBatch:
+            ready = (counters >= least).reshape(-1, 1 << (BUCKET_BITS - SAFE_BITS)).any(axis=1)
+            held = np.packbits(ready, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([held], pa.binary())], ["part", "held"]
+            )
+
+        rows = _folded(
+            seqs.mapInArrow(step, _PACKED), "part int, held binary", 1 << bits, np.uint8, add, done
+        )
+        size = (1 << (SAFE_BITS - PART_BITS)) // 8
+        self.bytes = np.zeros((1 << SAFE_BITS) // 8, np.uint8)
+        for row in rows.toLocalIterator():  # of 2**SAFE_BITS bits in all
+            self.bytes[row.part * size : (row.part + 1) * size] = np.frombuffer(row.held, np.uint8)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        place = (hashes >> np.uint64(64 - SAFE_BITS)).astype(np.int64)
+        return (self.bytes[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
+def list_candidates(seqs: DataFrame, k: int, parts: Bitmap | None, least: int) -> DataFrame:
+    """(w1, ..): phrases of ``k`` words that may occur ``least`` times, from what is in the texts.
+
+    ``parts``: frequent phrases of a word less, None where those are words. Buckets of hashes are
+    counted first; only phrases of safe buckets are listed, and their hashes counted once more.
+    """
+    places = Places(k, parts)
+    shared = seqs.sparkSession.sparkContext.broadcast((places, Safe(seqs, places, least)))
 
     def listed(held: list[list[np.ndarray]]) -> pa.RecordBatch:
         columns = [np.concatenate(c) for c in zip(*held)]
@@ -212,10 +323,13 @@ def list_candidates(seqs: DataFrame, k: int, parts: Bitmap | None, least: int) -
         return pa.RecordBatch.from_arrays([*arrays, some], [*names(k), "some"])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given, safe = shared.value
         held: list[list[np.ndarray]] = []
         for seq in _sequences(batches):
-            if found := phrases(seq):
-                held.append(found)
+            columns = given.phrases(seq)
+            ready = safe.holds(phrase_hash(columns))
+            if ready.any():
+                held.append([c[ready] for c in columns])
             if sum(len(h[0]) for h in held) >= HOLD_PHRASES:
                 yield listed(held)
                 held = []
@@ -345,15 +459,20 @@ def count_phrases(seqs: DataFrame, candidates: DataFrame, k: int, least: int) ->
             for seq in _sequences(batches):
                 counts += np.bincount(automaton.count(seq), minlength=len(counts))
             seen = np.flatnonzero(counts)
-            for start in range(0, len(seen), 100_000):
-                some = seen[start : start + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(c[some].view(np.int64)) for c in phrases], pa.array(counts[some])],
-                    [*names(k), "f"],
-                )
-
-        sums = seqs.mapInArrow(step, schema).groupBy(*names(k)).agg(F.sum("f").alias("f"))
-        counted = counted.union(stored(sums.where(F.col("f") >= least), f"phrases-{k}"))
+            if len(seen):
+                yield _packed(seen, counts[seen], COUNT_BITS)
+
+        def add(counters: np.ndarray, at: np.ndarray, numbers: np.ndarray) -> None:
+            counters[at] += numbers
+
+        def done(part: int, counters: np.ndarray, trie=trie) -> pa.RecordBatch:
+            often = np.flatnonzero(counters >= least)
+            said = [pa.array(c[often + (part << COUNT_BITS)].view(np.int64)) for c in trie.value[1]]
+            return pa.RecordBatch.from_arrays([*said, pa.array(counters[often])], [*names(k), "f"])
+
+        packed = seqs.mapInArrow(step, _PACKED)
+        sums = _folded(packed, schema, 1 << COUNT_BITS, np.int64, add, done)
+        counted = counted.union(stored(sums, f"phrases-{k}"))
         trie.destroy()
     return counted
 
