@@ -1,24 +1,32 @@
 """License scans in DataFrame operations only: MinHash bands over overlapping windows.
 
-Words are runs of letters and digits, in lower case. A text's 5-word shingles are taken in
-windows of ``WINDOW`` shingles, the words of which overlap those of the next window. A window's
-bands are the least and the greatest of its shingles when these are ordered by one of
-``SEGMENTS`` separate stretches of their hash's bits: MinHash values of an order and of its
-reverse. A template is retrieved where a band of a window is one of its shingles. A shingle is
-the first or the last of four with probability 1/2 in each stretch, so one that a window shares
-with a template is missed with probability ``2 ** -SEGMENTS``, under 0.1 %. Then the shingles
-around each retrieving window are compared with the exact ones of templates that have a shingle
-in the window: one matches if at least ``CONTAINED`` of them are there. Of templates that say
-nearly the same, the one with the highest containment is taken (then the longest, then the first
-name); another name stays only if ``CONTAINED`` of the shingles that it alone has are there too.
+Words are runs of letters and digits, in lower case. Windows are ``WINDOW`` consecutive 5-word
+shingles: of a text those at every ``STEP``-th shingle, so that they overlap, of a template those
+at every shingle. A window's signature are its least shingle in each of ``2 * BANDS`` orders: by
+one of ``BANDS`` separate stretches of the hash's bits, and by the reverse. Both orders of a
+stretch are one band, so bands have two rows. A template is retrieved where a band of a window of
+the text is the same band of one of its windows. Equal windows share all bands; two windows that
+share three of their four shingles share a band with probability ``1 - (1 - 3/10) ** BANDS``,
+94 %. A template whose text is there has at least one equal window if five of its shingles stand
+together, which ``CONTAINED`` of six or more do unless edits tear them into shorter pieces; of
+four, all or three, there are one or two windows that share three. Templates of fewer than
+``WINDOW`` shingles must be there whole; their window is their least shingle alone, compared with
+the windows of one shingle of the text, so they are always retrieved.
+
+Then the shingles around each retrieving window are compared with the exact ones of the templates
+that the text retrieved and that have a shingle in the window: one matches if at least
+``CONTAINED`` of them are there. Of templates that say nearly the same, the one with the highest
+containment is taken (then the longest, then the first name); another name stays only if
+``CONTAINED`` of the shingles that it alone has are there too.
 
 Windows become rows that carry no text, and are filtered where they arise; only the few texts
 with a retrieving window are read again. Results are by text, so copies are compared once.
 
 Defined results: a row per row; null and empty texts, and those of fewer than five words, have
-no licenses. Repeated rows give equal rows; extra columns are not read. Templates
-are a list in the driver; those of fewer than five words are refused. Shingles are compared as
-64-bit hashes.
+no licenses. A very long text is read whole, as windows. Ties of containment go by length, then by
+name. Repeated rows give equal rows; extra columns are not read, whatever their names; an empty
+table gives no rows. Templates are a list in the driver; those of fewer than five words are
+refused. Shingles are compared as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,8 +37,8 @@ from pyspark.sql import functions as F
 from riverlake.llm.rows import stored
 
 SHINGLE = 5
-WINDOW = 4
-SEGMENTS, SEGMENT_BITS = 10, 6
+WINDOW, STEP = 4, 2
+BANDS, BAND_BITS = 8, 8
 CONTAINED = 0.75
 
 # Notices of well-known licenses.
@@ -149,36 +157,48 @@ def _shingles(df: DataFrame, text: Column) -> DataFrame:
     )
 
 
-def _turned(hash_: int, bits: int) -> int:
-    """A signed 64-bit number, rotated to the left."""
-    value = hash_ & (2**64 - 1)
-    value = (value << bits | value >> (64 - bits)) & (2**64 - 1)
-    return value - 2**64 if value >= 2**63 else value
-
-
-def _retrieved(known: list[int]) -> Column:
-    """Whether a band of the window of shingles ``h0, h1 ...`` is one of ``known``."""
-    found = F.lit(False)
-    for bits in range(0, SEGMENTS * SEGMENT_BITS, SEGMENT_BITS):
-        order = [F.col(f"h{k}") for k in range(WINDOW)]
+def _bands(window: list[Column]) -> list[Column]:
+    """The bands of the window of some shingles, nulls left out; null where all are."""
+    values = []
+    for bits in range(0, BANDS * BAND_BITS, BAND_BITS):
+        order = window
         if bits:
-            order = [F.shiftleft(h, bits).bitwiseOR(F.shiftrightunsigned(h, 64 - bits)) for h in order]
-        values = [_turned(h, bits) for h in known]
-        found = found | F.least(*order).isin(values) | F.greatest(*order).isin(values)
-    return found
+            order = [F.shiftleft(h, bits).bitwiseOR(F.shiftrightunsigned(h, 64 - bits)) for h in window]
+        both = F.xxhash64(F.least(*order), F.greatest(*order))
+        values.append(F.when(F.coalesce(*window).isNotNull(), both))
+    return values
 
 
 def template_shingles(spark: SparkSession, templates: list[tuple[str, str]]) -> list[tuple[str, list[int]]]:
     """Name and distinct shingles of each template."""
+    return [(name, list(dict.fromkeys(own))) for name, own in _in_order(spark, templates)]
+
+
+def _in_order(spark: SparkSession, templates: list[tuple[str, str]]) -> list[tuple[str, list[int]]]:
     df = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "i int, name string, text string")
-    rows = _shingles(df, F.col("text")).select("i", "name", F.array_distinct("shingles").alias("s"))
-    found = [(r.name, list(r.s)) for r in sorted(rows.collect(), key=lambda r: r.i)]
+    rows = _shingles(df, F.col("text")).select("i", "name", "shingles")
+    found = [(r.name, list(r.shingles)) for r in sorted(rows.collect(), key=lambda r: r.i)]
     for (name, own), (_, text) in zip(found, templates):
         if not own:
             raise ValueError(f"the template {text!r} of {name} has fewer than {SHINGLE} words")
     return found
 
 
+def template_bands(spark: SparkSession, shingles: list[list[int]]) -> list[tuple[int, int, int]]:
+    """(template, band, value) of all windows of templates; band -1 is a window of one shingle."""
+    short = [(t, -1, min(own)) for t, own in enumerate(shingles) if len(own) < WINDOW]
+    windows = [
+        (t, *own[i : i + WINDOW])
+        for t, own in enumerate(shingles)
+        for i in range(len(own) - WINDOW + 1)
+    ]
+    names = [f"h{k}" for k in range(WINDOW)]
+    rows = spark.createDataFrame(windows, "t int, " + ", ".join(f"{n} long" for n in names))
+    values = F.array(*_bands([F.col(n) for n in names]))
+    banded = rows.select("t", F.posexplode(values).alias("band", "value"))
+    return short + sorted({(r.t, r.band, r.value) for r in banded.collect()})
+
+
 def scan_licenses(
     docs: DataFrame,
     templates: list[tuple[str, str]] | None = None,
@@ -186,9 +206,11 @@ def scan_licenses(
     text_col: str = "text",
 ) -> DataFrame:
     """Per row: id, how many windows retrieve a template, and the licenses found, by name."""
-    known = template_shingles(docs.sparkSession, TEMPLATES + RELATED if templates is None else templates)
-    every = sorted({h for _, own in known for h in own})
-    longest = max((len(own) for _, own in known), default=0)
+    spark = docs.sparkSession
+    in_order = _in_order(spark, TEMPLATES + RELATED if templates is None else templates)
+    known = [(name, list(dict.fromkeys(own))) for name, own in in_order]
+    bands = template_bands(spark, [own for _, own in in_order])
+    longest = max((len(own) for _, own in in_order), default=0)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(
         F.col(id_col).alias("doc"),
@@ -197,35 +219,59 @@ def scan_licenses(
         F.length(text).alias("length"),
     )
     key = ["digest", "length"]
-    # Outer: else Spark would filter by the windows ahead of them, and so take shingles in a loop.
-    in_windows = (
-        f"case when size(shingles) > 0 then transform(sequence(0, size(shingles) - 1, {WINDOW}),"
-        " i -> named_struct('i', i, "
-        + ", ".join(f"'h{k}', get(shingles, i + {k})" for k in range(WINDOW))
-        + ")) end"
-    )
-    windows = (
-        _shingles(source.select("text", *key), F.col("text"))
-        .select(*key, F.inline_outer(F.expr(in_windows)))
+    # A row holds the windows that begin within WINDOW shingles.
+    span = 2 * WINDOW - STEP
+    shingles = [F.col(f"h{k}") for k in range(span)]
+    windows = [_bands(shingles[k : k + WINDOW]) for k in range(0, WINDOW, STEP)]
+
+    def in_windows(df: DataFrame, *kept: str) -> DataFrame:
+        rows = (
+            f"case when size(shingles) > 0 then transform(sequence(0, size(shingles) - 1, {WINDOW}),"
+            " i -> named_struct('i', i, "
+            + ", ".join(f"'h{k}', get(shingles, i + {k})" for k in range(span))
+            + ")) end"
+        )
+        # Outer: else Spark would filter by the windows ahead of them, and so take shingles in a loop.
+        return df.select(*key, *kept, F.inline_outer(F.expr(rows)))
+
+    retrieving = F.lit(False)
+    for band in sorted({band for _, band, _ in bands}):
+        values = sorted({value for _, b, value in bands if b == band})
+        for own in shingles[:WINDOW] if band < 0 else [w[band] for w in windows]:
+            retrieving = retrieving | own.isin(values)
+    told = [(F.lit(-1), h) for h in shingles[:WINDOW]]
+    told += [(F.lit(band), value) for w in windows for band, value in enumerate(w)]
+    told = F.array(*[F.struct(band.alias("band"), value.alias("value")) for band, value in told])
+    places = in_windows(_shingles(source.select("text", *key), F.col("text"))).where(retrieving)
+    templates_told = spark.createDataFrame(bands, "template int, band int, value long")
+    pairs = places.select(*key, "i", F.inline(told)).join(templates_told, ["band", "value"])
+    retrieved = stored(
+        pairs.groupBy(*key).agg(
+            F.count_distinct("i").alias("n_retrieved"), F.collect_set("template").alias("templates")
+        ),
+        "licenses-retrieved",
     )
-    places = windows.where(_retrieved(every)).groupBy(*key, "i").agg(F.lit(1).alias("one"))
-    retrieved = stored(places.groupBy(*key).agg(F.count("*").alias("n_retrieved")), "licenses-retrieved")
 
     # Of the texts with a retrieving window, the shingles around each of them.
     texts = source.join(retrieved, key, "left_semi").groupBy(*key).agg(F.first("text").alias("text"))
-    own_windows = _shingles(texts, F.col("text")).select(*key, "shingles", F.inline_outer(F.expr(in_windows)))
-    around = own_windows.where(_retrieved(every)).select(
-        *key,
-        F.array_compact(F.array(*[f"h{k}" for k in range(WINDOW)])).alias("at"),
-        F.array_distinct(
-            F.slice("shingles", F.greatest(F.lit(1), F.col("i") + 1 - longest), F.lit(WINDOW + 2 * longest))
-        ).alias("around"),
+    around = (
+        in_windows(_shingles(texts, F.col("text")), "shingles")
+        .where(retrieving)
+        .select(
+            *key,
+            F.array_compact(F.array(*shingles)).alias("at"),
+            F.array_distinct(
+                F.slice("shingles", F.greatest(F.lit(1), F.col("i") + 1 - longest), F.lit(span + 2 * longest))
+            ).alias("around"),
+        )
+        .join(retrieved.select(*key, "templates"), key)
     )
 
-    def candidate(name: str, own: list[int]) -> Column:
+    def candidate(template: int, name: str, own: list[int]) -> Column:
         all_ = F.array(*map(F.lit, own))
         both = F.array_intersect("around", all_)
         held = (F.size(both) >= len(own) * CONTAINED) & F.arrays_overlap("at", all_)
+        held = F.array_contains("templates", template) & held
         return F.when(held, F.struct(F.lit(name).alias("name"), all_.alias("own"), both.alias("both")))
 
     def beaten(a: Column, b: Column) -> Column:
@@ -240,7 +286,7 @@ def scan_licenses(
     found = None
     if known:
         matched = around.select(
-            *key, F.array_compact(F.array(*[candidate(*t) for t in known])).alias("matched")
+            *key, F.array_compact(F.array(*[candidate(i, *t) for i, t in enumerate(known)])).alias("matched")
         ).where(F.size("matched") > 0)
         names = F.filter("matched", lambda a: ~F.exists("matched", lambda b: beaten(a, b)))
         found = matched.select(*key, F.explode(names["name"]).alias("name"))

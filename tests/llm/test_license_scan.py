@@ -1,9 +1,17 @@
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from riverlake.llm.license_scan import RELATED, TEMPLATES, scan_licenses, template_shingles
+from riverlake.llm.license_scan import (
+    RELATED,
+    TEMPLATES,
+    WINDOW,
+    scan_licenses,
+    template_bands,
+    template_shingles,
+)
 from tests.llm.helpers import docs, sentence
 
 
@@ -40,11 +48,38 @@ def test_licenses_equal_brute_force(spark):
 
 
 def test_single_shingles_are_retrieved(spark):
-    """Templates of one shingle in windows with three others: the hardest case for the bands."""
+    """Templates of one shingle, anywhere in a text."""
     templates = [(f"L{i}", sentence(i, 5)) for i in range(400)]
     texts = [f"{sentence(1000 + i, 3 + i % 4)} {t} {sentence(2000 + i, 9)}" for i, (_, t) in enumerate(templates)]
     found = result(scan_licenses(docs(spark, texts), templates))
-    assert sum(found[i] == [f"L{i}"] for i in range(400)) >= 396
+    assert found == {i: [f"L{i}"] for i in range(400)}
+
+
+def test_edited_templates_are_retrieved(spark):
+    """Recall against brute force of templates of 4 to 40 shingles with as many edits as they bear."""
+    rng = random.Random(5)
+    templates = [(f"L{i:03}", sentence(i, 8 + i % 37)) for i in range(300)]
+    texts = []
+    for i, (name, said) in enumerate(templates):
+        words, own = said.split(), set(shingles(said))
+        for _ in range(20):
+            other = list(words)
+            at = rng.randrange(len(other))
+            rng.choice([lambda: other.insert(at, "new"), lambda: other.pop(at), lambda: other.__setitem__(at, "new")])()
+            if len(own & set(shingles(" ".join(other)))) >= 0.75 * len(own):
+                words = other
+        texts.append(f"{sentence(1000 + i, i % 5)} {' '.join(words)} {sentence(2000 + i, 9)}")
+    found = result(scan_licenses(docs(spark, texts), templates))
+    want = {i: brute(t, [templates[i]]) for i, t in enumerate(texts)}
+    assert all(want.values())
+    assert sum(found[i] == want[i] for i in want) >= 0.97 * len(want)
+
+
+def test_bands_are_those_of_template_windows(spark):
+    bands = template_bands(spark, [[5, 3, 9], [1, 2, 3, 4, 5], [2, 3, 4, 5]])
+    assert [b for b in bands if b[0] == 0] == [(0, -1, 3)]
+    one, two = ({b[1:] for b in bands if b[0] == t} for t in (1, 2))
+    assert two < one and len(two) == 8 and WINDOW == 4
 
 
 def test_only_dataframe_operations(spark):
