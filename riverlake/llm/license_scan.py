@@ -158,14 +158,13 @@ def _shingles(df: DataFrame, text: Column) -> DataFrame:
 
 
 def _bands(window: list[Column]) -> list[Column]:
-    """The bands of the window of some shingles, nulls left out; null where all are."""
+    """The bands of the window of some shingles."""
     values = []
     for bits in range(0, BANDS * BAND_BITS, BAND_BITS):
         order = window
         if bits:
             order = [F.shiftleft(h, bits).bitwiseOR(F.shiftrightunsigned(h, 64 - bits)) for h in window]
-        both = F.xxhash64(F.least(*order), F.greatest(*order))
-        values.append(F.when(F.coalesce(*window).isNotNull(), both))
+        values.append(F.xxhash64(F.least(*order), F.greatest(*order)))
     return values
 
 
@@ -219,32 +218,33 @@ def scan_licenses(
         F.length(text).alias("length"),
     )
     key = ["digest", "length"]
-    # A row holds the windows that begin within WINDOW shingles.
-    span = 2 * WINDOW - STEP
-    shingles = [F.col(f"h{k}") for k in range(span)]
-    windows = [_bands(shingles[k : k + WINDOW]) for k in range(0, WINDOW, STEP)]
+    names = [f"h{k}" for k in range(WINDOW)]
+    shingles = [F.col(name) for name in names]
+    own_bands = _bands(shingles)
 
     def in_windows(df: DataFrame, *kept: str) -> DataFrame:
+        # A window beyond the end of a text repeats its first shingle, which is least or greatest no less.
         rows = (
-            f"case when size(shingles) > 0 then transform(sequence(0, size(shingles) - 1, {WINDOW}),"
+            f"case when size(shingles) > 0 then transform(sequence(0, size(shingles) - 1, {STEP}),"
             " i -> named_struct('i', i, "
-            + ", ".join(f"'h{k}', get(shingles, i + {k})" for k in range(span))
+            + ", ".join(f"'h{k}', coalesce(get(shingles, i + {k}), shingles[i])" for k in range(WINDOW))
             + ")) end"
         )
         # Outer: else Spark would filter by the windows ahead of them, and so take shingles in a loop.
-        return df.select(*key, *kept, F.inline_outer(F.expr(rows)))
+        # Not null: so that the code of the bands has no checks, and stays short enough to be compiled.
+        return df.select(*key, *kept, F.inline_outer(F.expr(rows))).dropna(subset=names)
 
     retrieving = F.lit(False)
     for band in sorted({band for _, band, _ in bands}):
         values = sorted({value for _, b, value in bands if b == band})
-        for own in shingles[:WINDOW] if band < 0 else [w[band] for w in windows]:
+        for own in shingles[:STEP] if band < 0 else [own_bands[band]]:
             retrieving = retrieving | own.isin(values)
-    told = [(F.lit(-1), h) for h in shingles[:WINDOW]]
-    told += [(F.lit(band), value) for w in windows for band, value in enumerate(w)]
+    told = [(F.lit(-1), h) for h in shingles[:STEP]]
+    told += [(F.lit(band), value) for band, value in enumerate(own_bands)]
     told = F.array(*[F.struct(band.alias("band"), value.alias("value")) for band, value in told])
     places = in_windows(_shingles(source.select("text", *key), F.col("text"))).where(retrieving)
     templates_told = spark.createDataFrame(bands, "template int, band int, value long")
-    pairs = places.select(*key, "i", F.inline(told)).join(templates_told, ["band", "value"])
+    pairs = places.select(*key, "i", F.inline_outer(told)).join(templates_told, ["band", "value"])
     retrieved = stored(
         pairs.groupBy(*key).agg(
             F.count_distinct("i").alias("n_retrieved"), F.collect_set("template").alias("templates")
@@ -259,9 +259,9 @@ def scan_licenses(
         .where(retrieving)
         .select(
             *key,
-            F.array_compact(F.array(*shingles)).alias("at"),
+            F.array(*shingles).alias("at"),
             F.array_distinct(
-                F.slice("shingles", F.greatest(F.lit(1), F.col("i") + 1 - longest), F.lit(span + 2 * longest))
+                F.slice("shingles", F.greatest(F.lit(1), F.col("i") + 1 - longest), F.lit(WINDOW + 2 * longest))
             ).alias("around"),
         )
         .join(retrieved.select(*key, "templates"), key)
@@ -288,8 +288,8 @@ def scan_licenses(
         matched = around.select(
             *key, F.array_compact(F.array(*[candidate(i, *t) for i, t in enumerate(known)])).alias("matched")
         ).where(F.size("matched") > 0)
-        names = F.filter("matched", lambda a: ~F.exists("matched", lambda b: beaten(a, b)))
-        found = matched.select(*key, F.explode(names["name"]).alias("name"))
+        best = F.filter("matched", lambda a: ~F.exists("matched", lambda b: beaten(a, b)))
+        found = matched.select(*key, F.explode(best["name"]).alias("name"))
     nothing = F.array().cast("array<string>")
     rows = source.select("doc", *key).join(retrieved, key, "left")
     if found is not None:
