@@ -223,7 +223,7 @@ def scan_licenses(
     own_bands = _bands(shingles)
 
     def in_windows(df: DataFrame, *kept: str) -> DataFrame:
-        # A window beyond the end of a text repeats its first shingle, which is least or greatest no less.
+        # A window that the text's end cuts short repeats its first shingle, so its set stays the same.
         rows = (
             f"case when size(shingles) > 0 then transform(sequence(0, size(shingles) - 1, {STEP}),"
             " i -> named_struct('i', i, "
