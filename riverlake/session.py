@@ -24,8 +24,8 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder when the application ends, if that is still possible."""
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder, if that is still possible."""
     with suppress(Exception):
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -36,7 +36,7 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 
     The cluster names the shared folder in ``spark.checkpoint.dir``. Only a local
     session, whose executors share one disk, may fall back to a temporary folder. What is
-    in it goes when the application ends.
+    in it goes when the application ends, or by ``remove_dir`` once nothing reads it.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
@@ -45,5 +45,5 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         path = tempfile.mkdtemp(prefix=f"riverlake-{label}-")
     else:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    atexit.register(_remove, spark, path)
+    atexit.register(remove_dir, spark, path)
     return path
