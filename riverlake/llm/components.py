@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverlake.llm.rows import stored
+from riverlake.llm.rows import discard, stored
+
+HUBS = 256  # a node with at least one in so many of all ends of edges is joined by broadcast
+
+
+def _with_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+    """Edges with the least node ``m`` around their ``u``, from ``least`` (u, m, n) of all ``u``.
+
+    A key with many edges would be read by one task. Those of ``n * HUBS >= ends`` edges are at
+    most ``HUBS``, as all ``n`` together are at most ``ends``, so they are sent to the edges.
+    """
+    is_hub = F.col("n") * HUBS >= ends
+    hubs = F.broadcast(least.where(is_hub).select("u", "m"))
+    few = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(~is_hub).drop("n"), "u")
+    return edges.join(hubs, "u").unionByName(few)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,14 +36,18 @@ def components(links: DataFrame) -> DataFrame:
         "edges",
     )
     while True:
+        ends = 2 * edges.count()
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        n = F.count("*").alias("n")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), n)
         large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        ).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+            _with_least(both.where("v > u"), least, ends)
+            .select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .distinct()
+        )
+        least = large.groupBy("u").agg(F.min("v").alias("m"), n)
         small = (
-            large.join(least, "u")
+            _with_least(large, least, ends)
             .select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
             .where("u <> v")
             .distinct()
@@ -37,6 +55,7 @@ def components(links: DataFrame) -> DataFrame:
         following = stored(small, "edges")
         if following.exceptAll(edges).isEmpty() and edges.exceptAll(following).isEmpty():
             break
+        discard(edges)
         edges = following
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)

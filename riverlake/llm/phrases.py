@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riverlake.llm.rows import BATCH_ROWS, small_batches, stored
+from riverlake.llm.rows import BATCH_ROWS, discard, small_batches, stored
 from riverlake.llm.words import STEP, located_words, mix, text_bytes
 
 LEAST = 10  # occurrences of a candidate
@@ -556,6 +556,8 @@ def mine(
         parts = bitmap_of(levels[k - 1], k - 1) if k > 2 else None
         listed = stored(list_candidates(seqs, k, parts, least), f"phrase-candidates-{k}")
         levels[k] = count_phrases(seqs, listed, k, least)
+        discard(listed)
+    discard(seqs)
     return words, levels
 
 

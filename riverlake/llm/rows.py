@@ -3,30 +3,55 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from riverlake.session import scratch_dir
+from riverlake.session import remove_dir, scratch_dir
 
 BATCH_ROWS = 500
 BATCH_BYTES = 8 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Writes in here drop their shuffle files when they end, as nothing runs them again."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """``df`` written once to the shared scratch folder and read back.
 
     Cuts the lineage: a lost executor costs a reread, never the work before.
     """
     path = scratch_dir(df.sparkSession, f"llm-{label}")
-    df.write.mode("overwrite").options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with _shuffles_freed(df.sparkSession):
+        df.write.mode("overwrite").options(**options).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table from ``stored`` that nothing reads any more; of others, none."""
+    if path := getattr(table, "scratch_path", None):
+        remove_dir(table.sparkSession, path)
 
 
 def small_batches(spark: SparkSession) -> None:
