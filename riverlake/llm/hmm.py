@@ -30,7 +30,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverlake.llm.rows import over_texts, stored
+from riverlake.llm.rows import discard, over_texts, stored
 from riverlake.llm.words import mix, word_hashes
 
 STATES = 8
@@ -232,10 +232,11 @@ def _rare_sums(
             ["id", "key", "rare_logs", "rare_known"],
         )
 
-    packed = over_texts(docs, id_col, text_col, schema, step)
+    # Partitions follow the data as the buckets do, so that a task holds as much at any size.
+    packed = over_texts(docs, id_col, text_col, schema, step).repartition(parts, "bucket")
     by_part = counts.select(
         F.expr(f"cast(shiftrightunsigned(word, 32) % {parts}L as int)").alias("bucket"), "word", "times"
-    )
+    ).repartition(parts, "bucket")
     return (
         packed.groupBy("bucket")
         .cogroup(by_part.groupBy("bucket"))
@@ -243,6 +244,7 @@ def _rare_sums(
             look_up,
             "bucket int, ids array<long>, keys array<long>, logs array<double>, known array<long>",
         )
+        .repartition(parts, "bucket")
         .groupBy("bucket")
         .applyInArrow(sum_up, "id long, key long, rare_logs double, rare_known long")
     )
@@ -468,6 +470,7 @@ def score_texts(
         " hidden double",
     )
     scored = stored(scored, "lm-hidden")
+    discard(sequences)
     equal = scored.groupBy("id", "key").agg(F.count("*").alias("rows"))
     each = sums_of_rare.join(equal, ["id", "key"]).select(
         "id",
