@@ -472,7 +472,7 @@ def count_phrases(seqs: DataFrame, candidates: DataFrame, k: int, least: int) ->
 
         packed = seqs.mapInArrow(step, _PACKED)
         sums = _folded(packed, schema, 1 << COUNT_BITS, np.int64, add, done)
-        counted = counted.union(stored(sums, f"phrases-{k}"))
+        counted = counted.union(stored(sums, f"phrases-{k}", free_shuffles=True))
         trie.destroy()
     return counted
 
@@ -546,7 +546,7 @@ def mine(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    words = stored(count_words(texts), "phrase-words")
+    words = stored(count_words(texts), "phrase-words", free_shuffles=True)
     frequent = words.where(F.col("n") >= least)
     levels = {1: frequent.select(F.col("h").alias("w1"), F.col("n").alias("f"))}
     # Plain longs: packed by a dictionary, the sequences would be too few bytes for many tasks.
@@ -554,7 +554,8 @@ def mine(
     seqs = stored(encode(texts, Bitmap(frequent, "h")), "phrase-seqs", **plain)
     for k in range(2, most_words + 1):
         parts = bitmap_of(levels[k - 1], k - 1) if k > 2 else None
-        listed = stored(list_candidates(seqs, k, parts, least), f"phrase-candidates-{k}")
+        candidates = list_candidates(seqs, k, parts, least)
+        listed = stored(candidates, f"phrase-candidates-{k}", free_shuffles=True)
         levels[k] = count_phrases(seqs, listed, k, least)
         discard(listed)
     discard(seqs)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +35,14 @@ def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(CLEANUP, before)
 
 
-def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
+def stored(df: DataFrame, label: str, free_shuffles: bool = False, **options: str) -> DataFrame:
     """``df`` written once to the shared scratch folder and read back.
 
-    Cuts the lineage: a lost executor costs a reread, never the work before.
+    Cuts the lineage: a lost executor costs a reread, never the work before. On request the
+    shuffle files of the write go when it ends, not when the driver next collects garbage.
     """
     path = scratch_dir(df.sparkSession, f"llm-{label}")
-    with _shuffles_freed(df.sparkSession):
+    with _shuffles_freed(df.sparkSession) if free_shuffles else nullcontext():
         df.write.mode("overwrite").options(**options).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.scratch_path = path
