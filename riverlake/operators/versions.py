@@ -25,7 +25,7 @@ from riverlake.operators.readings import ReadingFilter
 from riverlake.schemas import MANIFEST, STRICT_JSON
 from riverlake.session import scratch_dir
 from riverlake.sources import fs, lake
-from riverlake.sources.stores import Store, list_files, open_by_address, row_count
+from riverlake.sources.stores import Store, list_files, open_by_address, row_count, shared_out
 
 GENERATOR = "riverlake/0.1.0"
 MANIFEST_FILE = "manifest.json"
@@ -81,7 +81,7 @@ def file_facts(paths: DataFrame, folder: str, open_store: Store = open_by_addres
                 ["path", "sha256", "row_count"],
             )
 
-    names = paths.select("path").distinct().repartition("path")
+    names = paths.select("path").distinct().repartition(shared_out(paths.sparkSession), "path")
     return names.mapInArrow(step, "path string, sha256 string, row_count bigint")
 
 

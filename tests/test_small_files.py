@@ -1,0 +1,87 @@
+"""Small files written by tasks, against what Spark's own writer leaves."""
+
+import datetime as dt
+import re
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from riverlake.session import scratch_dir
+from riverlake.sources import lake
+from riverlake.sources.basins import read_basins, write_basins
+from riverlake.sources.small_files import TextFile, write_partitioned, write_texts
+from riverlake.sources.stores import list_files
+from tests.helpers import readings
+
+ODD = [("a", "1", "x"), ("a", "1", "y"), ("a", None, None), (None, "1", "é\n"), ("", "2", ""), ("b/ %[é", "=:", "z")]
+
+
+def folders(root):
+    """Partition folders and how many files each holds."""
+    names = [str(p.parent.relative_to(root)) for p in Path(root).rglob("part-*.txt")]
+    return {name: names.count(name) for name in names}
+
+
+def test_texts_are_as_spark_writes_them(spark):
+    rows = spark.createDataFrame(ODD, "k string, l string, value string").coalesce(1)
+    ours, theirs = scratch_dir(spark, "ours"), scratch_dir(spark, "theirs")
+    write_texts(rows, ours, ["k", "l"])
+    rows.write.mode("append").partitionBy("k", "l").text(theirs)
+    assert folders(ours) == folders(theirs)
+    held = [sorted(map(tuple, spark.read.schema("value string, k string, l string").text(p).collect()), key=repr) for p in (ours, theirs)]
+    assert held[0] == held[1]
+    assert not list(Path(ours).glob("_waiting*"))
+
+
+def test_lake_files_are_written_without_a_process_each(spark):
+    """Hadoop leaves a checksum beside each file that it creates, at the cost of a process each."""
+    root = scratch_dir(spark, "test-lake")
+    rows = [(f"s{i}", "p", f"{y}-02-01", 1.0) for i in range(20) for y in (2000, 2001)]
+    assert lake.append_readings(readings(spark, rows), root, "daily") == 40
+    names = [p.name for p in (Path(root) / "service=daily").rglob("*") if p.is_file() and "site_no=" in str(p)]
+    assert len(names) == 40 and all(re.fullmatch(r"part-.*\.zstd\.parquet", n) for n in names)
+
+
+def test_old_dates_and_nulls_come_back(spark):
+    root = scratch_dir(spark, "test-lake")
+    rows = [("s", "p", "1500-03-01", 1.0, "1500-03-01 10:00:00"), ("s", "p", "1500-03-02", 2.0, None), (None, "p", "2000-01-01", 3.0)]
+    lake.append_readings(readings(spark, rows), root, "daily")
+    back = {(r.site_no, r.datetime, r.value) for r in lake.read_service(spark, root, "daily").collect()}
+    assert back == {("s", dt.date(1500, 3, 1), 1.0), ("s", dt.date(1500, 3, 2), 2.0), (None, dt.date(2000, 1, 1), 3.0)}
+    assert lake.read_service(spark, root, "daily").filter("last_modified = '1500-03-01 10:00:00'").count() == 1
+
+
+def test_a_write_that_fails_adds_nothing(spark):
+    """Also not the files that its tasks had written by then."""
+    root = scratch_dir(spark, "failing")
+    rows = spark.createDataFrame([(str(i), "x") for i in range(50)], "k string, value string").coalesce(1)
+
+    class Failing(TextFile):
+        def write(self, piece):
+            if piece.column(0)[0].as_py() == "broken":
+                raise ValueError("broken")
+            super().write(piece)
+
+    assert write_partitioned(rows.sortWithinPartitions("k"), root, ["k"], ".txt", TextFile) == 50
+    broken = rows.withColumn("value", F.when(F.col("k") == "7", "broken").otherwise("x"))
+    with pytest.raises(Exception, match="broken"):
+        write_partitioned(broken.sortWithinPartitions("k"), root, ["k"], ".txt", Failing)
+    assert sum(folders(root).values()) == 50
+    assert not list(Path(root).glob("_waiting*"))
+
+
+def test_basins_are_replaced(spark):
+    path = scratch_dir(spark, "basins")
+    for sites in (["a", "b"], ["c/d"]):
+        write_basins(spark.createDataFrame([(s, "{}") for s in sites], "site_no string, document string"), path)
+        assert sorted(tuple(r) for r in read_basins(spark, path).collect()) == [(s, "{}") for s in sites]
+
+
+def test_names_are_shared_out_over_tasks(spark, tmp_path):
+    for i in range(64):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "f").write_text("x")
+    listed = list_files(spark, str(tmp_path))
+    assert listed.count() == 64
+    assert listed.select(F.spark_partition_id()).distinct().count() > 1
