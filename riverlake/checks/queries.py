@@ -17,6 +17,7 @@ from riverlake.plans.loading import load_landed
 from riverlake.schemas import CONTINUOUS, DAILY, PARTITION_COLUMNS
 from riverlake.session import configure, scratch_dir
 from riverlake.sources import fs, lake, metadata, pages
+from riverlake.sources.small_files import write_texts
 from riverlake.sources.stores import list_files
 from riverlake.streaming.ingest import start_ingest
 
@@ -185,7 +186,7 @@ def page_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each landed page leads, and which pages no first page leads to."""
     landed = adapters.looping_pages(spark, sf_dir)
     unreached = pages.unreached_pages(landed).withColumn("unreached", F.lit(True))
-    return pages.walk_chains(landed).join(unreached, "url", "left").fillna(False, ["unreached"])
+    return pages.walk_chains(landed).join(unreached.hint("merge"), "url", "left").fillna(False, ["unreached"])
 
 
 def _landing(spark: SparkSession, sf_dir: str) -> str:
@@ -384,8 +385,8 @@ def _document_files(spark: SparkSession, documents: DataFrame) -> str:
     """A folder with a file for each row of ``path, text``."""
     folder = scratch_dir(spark, "document-files")
     part = F.pmod(F.xxhash64("path"), F.lit(64))
-    placed = documents.select(part.alias("part"), F.col("path").alias("doc"), "text")
-    placed.write.partitionBy("part", "doc").text(folder)
+    doc = F.col("path").cast("string").alias("doc")
+    write_texts(documents.select(part.cast("string").alias("part"), doc, "text"), folder, ["part", "doc"])
     return folder
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverlake.functions.parsing import unescaped
+from riverlake.sources import fs
+from riverlake.sources.small_files import write_texts
 
 
 def read_basins(spark: SparkSession, path: str) -> DataFrame:
@@ -25,6 +27,5 @@ def read_basins(spark: SparkSession, path: str) -> DataFrame:
 
 def write_basins(basins: DataFrame, path: str) -> None:
     """Each document into the folder of its site."""
-    basins.select("site_no", F.col("document").alias("value")).write.mode("overwrite").partitionBy(
-        "site_no"
-    ).text(path)
+    fs.delete(basins.sparkSession, path)
+    write_texts(basins.select("site_no", F.col("document").alias("value")), path, ["site_no"])
