@@ -99,7 +99,7 @@ def walk_chains(pages: DataFrame, url: Column | None = None) -> DataFrame:
     known = linked.where("url is not null").groupBy("url").agg(F.min("next_url").alias("next_url"))
     known = _kept(known, "pages")
     landed = known.select(F.col("url").alias("next_url"), F.lit(True).alias("has_landed"))
-    pointed = known.join(landed, "next_url", "left")
+    pointed = known.join(_dealt(landed), "next_url", "left")
     goes_on = F.col("has_landed").isNotNull()
     ended = _kept(
         pointed.where(~goes_on).select(
@@ -118,14 +118,14 @@ def walk_chains(pages: DataFrame, url: Column | None = None) -> DataFrame:
             F.col("url").alias("at"), "last_url", F.col("steps").alias("more"), "missing_url"
         )
         fresh = _kept(
-            waiting.join(ends, "at").select(
+            waiting.join(_dealt(ends), "at").select(
                 "url", "last_url", (F.col("steps") + F.col("more")).alias("steps"), "missing_url"
             ),
             "chain-ends",
         )
         ahead = waiting.select(F.col("url").alias("at"), F.col("at").alias("further"), F.col("steps").alias("more"))
         waiting = _kept(
-            waiting.join(fresh, "url", "left_anti").join(ahead, "at").select(
+            waiting.join(_dealt(fresh), "url", "left_anti").join(_dealt(ahead), "at").select(
                 "url", F.col("further").alias("at"), (F.col("steps") + F.col("more")).alias("steps")
             ),
             "chain-pointers",
@@ -151,14 +151,14 @@ def unreached_pages(pages: DataFrame, url: Column | None = None) -> DataFrame:
     linked = pages.select(own.alias("url"), link(F.col("links"), "next").alias("next_url"))
     known = linked.where("url is not null").groupBy("url").agg(F.min("next_url").alias("next_url"))
     looping = walk_chains(pages, url).where("loops").select("url")
-    inside = _kept(known.join(looping, "url"), "loop-pages")
+    inside = _kept(known.join(_dealt(looping), "url"), "loop-pages")
     # The least address within 2^k steps ahead; around a loop all pages come to the same one.
     state = _kept(inside.select("url", F.col("next_url").alias("at"), F.col("url").alias("least")), "loops")
     reach, size = 1, state.count()
     while reach < size:
         ahead = state.select(F.col("url").alias("at"), F.col("at").alias("further"), F.col("least").alias("other"))
         state = _kept(
-            state.join(ahead, "at").select(
+            state.join(_dealt(ahead), "at").select(
                 "url", F.col("further").alias("at"), F.least("least", "other").alias("least")
             ),
             "loops",
@@ -166,9 +166,15 @@ def unreached_pages(pages: DataFrame, url: Column | None = None) -> DataFrame:
         reach *= 2
     # As many steps ahead every page is on its loop, and each page of a loop is where some page gets.
     around = state.select(F.col("at").alias("url")).distinct()
-    loop_of = state.join(state.select(F.col("url").alias("at"), F.col("least").alias("loop")), "at")
-    entered = loop_of.join(around, "url", "left_anti").select("loop").distinct()
-    return loop_of.join(around, "url", "left_semi").join(entered, "loop", "left_anti").select("url")
+    loops = state.select(F.col("url").alias("at"), F.col("least").alias("loop"))
+    loop_of = state.join(_dealt(loops), "at")
+    entered = loop_of.join(_dealt(around), "url", "left_anti").select("loop").distinct()
+    return loop_of.join(_dealt(around), "url", "left_semi").join(_dealt(entered), "loop", "left_anti").select("url")
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """To be joined by dealing out both sides: a broadcast in each round adds up in the driver."""
+    return df.hint("merge")
 
 
 def _kept(df: DataFrame, label: str) -> DataFrame:
