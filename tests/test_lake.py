@@ -158,6 +158,25 @@ def test_latest_dates_open_the_footers_of_the_newest_year_only(spark):
     assert [str(x.max_date) for x in lake.latest_dates(spark, root, "daily").collect()] == ["2024-02-02"]
 
 
+def test_latest_dates_take_no_call_to_the_jvm_for_each_site(spark, monkeypatch):
+    from py4j.java_gateway import GatewayClient
+
+    root, calls, send = scratch_dir(spark, "test-lake"), [], GatewayClient.send_command
+
+    def calls_for(n):
+        rows = [(f"s{n}-{i}", "p", "2024-02-01", 1.0) for i in range(n)]
+        lake.append_readings(readings(spark, rows), f"{root}/{n}", "daily")
+        with monkeypatch.context() as patched:
+            patched.setattr(GatewayClient, "send_command", lambda *a, **k: calls.append(1) or send(*a, **k))
+            found = lake.latest_dates(spark, f"{root}/{n}", "daily")
+        made = len(calls)
+        calls.clear()
+        assert {x.site_no for x in found.collect()} == {f"s{n}-{i}" for i in range(n)}
+        return made
+
+    assert calls_for(60) < calls_for(2) + 30
+
+
 def test_latest_dates_need_statistics(spark):
     root = scratch_dir(spark, "test-lake")
     folder = f"{root}/service=daily/site_no=a/param_cd=p/year=2024"
