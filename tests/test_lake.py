@@ -177,6 +177,23 @@ def test_latest_dates_take_no_call_to_the_jvm_for_each_site(spark, monkeypatch):
     assert calls_for(60) < calls_for(2) + 30
 
 
+def test_a_lake_is_not_listed_in_a_task_for_each_site(spark):
+    root = scratch_dir(spark, "test-lake")
+    rows = [(f"s{i}", "p", "2024-02-01", 1.0) for i in range(60)]
+    lake.append_readings(readings(spark, rows), root, "daily")
+    before = spark.conf.get(lake._LISTING)
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    sc.setJobGroup("listing", "listing")
+    try:
+        table = lake.read_service(spark, root, "daily")
+    finally:
+        sc._jsc.clearJobGroup()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("listing")]
+    stages = [tracker.getStageInfo(s) for job in jobs for s in job.stageIds]
+    assert stages and max(s.numTasks for s in stages) <= 8
+    assert table.count() == 60 and spark.conf.get(lake._LISTING) == before
+
+
 def test_latest_dates_need_statistics(spark):
     root = scratch_dir(spark, "test-lake")
     folder = f"{root}/service=daily/site_no=a/param_cd=p/year=2024"
