@@ -21,6 +21,8 @@ import heapq
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,8 @@ from riverlake.llm.rows import small_batches, spare
 
 PASS_ROWS = 100  # whose results are held at a time
 LEAF_BYTES = 48  # encoded directly; a longer piece is halved
-CACHE_BYTES = 32 << 20  # the cache of pieces is emptied at about this size
-ENTRY_BYTES = 260  # of an entry, besides its ids and characters
+CACHE_BYTES = 64 << 20  # of the cache of pieces, about
+ENTRY_BYTES = 110  # of an entry, besides its ids and characters
 CACHED_CHARS = 64
 BLOCK_CHARS = 1 << 18  # of a text that are handled at a time
 NO_RANK = 1 << 40
@@ -125,40 +127,58 @@ def encode_piece(ranks: dict[bytes, int], piece: bytes) -> list[bytes]:
     return join(ranks, encode_piece(ranks, piece[:half]), encode_piece(ranks, piece[half:]))
 
 
+class Cache(dict):
+    """Ids of pieces as bytes, made when first asked for, in about ``CACHE_BYTES``.
+
+    When half of that is full it becomes the older half, from which what is asked for again
+    comes back; the rest goes with the next change. So frequent pieces stay.
+    """
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.older, self.room = make, {}, CACHE_BYTES // 2
+
+    def __missing__(self, piece: str) -> bytes:
+        if (ids := self.older.get(piece)) is None:
+            ids = self.make(piece)
+        if len(piece) <= CACHED_CHARS:
+            self.room -= ENTRY_BYTES + getsizeof(piece) + getsizeof(ids)
+            if self.room < 0:
+                self.older, self.room = dict(self), CACHE_BYTES // 2
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts. Short pieces are cached; a long text is handled in blocks."""
 
     def __init__(self, ranks_path: str, pattern: str):
         self.ranks = load_ranks(ranks_path)
         self.split = regex.compile(pattern).findall
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.room = CACHE_BYTES
+        self.cache = Cache(self.piece_ids)
 
-    def piece_ids(self, match: str) -> tuple[int, ...]:
+    def piece_ids(self, match: str) -> bytes:
         piece = match.encode("utf-8")
         if (rank := self.ranks.get(piece)) is not None:
-            ids: tuple[int, ...] = (rank,)  # a piece in the vocabulary is a token as it is
+            ids = [rank]  # a piece in the vocabulary is a token as it is
         else:
-            ids = tuple([self.ranks[part] for part in encode_piece(self.ranks, piece)])
-        if len(match) <= CACHED_CHARS:
-            self.room -= ENTRY_BYTES + 4 * len(match) + 36 * len(ids)
-            if self.room < 0:
-                self.cache.clear()
-                self.room = CACHE_BYTES
-            self.cache[match] = ids
-        return ids
+            ids = [self.ranks[part] for part in encode_piece(self.ranks, piece)]
+        return array("i", ids).tobytes()
 
     def encode(self, text: str) -> array:
-        get, compute = self.cache.get, self.piece_ids
         ids = array("i")
         for block in blocks(text):
-            found: list[int] = []
-            for piece in self.split(block):
-                found += get(piece) or compute(piece)
-            ids.extend(found)
+            ids.frombytes(b"".join(map(self.cache.__getitem__, self.split(block))))
         return ids
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(ranks_path: str, pattern: str) -> Encoder:
+    """One encoder for all tasks that a worker runs, which go on with what the last ones cached."""
+    return Encoder(ranks_path, pattern)
+
+
 class Decoder:
     """The bytes of ids: tokens by their rank."""
 
@@ -219,7 +239,7 @@ def encode_texts(
         outs.append(StructField(decoded_col, BinaryType()))
 
     def work() -> Callable[[pa.Scalar], tuple]:
-        encoder = Encoder(ranks_path, pattern)
+        encoder = worker_encoder(ranks_path, pattern)
         decode = Decoder(encoder.ranks).decode
 
         def make(value: pa.Scalar) -> tuple:

@@ -71,6 +71,16 @@ def test_cache_is_emptied_by_bytes(monkeypatch, library):
     assert len(encoder.cache) < 10
 
 
+def test_a_frequent_piece_stays_in_the_cache(monkeypatch, library):
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 20_000)
+    made, encode = [], byte_bpe.encode_piece
+    monkeypatch.setattr(byte_bpe, "encode_piece", lambda ranks, p: made.append(p) or encode(ranks, p))
+    encoder = Encoder(PATH, public_tokenizers.PATTERN)
+    text = " ".join(f"zqoften qzx{'abcdefghij'[i % 10] * (i // 10 + 1)}" for i in range(600))
+    assert list(encoder.encode(text)) == library.encode_ordinary(text)
+    assert made.count(b" zqoften") == 1 and len(made) > 500
+
+
 def test_empty_table(spark):
     encoded = encode_texts(docs(spark, []), PATH, public_tokenizers.PATTERN)
     assert decode_tokens(encoded, PATH).collect() == []
