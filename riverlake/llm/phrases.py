@@ -2,18 +2,23 @@
 
 Counting goes up level by level. Words are counted first. A phrase of ``k`` words is a candidate
 if both of its parts of ``k - 1`` words are frequent (its own count cannot exceed theirs), the
-bucket of its hash may hold enough phrases, and its hash is then seen often enough, each task's
-share cut off at ``LEAST``. All these tests only let through too many, never too few. The candidates are cut into blocks of about
+bucket of its hash holds enough phrases, each task's share cut off at ``LEAST``. All these tests
+only let through too many, never too few. Candidates are listed from the texts in ``ROUNDS``, first
+from few texts, then from many, where only those not yet listed are; so what is listed grows with
+the candidates, not with the tasks that meet them. The candidates are cut into blocks of about
 ``TRIE_PHRASES``, and each block becomes a double-array trie that is sent to all tasks: one array
 says where the children of a state begin, a second which state a slot belongs to. A task steps
 the states of all places of its texts together, one level at a time, in numpy, counts the
 accepting states with ``bincount``, and the counts of all tasks are added up.
 
 What is sent out has a bound: a trie of a block, or a bitmap of ``BITS`` bits of frequent phrases
-(which may hold others that share a bit), and one of as many bits of safe buckets. Words are 64-bit hashes of word and language. Texts are
+(which may hold others that share a bit), one of ``2 ** SAFE_BITS`` bits of safe buckets, and the
+hashes of at most ``KNOWN`` listed phrases. Words are 64-bit hashes of word and language. Texts are
 hashed twice, once for the words and once, with the rare words left out, into a stored table that
 all later passes read. A level takes two passes,
-and one more per block.
+and one more per block. Scores are found level by level: a phrase takes the counts of its parts
+from its first and its last ``k - 1`` words. The words themselves are looked up for the first phrases
+of each language and those that tie with the last of them.
 
 Defined results: a null text is empty and a null language is ``und``, together with texts of
 that language. Repeated rows count each time. Ties of score and count go by phrase, in byte
@@ -25,10 +30,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +56,8 @@ HOLD_BUCKETS = 1 << 21  # buckets that are held at a time
 CHUNK = 4096  # bases that are tried together
 HOLD_BYTES = 2 << 20  # of texts whose words are counted at a time
 HOLD_PHRASES = 1 << 18  # of places whose phrases are listed at a time
+SHARES, ROUNDS = 64, (1, 8, 64)  # of the texts: where the rounds of listing end
+KNOWN = 1 << 21  # hashes of listed phrases that tasks are sent, or hold of their own
 
 _APART = np.zeros(256, bool)
 _APART[[*b" \t.,;:!?\n\x0b\x0c\r"]] = True
@@ -155,7 +164,10 @@ class Bitmap:
 
 
 def encode(texts: DataFrame, frequent: Bitmap) -> DataFrame:
-    """(seq): hashed words in order, 0 where a piece ends or words are rare."""
+    """(seq, share): hashed words in order, 0 where a piece ends or words are rare.
+
+    ``share`` deals the rows out to ``SHARES`` by what is in them.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,9 +178,12 @@ def encode(texts: DataFrame, frequent: Bitmap) -> DataFrame:
             seq = np.where(shared.value.holds(words.hashes), words.hashes, np.uint64(0))
             seq = np.insert(seq, np.flatnonzero(words.fresh), np.uint64(0))
             seq = seq[np.append(True, (seq[1:] != 0) | (seq[:-1] != 0))]
-            yield pa.RecordBatch.from_arrays([pa.array([seq.view(np.int64)])], ["seq"])
+            share = int(xxhash.xxh64_intdigest(seq.tobytes()) % SHARES)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([seq.view(np.int64)]), pa.array([share], pa.int32())], ["seq", "share"]
+            )
 
-    return texts.mapInArrow(step, "seq array<long>")
+    return texts.mapInArrow(step, "seq array<long>, share int")
 
 
 # -- candidates -----------------------------------------------------------------------------
@@ -200,7 +215,7 @@ def _folded(
     add: Callable[[np.ndarray, np.ndarray, np.ndarray], None],
     done: Callable[[int, np.ndarray], pa.RecordBatch],
 ) -> DataFrame:
-    """Counters of each part, added up from packed rows ``part, places, numbers`` as they stream by.
+    """Counters of each part, added up from rows as by ``_packed`` as they stream by.
 
     A task holds the ``size`` counters of one part at a time.
     """
@@ -209,35 +224,55 @@ def _folded(
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, counters = None, None
         for batch in batches:
-            for part, places, numbers in zip(*[c.to_pylist() for c in batch.columns]):
+            for part, n, steps, numbers in zip(*[c.to_pylist() for c in batch.columns]):
                 if part != current:
                     if counters is not None:
                         yield done(current, counters)
                     current, counters = part, np.zeros(size, kind)
-                add(counters, np.frombuffer(places, np.int32), np.frombuffer(numbers, kind))
+                places = np.cumsum(np.frombuffer(steps, f"u{len(steps) // n}"), dtype=np.int64)
+                add(counters, places, np.frombuffer(numbers, f"u{len(numbers) // n}").astype(kind))
         if counters is not None:
             yield done(current, counters)
 
     return ordered.mapInArrow(step, schema)
 
 
+def _steps(places: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising places as steps of two bytes, long ones cut at places of number 0; of four if many."""
+    steps = np.diff(places, prepend=0)
+    cuts = np.maximum(steps - 1, 0) // 0xFFFF
+    if 2 * cuts.sum() > len(steps):
+        return steps.astype(np.uint32), numbers
+    ends = np.cumsum(cuts + 1) - 1
+    short = np.full(ends[-1] + 1, 0xFFFF, np.uint16)
+    short[ends] = steps - cuts * 0xFFFF
+    all_numbers = np.zeros(len(short), numbers.dtype)
+    all_numbers[ends] = numbers
+    return short, all_numbers
+
+
 def _packed(places: np.ndarray, numbers: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Rising places and their numbers as one row for each part of ``2 ** bits`` places."""
-    parts = places >> bits
-    heads = np.flatnonzero(np.append(True, parts[1:] != parts[:-1]))
-    ends = np.append(heads[1:], len(places))
-    low = (places & ((1 << bits) - 1)).astype(np.int32)
+    """Rising places and their numbers as a row for each part of ``2 ** bits`` places.
+
+    Numbers take a byte; those that need more have a second row.
+    """
+    rows: list[tuple[int, int, bytes, bytes]] = []
+    for some, kind in ((numbers < 256, np.uint8), (numbers >= 256, np.uint64)):
+        at, counts = places[some], numbers[some].astype(kind)
+        if not len(at):
+            continue
+        parts = at >> bits
+        heads = np.flatnonzero(np.append(True, parts[1:] != parts[:-1]))
+        for a, b in zip(heads.tolist(), np.append(heads[1:], len(at)).tolist()):
+            steps, own = _steps(at[a:b] & ((1 << bits) - 1), counts[a:b])
+            rows.append((int(parts[a]), len(steps), steps.tobytes(), own.tobytes()))
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(parts[heads].astype(np.int32)),
-            pa.array([low[a:b].tobytes() for a, b in zip(heads, ends)], pa.binary()),
-            pa.array([numbers[a:b].tobytes() for a, b in zip(heads, ends)], pa.binary()),
-        ],
-        ["part", "places", "numbers"],
+        [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], ["part", "n", "steps", "numbers"]
     )
 
 
-_PACKED = "part int, places binary, numbers binary"
+_PACKED = "part int, n int, steps binary, numbers binary"
 
 
 class Places:
@@ -261,7 +296,7 @@ class Safe:
     """Buckets of phrase hashes that may hold a frequent one, by the hashes' leading bits."""
 
     def __init__(self, seqs: DataFrame, places: Places, least: int):
-        """Counts 2**32 buckets, each task's share cut off at ``least``, and keeps 2**26 bits."""
+        """Counts 2**32 buckets, each task's share cut off at ``least``, and keeps ``SAFE_BITS``."""
         shared = seqs.sparkSession.sparkContext.broadcast(places)
         bits = BUCKET_BITS - PART_BITS
 
@@ -287,60 +322,118 @@ class Safe:
             counters[at] = np.minimum(counters[at] + some, least)
 
         def done(part: int, counters: np.ndarray) -> pa.RecordBatch:
-            ready = (counters >= least).reshape(-1, 1 << (BUCKET_BITS - SAFE_BITS)).any(axis=1)
-            held = np.packbits(ready, bitorder="little").tobytes()
+            ready = counters >= least
+            some = ready.reshape(-1, 1 << (BUCKET_BITS - SAFE_BITS)).any(axis=1)
+            held = np.packbits(some, bitorder="little").tobytes()
+            buckets = np.flatnonzero(ready).astype(np.uint32).tobytes()
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([held], pa.binary())], ["part", "held"]
+                [pa.array([part], pa.int32()), *[pa.array([x], pa.binary()) for x in (held, buckets)]],
+                ["part", "held", "buckets"],
             )
 
-        rows = _folded(
-            seqs.mapInArrow(step, _PACKED), "part int, held binary", 1 << bits, np.uint8, add, done
-        )
+        def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, buckets in zip(*[c.to_pylist() for c in batch.columns]):
+                    own = np.frombuffer(buckets, np.uint32) + np.int64(part << bits)
+                    yield pa.RecordBatch.from_arrays([pa.array(own)], ["bucket"])
+
+        schema = "part int, held binary, buckets binary"
+        sums = _folded(seqs.select("seq").mapInArrow(step, _PACKED), schema, 1 << bits, np.uint8, add, done)
+        self.table = stored(sums, "phrase-buckets", free_shuffles=True)
+        self.buckets = self.table.select("part", "buckets").mapInArrow(said, "bucket long")
         size = (1 << (SAFE_BITS - PART_BITS)) // 8
         self.bytes = np.zeros((1 << SAFE_BITS) // 8, np.uint8)
-        for row in rows.toLocalIterator():  # of 2**SAFE_BITS bits in all
+        for row in self.table.select("part", "held").toLocalIterator():  # of 2**SAFE_BITS bits in all
             self.bytes[row.part * size : (row.part + 1) * size] = np.frombuffer(row.held, np.uint8)
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         place = (hashes >> np.uint64(64 - SAFE_BITS)).astype(np.int64)
         return (self.bytes[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
 
+    def __getstate__(self) -> dict:
+        return {"bytes": self.bytes}  # tasks have no use for the tables
 
-def list_candidates(seqs: DataFrame, k: int, parts: Bitmap | None, least: int) -> DataFrame:
-    """(w1, ..): phrases of ``k`` words that may occur ``least`` times, from what is in the texts.
 
-    ``parts``: frequent phrases of a word less, None where those are words. Buckets of hashes are
-    counted first; only phrases of safe buckets are listed, and their hashes counted once more.
-    """
-    places = Places(k, parts)
-    shared = seqs.sparkSession.sparkContext.broadcast((places, Safe(seqs, places, least)))
+def _among(rising: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    if not len(rising):
+        return np.zeros(len(hashes), bool)
+    return rising[np.minimum(np.searchsorted(rising, hashes), len(rising) - 1)] == hashes
+
+
+def hashes_of(phrases: DataFrame, k: int) -> DataFrame:
+    """(h): the hashes of phrases of ``k`` words."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i).to_numpy().view(np.uint64) for i in range(k)]
+            hashed = phrase_hash(columns).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hashed)], ["h"])
 
-    def listed(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        columns = [np.concatenate(c) for c in zip(*held)]
-        _, first, times = np.unique(phrase_hash(columns), return_index=True, return_counts=True)
-        arrays = [pa.array(c[first].view(np.int64)) for c in columns]
-        some = pa.array(np.minimum(times, least).astype(np.int32))
-        return pa.RecordBatch.from_arrays([*arrays, some], [*names(k), "some"])
+    return phrases.select(*names(k)).mapInArrow(step, "h long")
+
+
+def unlisted(seqs: DataFrame, k: int, shared: Broadcast, earlier: Broadcast) -> DataFrame:
+    """(w1, .., bucket): what each task lists, every phrase once and none of the ``earlier`` hashes."""
+    schema = ", ".join(f"{w} long" for w in names(k)) + ", bucket long"
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given, safe = shared.value
+        own = np.zeros(0, np.uint64)
         held: list[list[np.ndarray]] = []
+
+        def listed() -> Iterator[pa.RecordBatch]:
+            nonlocal own
+            columns = [np.concatenate(c) for c in zip(*held)]
+            held.clear()
+            hashes, first = np.unique(phrase_hash(columns), return_index=True)
+            fresh = ~_among(earlier.value, hashes) & ~_among(own, hashes)
+            hashes, first = hashes[fresh], first[fresh]
+            if len(first):
+                own = np.sort(np.append(own[: max(0, KNOWN - len(hashes))], hashes), kind="stable")
+                arrays = [pa.array(c[first].view(np.int64)) for c in columns]
+                buckets = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(buckets)], [*names(k), "bucket"])
+
         for seq in _sequences(batches):
             columns = given.phrases(seq)
             ready = safe.holds(phrase_hash(columns))
             if ready.any():
                 held.append([c[ready] for c in columns])
             if sum(len(h[0]) for h in held) >= HOLD_PHRASES:
-                yield listed(held)
-                held = []
+                yield from listed()
         if held:
-            yield listed(held)
+            yield from listed()
+
+    return seqs.mapInArrow(step, schema)
+
 
-    schema = ", ".join(f"{w} long" for w in names(k)) + ", some int"
-    return (
-        seqs.mapInArrow(step, schema).groupBy(*names(k)).agg(F.sum("some").alias("some"))
-        .where(F.col("some") >= least).drop("some")
-    )
+def list_candidates(seqs: DataFrame, k: int, parts: Bitmap | None, least: int) -> list[DataFrame]:
+    """(w1, ..) for each round: phrases of ``k`` words that may occur ``least`` times in the texts.
+
+    ``parts``: frequent phrases of a word less, None where those are words. Buckets of hashes are
+    counted first; only phrases of safe buckets are listed. A round leaves out what earlier ones
+    listed, as far as ``KNOWN`` hashes tell its tasks; the rest of that is dropped afterwards.
+    """
+    context = seqs.sparkSession.sparkContext
+    safe = Safe(seqs, places := Places(k, parts), least)
+    shared = context.broadcast((places, safe))
+    known, begin, tables = np.zeros(0, np.uint64), 0, []
+    for end in ROUNDS:
+        some = seqs.where((F.col("share") >= begin) & (F.col("share") < end)).select("seq")
+        earlier = context.broadcast(known)
+        rows = unlisted(some, k, shared, earlier).join(safe.buckets, "bucket", "left_semi")
+        rows = rows.dropDuplicates(["bucket", *names(k)]).drop("bucket")
+        if len(known) >= KNOWN:  # some may not have been sent out
+            for table in tables:
+                rows = rows.join(table, names(k), "left_anti")
+        tables.append(stored(rows, f"phrase-candidates-{k}", free_shuffles=True))
+        earlier.destroy()
+        begin = end
+        if end < SHARES and len(known) < KNOWN:
+            found = hashes_of(tables[-1], k).limit(KNOWN - len(known)).toArrow()
+            known = np.sort(np.append(known, found.column(0).to_numpy().view(np.uint64)))
+    discard(safe.table)
+    return tables
 
 
 # -- counting by tries ----------------------------------------------------------------------
@@ -470,7 +563,7 @@ def count_phrases(seqs: DataFrame, candidates: DataFrame, k: int, least: int) ->
             said = [pa.array(c[often + (part << COUNT_BITS)].view(np.int64)) for c in trie.value[1]]
             return pa.RecordBatch.from_arrays([*said, pa.array(counters[often])], [*names(k), "f"])
 
-        packed = seqs.mapInArrow(step, _PACKED)
+        packed = seqs.select("seq").mapInArrow(step, _PACKED)
         sums = _folded(packed, schema, 1 << COUNT_BITS, np.int64, add, done)
         counted = counted.union(stored(sums, f"phrases-{k}", free_shuffles=True))
         trie.destroy()
@@ -479,14 +572,7 @@ def count_phrases(seqs: DataFrame, candidates: DataFrame, k: int, least: int) ->
 
 def bitmap_of(phrases: DataFrame, k: int) -> Bitmap:
     """The frequent phrases of ``k`` words, as a set for the next level's filter."""
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(i).to_numpy().view(np.uint64) for i in range(k)]
-            hashed = phrase_hash(columns).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hashed)], ["h"])
-
-    return Bitmap(phrases.select(*names(k)).mapInArrow(step, "h long"), "h")
+    return Bitmap(hashes_of(phrases, k), "h")
 
 
 # -- scores ---------------------------------------------------------------------------------
@@ -496,41 +582,43 @@ def _exact(count: Column) -> Column:
     return count.cast("decimal(19,0)")
 
 
-def _scored(levels: dict[int, DataFrame], k: int) -> DataFrame:
+def _with_parts(phrases: DataFrame, shorter: DataFrame, k: int) -> DataFrame:
+    """Phrases of ``k`` words with their lang, and counts l1, r1, .. of the parts of every cut.
+
+    ``shorter``: the same of all frequent phrases of a word less.
+    """
+    own, less = names(k), names(k - 1)
+    heads = [F.col(f"l{cut}") for cut in range(1, k - 1)] + [F.col("f").alias(f"l{k - 1}")]
+    tails = [F.col("f").alias("r1")] + [F.col(f"r{cut}").alias(f"r{cut + 1}") for cut in range(1, k - 1)]
+    head = shorter.select(*less, "lang", *heads)
+    tail = shorter.select(*[F.col(x).alias(y) for x, y in zip(less, own[1:])], *tails)
+    return phrases.join(head, own[:-1]).join(tail, own[1:])
+
+
+def _scored(rows: DataFrame, k: int) -> DataFrame:
     """Phrases of ``k`` words with ``a`` and the l, r and score of their weakest cut."""
-    rows = levels[k].withColumnRenamed("f", "a")
-    own = names(k)
-    for cut in range(1, k):
-        for side, words in (("l", own[:cut]), ("r", own[cut:])):
-            part = levels[len(words)]
-            part = part.select(
-                *[F.col(x).alias(y) for x, y in zip(names(len(words)), words)],
-                F.col("f").alias(f"{side}{cut}"),
-            )
-            rows = rows.join(part, words)
-    square = _exact(F.col("a")) * _exact(F.col("a")) * F.lit(SCALE)
+    square = _exact(F.col("f")) * _exact(F.col("f")) * F.lit(SCALE)
     options = []
     for cut in range(1, k):
         product = _exact(F.col(f"l{cut}")) * _exact(F.col(f"r{cut}"))
         score = F.call_function("div", square, product)
         options.append(F.struct(score.alias("score"), F.lit(cut).alias("cut"), F.col(f"l{cut}").alias("l"), F.col(f"r{cut}").alias("r")))
-    weakest = F.array_min(F.array(*options))
-    return rows.select(*own, "a", weakest.alias("m")).select(*own, "a", "m.l", "m.r", "m.score")
-
-
-def _free_standing(rows: DataFrame, levels: dict[int, DataFrame], k: int, percent: int) -> DataFrame:
-    """Without the phrases that mostly occur within a longer candidate."""
-    inner = None
-    for longer in range(k + 1, max(levels) + 1):
-        for start in range(longer - k + 1):
-            words = names(longer)[start : start + k]
-            part = levels[longer].select(*[F.col(x).alias(y) for x, y in zip(words, names(k))], "f")
-            inner = part if inner is None else inner.union(part)
-    if inner is None:
+    rows = rows.withColumn("m", F.array_min(F.array(*options)))
+    return rows.select("lang", *names(k), F.col("f").alias("a"), "m.l", "m.r", "m.score")
+
+
+def _free_standing(rows: DataFrame, longer: DataFrame | None, k: int, percent: int) -> DataFrame:
+    """Without the phrases that mostly occur within a longer candidate.
+
+    ``longer``: those of one word more, which hold all others and occur at least as often.
+    """
+    if longer is None:
         return rows
-    most = inner.groupBy(*names(k)).agg(F.max("f").alias("most"))
-    held = F.coalesce(F.col("most") * 100 >= F.col("a") * percent, F.lit(False))
-    return rows.join(most, names(k), "left").where(~held).drop("most")
+    own, more = names(k), names(k + 1)
+    inner = [longer.select(*[F.col(x).alias(y) for x, y in zip(w, own)], "f") for w in (more[:-1], more[1:])]
+    most = inner[0].union(inner[1]).groupBy(*own).agg(F.max("f").alias("most"))
+    held = F.coalesce(F.col("most") * 100 >= F.col("f") * percent, F.lit(False))
+    return rows.join(most, own, "left").where(~held).drop("most")
 
 
 def mine(
@@ -540,7 +628,7 @@ def mine(
     least: int = LEAST,
     most_words: int = MOST_WORDS,
 ) -> tuple[DataFrame, dict[int, DataFrame]]:
-    """All words (h, lang, word, n), and by length the frequent phrases (w1, .., f)."""
+    """All words (h, lang, word, n), and by length the frequent phrases (w1, .., f), 1 with lang."""
     small_batches(docs.sparkSession)
     texts = docs.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
@@ -548,16 +636,16 @@ def mine(
     )
     words = stored(count_words(texts), "phrase-words", free_shuffles=True)
     frequent = words.where(F.col("n") >= least)
-    levels = {1: frequent.select(F.col("h").alias("w1"), F.col("n").alias("f"))}
-    # Plain longs: packed by a dictionary, the sequences would be too few bytes for many tasks.
-    plain = {"compression": "none", "parquet.enable.dictionary": "false"}
-    seqs = stored(encode(texts, Bitmap(frequent, "h")), "phrase-seqs", **plain)
+    levels = {1: frequent.select(F.col("h").alias("w1"), "lang", F.col("n").alias("f"))}
+    # The words of a task's file fit in a dictionary: some two bytes a word, where plain longs are eight.
+    packed = {"compression": "zstd", "parquet.dictionary.page.size": str(4 << 20)}
+    seqs = stored(encode(texts, Bitmap(frequent, "h")), "phrase-seqs", **packed)
     for k in range(2, most_words + 1):
         parts = bitmap_of(levels[k - 1], k - 1) if k > 2 else None
-        candidates = list_candidates(seqs, k, parts, least)
-        listed = stored(candidates, f"phrase-candidates-{k}", free_shuffles=True)
-        levels[k] = count_phrases(seqs, listed, k, least)
-        discard(listed)
+        listed = list_candidates(seqs, k, parts, least)
+        levels[k] = count_phrases(seqs, reduce(DataFrame.union, listed), k, least)
+        for table in listed:
+            discard(table)
     discard(seqs)
     return words, levels
 
@@ -577,18 +665,21 @@ def collocations(
     ``SCALE * a * a / (l * r)``, and ``n`` all words of the language.
     """
     words, levels = mine(docs, text_col, lang_col, least, most_words)
-    said = words.where(F.col("n") >= least).select("h", "lang", "word")
-    found = None
+    found, rows = [], levels[1]
     for k in range(2, most_words + 1):
-        rows = _free_standing(_scored(levels, k), levels, k, inside_percent)
-        for w in names(k):
-            column = said.select(F.col("h").alias(w), "lang", F.col("word").alias(f"{w}_word"))
-            rows = rows.join(column if w == "w1" else column.drop("lang"), w)
-        phrase = F.concat_ws(" ", *[f"{w}_word" for w in names(k)])
-        rows = rows.select("lang", phrase.alias("phrase"), "a", "l", "r", "score")
-        found = rows if found is None else found.union(rows)
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= first)
+        rows = stored(_with_parts(levels[k], rows, k), f"phrase-parts-{k}", free_shuffles=True)
+        free = _scored(_free_standing(rows, levels.get(k + 1), k, inside_percent), k)
+        said = F.array(*names(k)).alias("words")
+        found.append(free.select("lang", said, "a", "l", "r", "score"))
+    order = [F.desc("score"), F.desc("a")]
+    best = Window.partitionBy("lang").orderBy(*order)
+    near = reduce(DataFrame.union, found).withColumn("rank", F.rank().over(best)).where(F.col("rank") <= first)
+    near = stored(near.drop("rank"), "phrase-first", free_shuffles=True)
+    spoken = near.select("words", F.posexplode("words").alias("at", "h")).join(words.select("h", "word"), "h")
+    spoken = spoken.groupBy("words").agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("said"))
+    phrases = near.join(spoken.select("words", F.concat_ws(" ", "said.word").alias("phrase")), "words")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase"))
+    ranked = phrases.withColumn("rank", place).where(F.col("rank") <= first)
     sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
     return ranked.join(sizes, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"

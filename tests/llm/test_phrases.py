@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -116,3 +117,61 @@ def test_bitmap_holds_what_it_was_given(spark, monkeypatch, bits):
     assert held.holds(values.view(np.uint64)).all()
     others = np.random.default_rng(2).integers(0, 2**63, 10_000).astype(np.uint64)
     assert held.holds(others).mean() < 0.02
+
+
+def test_listed_phrases_grow_with_candidates_not_with_tasks(spark, monkeypatch):
+    """Rows that tasks send: each of 64 meets every phrase, which most need not list."""
+    sent = []
+
+    def spy(seqs, k, shared, earlier, real=phrases.unlisted):
+        rows = real(seqs, k, shared, earlier)
+        sent.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(phrases, "unlisted", spy)
+    words = np.random.default_rng(8).integers(1, 2**63, 101)
+    rows = [([*words.tolist(), 0, i + 1], i % phrases.SHARES) for i in range(640)]
+    seqs = spark.createDataFrame(rows, "seq array<long>, share int").repartition(64)
+    tables = phrases.list_candidates(seqs, 2, None, 10)
+    found = [tuple(r) for t in tables for r in t.collect()]
+    assert sorted(found) == sorted(zip(words[:-1].tolist(), words[1:].tolist()))
+    assert sum(sent) <= 10 * 100  # the ten rows of the first round
+
+
+@pytest.mark.parametrize("known", [0, 7, 1 << 21])
+def test_rounds_and_what_is_known_of_them_change_nothing(spark, monkeypatch, known):
+    rng = np.random.default_rng(9)
+    rows = [(" ".join(f"w{k}" for k in rng.integers(0, 9, 30)), ["en", "fr"][i % 2]) for i in range(200)]
+    monkeypatch.setattr(phrases, "BATCH_ROWS", 3)
+    monkeypatch.setattr(phrases, "HOLD_PHRASES", 40)
+    monkeypatch.setattr(phrases, "KNOWN", known)
+    monkeypatch.setattr(phrases, "ROUNDS", (16, 32, 64))
+    assert mined(table(spark, rows).repartition(5)) == brute(rows)
+
+
+def test_ties_at_the_last_rank_go_by_phrase(spark):
+    rows = [(f"b{i} a{i}. a{i} b{i}", "en") for i in range(12)] * 10
+    for first in (1, 5, 23):
+        assert mined(table(spark, rows), first=first) == brute(rows, first=first)
+
+
+@pytest.mark.parametrize("spread", [1, 40, 0xFFFF, 3 * 0xFFFF])
+def test_packed_counters_are_small_and_add_up(spark, spread):
+    rng = np.random.default_rng(10)
+    places = np.append(np.cumsum(rng.integers(1, 2 * spread, 4000)) - 1, (1 << 32) - 1)
+    numbers = rng.zipf(1.3, len(places)).clip(1, 2**40)
+    batch = phrases._packed(places, numbers, 24)
+    size = sum(len(x.as_py()) for c in batch.columns[2:] for x in c)
+    assert size <= (3.5 if spread < 0xFFFF else 6) * len(places) + 14 * (numbers >= 256).sum()
+
+    def add(counters, at, some):
+        counters[at] += some
+
+    def done(part, counters):
+        at = np.flatnonzero(counters)
+        columns = [pa.array(at + (part << 24)), pa.array(counters[at])]
+        return pa.RecordBatch.from_arrays(columns, ["place", "n"])
+
+    packed = spark.createDataFrame(pa.Table.from_batches([batch, batch]))
+    rows = phrases._folded(packed, "place long, n long", 1 << 24, np.int64, add, done).collect()
+    assert {r.place: r.n for r in rows} == dict(zip(places.tolist(), (2 * numbers).tolist()))
