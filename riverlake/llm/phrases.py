@@ -56,7 +56,7 @@ HOLD_BUCKETS = 1 << 21  # buckets that are held at a time
 CHUNK = 4096  # bases that are tried together
 HOLD_BYTES = 2 << 20  # of texts whose words are counted at a time
 HOLD_PHRASES = 1 << 18  # of places whose phrases are listed at a time
-SHARES, ROUNDS = 64, (1, 8, 64)  # of the texts: where the rounds of listing end
+SHARES, ROUNDS = 64, (1, 4, 16, 64)  # of the texts: where the rounds of listing end
 KNOWN = 1 << 21  # hashes of listed phrases that tasks are sent, or hold of their own
 
 _APART = np.zeros(256, bool)
