@@ -268,7 +268,7 @@ def incremental_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lake_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lake.register_lake(spark, lake_of(spark, sf_dir))
+    lake.register_lake(spark, lake_of(spark, sf_dir), ["qualifiers"])
     counts = [
         spark.table(service)
         .groupBy(*PARTITION_COLUMNS)
