@@ -41,7 +41,8 @@ def site_list(daily: DataFrame, continuous: DataFrame) -> DataFrame:
 
 def list_sites(spark: SparkSession, root: str) -> DataFrame:
     """The site list of a lake. Of the files only the two coordinates are read."""
-    return site_list(*(lake.read_service(spark, root, service) for service in SERVICES))
+    places = ["latitude", "longitude"]
+    return site_list(*(lake.read_service(spark, root, s, columns=places) for s in SERVICES))
 
 
 def sites_geojson(sites: DataFrame) -> DataFrame:
